@@ -70,8 +70,11 @@ def bootstrap_means(
         dense_index(shared, ["direction"], bucket, ["id"]).select("direction", "idx", "delta"),
         "deltas",
     )
+    # One row per direction, and directions are pairs of languages.
     sizes = indexed.groupBy("direction").agg(F.count("*").alias("n"))
-    slots = indexed.select("direction", F.col("idx").alias("slot")).join(sizes, "direction")
+    slots = indexed.select("direction", F.col("idx").alias("slot")).join(
+        F.broadcast(sizes), "direction"
+    )
     draws = slots.select(
         "direction", "n", "slot", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample")
     ).select(

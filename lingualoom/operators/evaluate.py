@@ -15,22 +15,25 @@ COMPARABLE = ("complete",)
 def all_directions(languages: DataFrame, lang: str, first: list[str]) -> DataFrame:
     """Ordered pairs of distinct languages; ``first`` gives the standard order, others follow.
 
-    The language list is one row per language, which a self join on inequality may pair.
+    The set of languages is one short array, exploded twice; no join is needed.
     """
-    rank = F.coalesce(
-        F.array_position(F.array(*[F.lit(c) for c in first]), F.col(lang)), F.lit(0)
+    place = F.array_position(F.array(*[F.lit(c) for c in first]), F.col(lang))
+    ranked = F.struct(
+        F.when(place > 0, place).otherwise(len(first) + 1).alias("rank"), F.col(lang).alias("code")
     )
-    ranked = languages.select(
-        F.col(lang).alias("code"), F.when(rank > 0, rank).otherwise(len(first) + 1).alias("rank")
-    ).distinct()
-    a, b = ranked.alias("a"), ranked.alias("b")
-    pairs = a.join(b, F.col("a.code") != F.col("b.code")).select(
-        F.col("a.code").alias("source"), F.col("b.code").alias("target"),
-        F.concat_ws("-", "a.code", "b.code").alias("direction"),
-        F.col("a.rank").alias("_ra"), F.col("b.rank").alias("_rb"),
+    codes = languages.agg(F.array_sort(F.collect_set(ranked)).alias("all"))
+    pairs = codes.select("all", F.posexplode("all").alias("_i", "a")).select(
+        F.col("a.code").alias("source"),
+        "_i",
+        F.posexplode(F.filter("all", lambda x: x["code"] != F.col("a.code"))).alias("_j", "b"),
+        F.size("all").alias("_n"),
+    )
+    return pairs.select(
+        "source",
+        F.col("b.code").alias("target"),
+        F.concat_ws("-", "source", "b.code").alias("direction"),
+        (F.col("_i") * (F.col("_n") - 1) + F.col("_j") + 1).alias("position"),
     )
-    order = F.row_number().over(Window.orderBy("_ra", "source", "_rb", "target"))
-    return pairs.withColumn("position", order).drop("_ra", "_rb")
 
 
 def parse_direction(text: Column, languages: Column) -> Column:
