@@ -54,33 +54,36 @@ def protected_spans(text: Column) -> Column:
     )
 
 
-def outside_spans(text: Column) -> Column:
-    """The text between protected spans (punctuation cut from a span's end holds no letters)."""
-    return F.when(
-        may_hold_span(text), F.array_join(F.split(text, PROTECTED, -1), "")
-    ).otherwise(text)
-
-
-def encode_line(text: Column) -> Column:
-    """Engine input of a plain line: every protected span becomes ``<xN/>``.
+def _around_spans(text: Column, middle) -> Column:
+    """The text with ``middle(i)`` in place of the i-th protected span.
 
-    ``split`` and ``regexp_extract_all`` walk the same matches, so piece *i+1* follows match *i*.
+    ``split`` and ``regexp_extract_all`` walk the same matches, so piece *i+1* follows match *i*;
+    punctuation cut from a match's end goes back in front of that piece.  The two lists are zipped
+    first: an expression inside a lambda would be evaluated again for every element.
     """
-    matches = _matches(text)
     pieces = F.split(text, PROTECTED, -1)
+    no_match_first = F.concat(F.array(F.lit("")), _matches(text))
     rest = F.transform(
-        matches,
-        lambda m, i: F.concat(
-            F.lit("<x"),
-            (i + 1).cast("string"),
-            F.lit("/>"),
-            F.substring(m, F.length(_trim_tail(m)) + 1, F.length(m)),
-            F.get(pieces, i + 1),
+        F.arrays_zip(no_match_first.alias("m"), pieces.alias("p")),
+        lambda x, i: F.concat(
+            F.when(i > 0, middle(i)).otherwise(F.lit("")),
+            F.substring(x["m"], F.length(_trim_tail(x["m"])) + 1, F.length(x["m"])),
+            x["p"],
         ),
     )
-    return F.when(
-        may_hold_span(text), F.concat(F.get(pieces, F.lit(0)), F.array_join(rest, ""))
-    ).otherwise(text)
+    return F.when(may_hold_span(text), F.array_join(rest, "")).otherwise(text)
+
+
+def outside_spans(text: Column) -> Column:
+    """The text between protected spans."""
+    return _around_spans(text, lambda i: F.lit(""))
+
+
+def encode_line(text: Column) -> Column:
+    """Engine input of a plain line: every protected span becomes ``<xN/>``."""
+    return _around_spans(
+        text, lambda i: F.concat(F.lit("<x"), i.cast("string"), F.lit("/>"))
+    )
 
 
 def fill_spans(output: Column, spans: Column) -> Column:

@@ -75,7 +75,8 @@ def bootstrap_means(
     slots = indexed.select("direction", F.col("idx").alias("slot")).join(
         F.broadcast(sizes), "direction"
     )
-    draws = slots.select(
+    # A few bytes per slot, but a thousand draws each: spread them over all task slots first.
+    draws = slots.repartition(indexed.sparkSession.sparkContext.defaultParallelism * 2).select(
         "direction", "n", "slot", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample")
     ).select(
         "direction",

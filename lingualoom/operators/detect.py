@@ -145,11 +145,12 @@ def latin_confidence(
     """keys, best, confidence: softmax over the summed log weights of a sample's trigrams.
 
     The profile is broadcast (``PROFILE_GRAMS`` rows per language at most); trigrams stream past
-    it and are summed where they are made.
+    it and are summed where they are made.  A row without text keeps its keys and gets NULLs, so
+    callers carry their other columns in ``keys`` instead of joining back.
     """
     scored = (
-        samples.select(*keys, F.explode(_grams(F.col(text))).alias("gram"))
-        .join(F.broadcast(profile), "gram")
+        samples.select(*keys, F.explode_outer(_grams(F.col(text))).alias("gram"))
+        .join(F.broadcast(profile), "gram", "left")
         .groupBy(*keys)
         .agg(*[F.sum(f"w_{i}").alias(f"s_{i}") for i in range(len(languages))])
     )
@@ -170,13 +171,13 @@ def detect_source(
     """doc_id, lang, confidence, note, error_code.  Ambiguity is a value, not an exception."""
     sampled = docs.select("doc_id", sample_of(F.col(text)).alias("sample"))
     ruled = sampled.select("doc_id", "sample", *script_counts(F.col("sample"))).select(
-        "*", *rule_columns()
-    )
-    latin = latin_confidence(
-        ruled.filter("latin_open"), ["doc_id"], "sample", profile, languages
+        "doc_id", "sample", *rule_columns()
     )
+    keys = ["doc_id", "lang", "note", "error_code", "latin_open"]
+    open_only = ruled.withColumn("sample", F.when(F.col("latin_open"), F.col("sample")))
+    scored = latin_confidence(open_only, keys, "sample", profile, languages)
     sure = F.col("confidence") >= MIN_CONFIDENCE
-    return ruled.join(latin, "doc_id", "left").select(
+    return scored.select(
         "doc_id",
         F.when(F.col("latin_open") & sure, F.col("best")).otherwise(F.col("lang")).alias("lang"),
         F.when(F.col("latin_open"), F.col("confidence")).alias("confidence"),
@@ -238,14 +239,10 @@ def detect_accuracy(samples: DataFrame, profile: DataFrame, languages: Sequence[
     cjk = (F.col("kana") + F.col("han") >= F.col("latin")) & (F.col("kana") + F.col("han") > 0)
     ruled = counted.select(
         *keys,
-        "sample",
         F.when(cjk & (F.col("kana") > 0), F.lit("ja")).when(cjk, F.lit("zh")).alias("script"),
-        (~cjk & (F.col("latin") > 0)).alias("open"),
-    )
-    latin = latin_confidence(ruled.filter("open"), keys, "sample", profile, languages)
-    return (
-        ruled.drop("sample")
-        .join(latin, keys, "left")
-        .groupBy("kind", "expected", F.coalesce("script", "best").alias("got"))
-        .agg(F.count("*").alias("samples"))
+        F.when(~cjk & (F.col("latin") > 0), F.col("sample")).alias("sample"),
     )
+    scored = latin_confidence(ruled, [*keys, "script"], "sample", profile, languages)
+    return scored.groupBy(
+        "kind", "expected", F.coalesce("script", "best").alias("got")
+    ).agg(F.count("*").alias("samples"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lingualoom.functions import chars as C
 from lingualoom.functions import protect as P
+from lingualoom.session import read_table
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 HAN_LETTERS = "的一是在不了有和人这中大为上个国我以要他时来用们生到"
@@ -18,7 +19,7 @@ KANA_LETTERS = "あいうえおかきくけこさしすせそ日本語文章東
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,10 +21,22 @@ def local_session(cpus: int | str = 8, app: str = "lingualoom") -> SparkSession:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table, spread over the session when it has fewer parts than task slots.
+
+    Large tables have more parts than slots and are left as they are; a small table in one row
+    group would otherwise keep all per-row work in a single task.
+    """
+    df = spark.read.parquet(path)
+    slots = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 

@@ -24,13 +24,15 @@ _NATIVE = {"utf-8": "UTF-8", "utf-16-le": "UTF-16LE", "utf-16-be": "UTF-16BE"}
 
 def lines_of(text: Column) -> Column:
     """``array<struct<seg_no,line,ending>>`` with every line, blank or not; the last has no ending."""
-    endings = F.regexp_extract_all(text, F.lit(f"({C.LINE_BREAK})"), F.lit(0))
     return F.transform(
-        F.split(text, C.LINE_BREAK, -1),
-        lambda line, i: F.struct(
+        F.arrays_zip(
+            F.split(text, C.LINE_BREAK, -1).alias("line"),
+            F.regexp_extract_all(text, F.lit(f"({C.LINE_BREAK})"), F.lit(0)).alias("ending"),
+        ),
+        lambda x, i: F.struct(
             i.alias("seg_no"),
-            line.alias("line"),
-            F.coalesce(F.get(endings, i), F.lit("")).alias("ending"),
+            x["line"].alias("line"),
+            F.coalesce(x["ending"], F.lit("")).alias("ending"),
         ),
     )
 
