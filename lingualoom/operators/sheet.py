@@ -2,11 +2,158 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lingualoom.operators.spread import salted_join
+
+# ---- fixed values: spreadsheet limits and units --------------------------------------------------
 CELL_LIMIT = 32_767
+PX_TO_PT = 0.75
+CELL_PADDING_PT = 1.5
+DEFAULT_COLUMN_CHARS = 8.43
+# ---- end of fixed values -------------------------------------------------------------------------
 
 
 def cell_limit_error(text: Column) -> Column:
     return F.when(F.length(text) > CELL_LIMIT, F.lit("document_limit"))
+
+
+def sheet_string_fanout(cells: DataFrame, shared: DataFrame) -> DataFrame:
+    """One row per shared string in use: its text, its cells and where it is first shown.
+
+    cells: doc_id, idx, pos (total order in the workbook), location.  An index outside the table
+    is an error code.  Cells collapse to one row per string before the join.
+    """
+    used = cells.groupBy("doc_id", "idx").agg(
+        F.min(F.struct("pos", "location")).alias("_first"), F.count("*").alias("cells")
+    )
+    place = F.col("_first.location")
+    more = F.concat(place, F.lit(" (and "), (F.col("cells") - 1).cast("string"), F.lit(" more cells)"))
+    return used.join(shared, ["doc_id", "idx"], "left").select(
+        "doc_id",
+        "idx",
+        "text",
+        "cells",
+        F.when(F.col("cells") > 1, more).otherwise(place).alias("location"),
+        F.when(F.col("text").isNull(), F.lit("invalid_document")).alias("error_code"),
+    )
+
+
+def formula_literals(formula: Column) -> Column:
+    """Quoted texts of a formula, with doubled quotes undone."""
+    return F.transform(
+        F.regexp_extract_all(formula, F.lit('"((?:[^"]|"")*+)"'), F.lit(1)),
+        lambda x: F.replace(x, F.lit('""'), F.lit('"')),
+    )
+
+
+def formula_literal_match(formulas: DataFrame, translated: DataFrame) -> DataFrame:
+    """Formula cells that compare against a text that was translated in the same document.
+
+    formulas: doc_id, location, formula; translated: doc_id, text.  A literal may occur in very
+    many cells, so the cell side is salted.
+    """
+    literals = formulas.select(
+        "doc_id", "location", F.explode(F.array_distinct(formula_literals(F.col("formula")))).alias("text")
+    )
+    sources = translated.select("doc_id", "text").distinct()
+    hits = salted_join(literals, sources, ["doc_id", "text"], "left_semi", ["location"])
+    return hits.select("doc_id", "location").distinct()
+
+
+def _level(length: Column) -> Column:
+    """Smallest power of two that covers ``length`` cells."""
+    return F.when(length <= 1, 0).otherwise(F.length(F.bin(length - 1)))
+
+
+def merge_range_lookup(cells: DataFrame, merges: DataFrame) -> DataFrame:
+    """cells(sheet, col, row, ...) with c1, r1, c2, r2 of the first merged range that holds them.
+
+    A range is filed under the tiles of its own size class, at most four; a cell looks into one
+    tile per size class that its sheet uses.  That makes the inequality an equality join with a
+    short check behind it, whatever the shape of the ranges.  Cells outside any range are their own.
+    """
+    sized = merges.select(
+        "sheet", "ord", "c1", "r1", "c2", "r2",
+        _level(F.col("c2") - F.col("c1") + 1).alias("lc"),
+        _level(F.col("r2") - F.col("r1") + 1).alias("lr"),
+    )
+    tiles = sized.select(
+        "*",
+        F.explode(F.expr("sequence(shiftright(c1, lc), shiftright(c2, lc))")).alias("tc"),
+    ).select("*", F.explode(F.expr("sequence(shiftright(r1, lr), shiftright(r2, lr))")).alias("tr"))
+    # At most 15 x 21 size classes exist, since a sheet has 2^14 columns and 2^20 rows.
+    classes = sized.groupBy("sheet").agg(F.collect_set(F.struct("lc", "lr")).alias("classes"))
+    names = cells.columns
+    looking = (
+        salted_join(cells, classes, ["sheet"], "left", ["col", "row"])
+        .select(*names, F.explode_outer("classes").alias("_c"))
+        .select(
+            *names,
+            F.col("_c.lc").alias("lc"),
+            F.col("_c.lr").alias("lr"),
+            F.expr("shiftright(col, _c.lc)").alias("tc"),
+            F.expr("shiftright(row, _c.lr)").alias("tr"),
+        )
+    )
+    met = salted_join(
+        looking, tiles, ["sheet", "lc", "lr", "tc", "tr"], "left", ["col", "row"]
+    )
+    inside = (
+        (F.col("c1") <= F.col("col")) & (F.col("col") <= F.col("c2"))
+        & (F.col("r1") <= F.col("row")) & (F.col("row") <= F.col("r2"))
+    )
+    first = F.min(F.when(inside, F.struct("ord", "c1", "r1", "c2", "r2"))).alias("_m")
+    found = met.groupBy(*names).agg(first)
+    return found.select(
+        *names,
+        F.col("_m").isNotNull().alias("merged"),
+        F.coalesce("_m.c1", "col").alias("c1"),
+        F.coalesce("_m.r1", "row").alias("r1"),
+        F.coalesce("_m.c2", "col").alias("c2"),
+        F.coalesce("_m.r2", "row").alias("r2"),
+    )
+
+
+def chars_to_pt(chars: Column, digit_px: int) -> Column:
+    pixels = ((256 * chars + int(128 / digit_px)) / 256 * digit_px).cast("int")
+    return pixels * F.lit(PX_TO_PT)
+
+
+def range_width_sum(
+    ranges: DataFrame, widths: DataFrame, digit_px: int = 7, default: float = DEFAULT_COLUMN_CHARS
+) -> DataFrame:
+    """Adds ``width_pt``: column widths over c1..c2, the default where a column has none.
+
+    widths: sheet, col, chars.  A sheet has at most 2^14 columns, so its own widths fit in a row;
+    ranges are not expanded into columns, only corrected for the columns that differ.
+    """
+    differing = F.struct("col", (chars_to_pt(F.col("chars"), digit_px) - chars_to_pt(F.lit(default), digit_px)).alias("extra"))
+    per_sheet = widths.groupBy("sheet").agg(F.collect_list(differing).alias("_extra"))
+    joined = salted_join(ranges, per_sheet, ["sheet"], "left", ["c1", "r1"])
+    correction = F.aggregate(
+        F.filter(
+            F.coalesce("_extra", F.array().cast("array<struct<col:int,extra:double>>")),
+            lambda e: (e["col"] >= F.col("c1")) & (e["col"] <= F.col("c2")),
+        ),
+        F.lit(0.0),
+        lambda acc, e: acc + e["extra"],
+    )
+    base = (F.col("c2") - F.col("c1") + 1) * chars_to_pt(F.lit(default), digit_px)
+    return joined.withColumn("width_pt", base + correction - 2 * CELL_PADDING_PT).drop("_extra")
+
+
+def neighbour_occupied(cells: DataFrame) -> DataFrame:
+    """Adds ``clipped``: is the cell next to it, on the side its text would spill to, in use?
+
+    cells: sheet, row, col, align.  Neighbours are the previous and next cell of the same row; a
+    row has at most 2^14 cells, so the window is small and needs no join.
+    """
+    row = Window.partitionBy("sheet", "row").orderBy("col")
+    left = F.coalesce(F.lag("col").over(row) == F.col("col") - 1, F.lit(False))
+    right = F.coalesce(F.lead("col").over(row) == F.col("col") + 1, F.lit(False))
+    clipped = F.when(F.col("align") == "right", left).when(
+        F.col("align") == "center", left | right
+    ).otherwise(right)
+    return cells.withColumn("clipped", clipped)

@@ -94,3 +94,16 @@ def dense_index(rows: DataFrame, group: list[str], bucket: Column, order: list[s
         .withColumn("idx", F.col("_base") + F.row_number().over(within) - 1)
         .drop("_bucket", "_base")
     )
+
+
+def salted_join(
+    many: DataFrame, few: DataFrame, keys: list[str], how: str, by: list[str], salts: int = 8
+) -> DataFrame:
+    """A left, semi, anti or inner join whose left side may be very uneven over ``keys``.
+
+    Left rows get a salt from ``by`` (columns that vary within a key), and the right side, which
+    has few rows, is repeated once per salt.
+    """
+    salt = F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")
+    copies = few.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    return many.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lingualoom.functions import chars as C
 from lingualoom.functions import protect as P
 from lingualoom.session import read_table
+from lingualoom.sources.text import scan_segments
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 HAN_LETTERS = "的一是在不了有和人这中大为上个国我以要他时来用们生到"
@@ -49,6 +50,49 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "source", lang.alias("lang"), F.concat(body, added).alias("text"))
 
 
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Node rows: every line of every document cut into words, with styles, kept words, objects,
+    wrappers (some nested) and styled blanks placed by word number."""
+    lines = scan_segments(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    words = lines.select(
+        "doc_id", "seg_no", F.size(F.split("line", " ")).alias("n"),
+        F.posexplode(F.split("line", " ")).alias("i", "w"),
+    )
+    i, n = F.col("i"), F.col("n")
+    gap = F.when((i < n - 1) & (i % 13 != 6), F.lit(" ")).otherwise(F.lit(""))
+    kind = (
+        F.when(i % 19 == 7, F.lit("keep")).when(i % 23 == 11, F.lit("obj")).otherwise(F.lit("text"))
+    )
+    style = F.when((i % 9).isin(4, 5), 1).when(i % 31 == 20, 2).otherwise(0)
+    wide = (n > i - i % 29 + 18) & (i % 29 >= 15)
+
+    def event(when, offset, kind, text=None, style=None, key=None) -> Column:
+        return F.when(
+            when,
+            F.struct(
+                (i * 8 + offset).cast("int").alias("pos"), kind.alias("kind"),
+                (F.lit(None) if text is None else text).cast("string").alias("text"),
+                (F.lit(None) if style is None else style).cast("int").alias("style"),
+                (F.lit(None) if key is None else key).cast("int").alias("key"),
+            ),
+        )
+
+    key = F.floor(i / 29) * 2
+    is_obj = kind == "obj"
+    events = F.array(
+        event(wide & (i % 29 == 15), 0, F.lit("open"), key=key),
+        event(wide & (i % 29 == 16), 1, F.lit("open"), key=key + 1),
+        event(
+            F.lit(True), 2, kind, F.when(~is_obj, F.concat("w", F.when(kind == "text", gap).otherwise(""))),
+            F.when(~is_obj, style), F.when(is_obj, i),
+        ),
+        event((i % 13 == 6) & (i < n - 1), 3, F.lit("text"), F.lit(" "), F.lit(2)),
+        event(wide & (i % 29 == 17), 4, F.lit("close"), key=key + 1),
+        event(wide & (i % 29 == 18), 5, F.lit("close"), key=key),
+    )
+    return words.select("doc_id", "seg_no", F.inline(F.filter(events, lambda e: e.isNotNull())))
+
+
 def quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -157,3 +201,63 @@ segs AS (SELECT *, {sql_strip('line')} AS core FROM lines WHERE NOT {sql_blank('
 occ AS (SELECT *, {sql_passes('line', 'lang')} AS passed,
                CASE WHEN NOT {sql_passes('line', 'lang')} THEN {sql_encoded('core')} END AS unit_text
         FROM segs)"""
+
+
+NODES_SQL = f"""
+dl AS ({sql_lines('documents')}),
+dw AS (SELECT doc_id, seg_no, string_split(line, ' ') AS ws FROM dl WHERE NOT {sql_blank('line')}),
+wd AS (SELECT doc_id, seg_no, len(ws) AS n, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM dw),
+wk AS (SELECT *, CASE WHEN i % 19 = 7 THEN 'keep' WHEN i % 23 = 11 THEN 'obj' ELSE 'text' END AS kind,
+  CASE WHEN i % 9 IN (4, 5) THEN 1 WHEN i % 31 = 20 THEN 2 ELSE 0 END AS style,
+  CASE WHEN i < n - 1 AND i % 13 <> 6 THEN ' ' ELSE '' END AS gap,
+  (n > i - i % 29 + 18) AND (i % 29 >= 15) AS wide, i // 29 * 2 AS k FROM wd),
+nodes AS (
+  SELECT doc_id, seg_no, (i * 8 + 2)::INTEGER AS pos, kind, CASE kind WHEN 'text' THEN w || gap WHEN 'keep' THEN w END AS text,
+    (CASE WHEN kind <> 'obj' THEN style END)::INTEGER AS style, (CASE WHEN kind = 'obj' THEN i END)::INTEGER AS key FROM wk
+  UNION ALL SELECT doc_id, seg_no, i * 8 + 3, 'text', ' ', 2, NULL FROM wk WHERE i % 13 = 6 AND i < n - 1
+  UNION ALL SELECT doc_id, seg_no, i * 8, 'open', NULL, NULL, k FROM wk WHERE wide AND i % 29 = 15
+  UNION ALL SELECT doc_id, seg_no, i * 8 + 1, 'open', NULL, NULL, k + 1 FROM wk WHERE wide AND i % 29 = 16
+  UNION ALL SELECT doc_id, seg_no, i * 8 + 4, 'close', NULL, NULL, k + 1 FROM wk WHERE wide AND i % 29 = 17
+  UNION ALL SELECT doc_id, seg_no, i * 8 + 5, 'close', NULL, NULL, k FROM wk WHERE wide AND i % 29 = 18)"""
+
+
+def sql_normalized(source: str, out: str) -> str:
+    """CTEs that end in ``out``: normalised node rows."""
+    blank = sql_blank("text")
+    w = "(PARTITION BY doc_id, seg_no ORDER BY pos)"
+    return f"""
+{out}_a AS (SELECT *, COALESCE(lag(kind) OVER {w} = 'text', false) AS aft, COALESCE(lead(kind) OVER {w} = 'text', false) AS bef,
+  lead(style) OVER {w} AS nxt FROM {source} WHERE NOT (kind = 'text' AND text = '')),
+{out}_b AS (SELECT *, CASE WHEN kind = 'text' THEN CASE WHEN NOT {blank} THEN style
+  WHEN NOT aft THEN CASE WHEN bef THEN nxt ELSE style END END END AS anchor FROM {out}_a),
+{out}_c AS (SELECT doc_id, seg_no, pos, kind, text, key, aft, CASE WHEN kind = 'text' THEN
+  last_value(anchor IGNORE NULLS) OVER (PARTITION BY doc_id, seg_no ORDER BY pos ROWS UNBOUNDED PRECEDING) ELSE style END AS style FROM {out}_b),
+{out}_d AS (SELECT *, CASE WHEN kind = 'text' AND aft AND lag(style) OVER {w} = style THEN 0 ELSE 1 END AS nw FROM {out}_c),
+{out}_e AS (SELECT *, sum(nw) OVER (PARTITION BY doc_id, seg_no ORDER BY pos ROWS UNBOUNDED PRECEDING) AS isl FROM {out}_d),
+{out} AS (SELECT doc_id, seg_no, min(pos)::INTEGER AS pos, min(kind) AS kind, string_agg(text, '' ORDER BY pos) AS text,
+  min(style)::INTEGER AS style, min(key)::INTEGER AS key FROM {out}_e GROUP BY doc_id, seg_no, isl)"""
+
+
+def sql_based(source: str, out: str) -> str:
+    size = f"length({sql_strip('text')})"
+    return f"""
+{out}_w AS (SELECT *, sum(CASE WHEN kind = 'text' THEN {size} END) OVER (PARTITION BY doc_id, seg_no, style) AS wt FROM {source}),
+{out} AS (SELECT * EXCLUDE (wt), COALESCE(first_value(CASE WHEN kind = 'text' THEN style END) OVER (PARTITION BY doc_id, seg_no
+  ORDER BY kind = 'text' DESC, wt DESC, pos), 0)::INTEGER AS base FROM {out}_w)"""
+
+
+ENCODED_SQL = f"""{NODES_SQL}, {sql_normalized('nodes', 'nrm')}, {sql_based('nrm', 'bsd')},
+num AS (SELECT *, kind = 'text' AND style <> base AS sty,
+  sum(CASE WHEN kind = 'open' OR (kind = 'text' AND style <> base) THEN 1 ELSE 0 END) OVER w AS gid,
+  sum(CASE WHEN kind IN ('keep', 'obj') THEN 1 ELSE 0 END) OVER w AS xid,
+  sum(CASE kind WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END) OVER w AS depth FROM bsd
+  WINDOW w AS (PARTITION BY doc_id, seg_no ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+lvl AS (SELECT *, CASE kind WHEN 'open' THEN depth WHEN 'close' THEN depth + 1 END AS lv FROM num),
+opn AS (SELECT *, last_value(CASE WHEN kind = 'open' THEN gid END IGNORE NULLS) OVER (PARTITION BY doc_id, seg_no, lv
+  ORDER BY pos ROWS UNBOUNDED PRECEDING) AS og FROM lvl),
+pcs AS (SELECT *, CASE WHEN sty THEN '<g' || gid || '>' || text || '</g' || gid || '>' WHEN kind = 'text' THEN text
+  WHEN kind = 'open' THEN '<g' || gid || '>' WHEN kind = 'close' THEN '</g' || og || '>' ELSE '<x' || xid || '/>' END AS piece FROM opn),
+enc AS (SELECT doc_id, seg_no, string_agg(piece, '' ORDER BY pos) AS unit_text, min(base) AS base_style,
+  count(*) FILTER (sty OR kind = 'open') AS n_groups, count(*) FILTER (kind IN ('keep', 'obj')) AS n_objects,
+  bool_or(kind IN ('keep', 'obj') AND xid = 1 AND depth = 0) AS x1_top, bool_or(sty AND gid = 1) AS g1_style,
+  bool_or(sty AND gid = 1 AND depth = 0) AS g1_top FROM pcs GROUP BY doc_id, seg_no)"""
