@@ -87,17 +87,16 @@ def encode_line(text: Column) -> Column:
 
 
 def fill_spans(output: Column, spans: Column) -> Column:
-    """Put the kept texts back in place of ``<xN/>``."""
-    return F.when(
-        F.size(spans) > 0,
-        F.aggregate(
-            F.transform(spans, lambda s, i: F.struct(s.alias("s"), (i + 1).alias("n"))),
-            output,
-            lambda acc, e: F.replace(
-                acc, F.concat(F.lit("<x"), e["n"].cast("string"), F.lit("/>")), e["s"]
-            ),
+    """Put the kept texts back in place of ``<xN/>``.  ``spans`` should be a plain column."""
+    holes = F.regexp_extract_all(output, F.lit("<x([0-9]+)/>"), F.lit(1))
+    filled = F.transform(
+        F.arrays_zip(
+            F.concat(F.array(F.lit(None).cast("string")), holes).alias("n"),
+            F.split(output, "<x[0-9]+/>", -1).alias("p"),
         ),
-    ).otherwise(output)
+        lambda x: F.concat(F.coalesce(F.get(spans, x["n"].cast("int") - 1), F.lit("")), x["p"]),
+    )
+    return F.when(F.size(spans) > 0, F.array_join(filled, "")).otherwise(output)
 
 
 def passes_through(text: Column, lang: Column) -> Column:

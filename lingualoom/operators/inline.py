@@ -185,20 +185,28 @@ def validate_tags(encoded: DataFrame, output: str = "output") -> DataFrame:
 
 def project_spans(failed: DataFrame) -> DataFrame:
     """Adds ``projected``: unit_text's tags set into ``plain`` with ``spans``, validated, or NULL."""
-    rebuilt = failed.withColumn("_src", G.structure(F.col("unit_text"))).withColumn(
-        "_try", G.projected(F.col("unit_text"), F.col("plain"), F.col("spans"), F.col("_src"))
+    bound = (
+        failed.withColumn("_src", G.structure(F.col("unit_text")))
+        .withColumn("_depths", G.depths(F.col("_src")))
+        .withColumn("_low", F.lower("plain"))
     )
-    checked = validate_tags(rebuilt, "_try")
+    attempt = G.projected(
+        F.col("unit_text"), F.col("plain"), F.col("_low"), F.col("spans"), F.col("_depths")
+    )
+    checked = validate_tags(bound.withColumn("_try", attempt), "_try")
     return checked.withColumn(
         "projected", F.when(F.col("reason").isNull(), F.col("_try"))
-    ).drop("_src", "_try", "reason")
+    ).drop("_src", "_depths", "_low", "_try", "reason")
 
 
 def decode_tags(answered: DataFrame, output: str = "output") -> DataFrame:
     """Validated outputs back to normalised node rows with the source's styles and wrappers."""
-    nodes = G.decode(F.col(output), F.col("base_style"), F.col("groups"), F.col("objects"))
+    shaped = answered.withColumn("_out", G.structure(F.col(output)))
+    nodes = G.decode(
+        F.col(output), F.col("base_style"), F.col("groups"), F.col("objects"), F.col("_out")
+    )
     return normalize_nodes(
-        answered.select(*SEG, F.posexplode(nodes).alias("pos", "n")).select(*SEG, "pos", "n.*")
+        shaped.select(*SEG, F.posexplode(nodes).alias("pos", "n")).select(*SEG, "pos", "n.*")
     )
 
 

@@ -81,13 +81,14 @@ def join_back(occ: DataFrame, translations: DataFrame) -> DataFrame:
     """
     joined = spread_join(occ, translations, "unit_key", "n_occ", "output")
     text = F.col("line")
+    spans = F.when(~F.col("passed"), P.protected_spans(X.strip(text)))
     rebuilt = F.concat(
-        X.leading_ws(text),
-        P.fill_spans(F.col("output"), P.protected_spans(X.strip(text))),
-        X.trailing_ws(text),
+        X.leading_ws(text), P.fill_spans(F.col("output"), F.col("_spans")), X.trailing_ws(text)
     )
-    return joined.withColumn(
-        "translated", F.when(F.col("passed"), text).otherwise(rebuilt)
+    return (
+        joined.withColumn("_spans", spans)
+        .withColumn("translated", F.when(F.col("passed"), text).otherwise(rebuilt))
+        .drop("_spans")
     )
 
 
