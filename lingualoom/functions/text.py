@@ -43,17 +43,25 @@ def count_class(text: Column, body: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{body}]+", ""))
 
 
+def count_latin(text: Column) -> Column:
+    """Latin letters.  The long class only looks at what is left without ASCII, often nothing."""
+    plain = count_class(text, "A-Za-z")
+    rest = F.regexp_replace(text, r"[\x00-\x7F]+", "")
+    return F.when(F.octet_length(text) == F.length(text), plain).otherwise(
+        plain + count_class(rest, C.LATIN)
+    )
+
+
 def script_letters(text: Column, lang: Column) -> Column:
     """Characters of the source language's script: Han and kana for zh and ja, else Latin letters."""
     return F.when(lang.isin(*C.CJK_LANGUAGES), count_class(text, C.CJK)).otherwise(
-        count_class(text, C.LATIN)
+        count_latin(text)
     )
 
 
 def has_script_letter(text: Column, lang: Column) -> Column:
-    return F.when(lang.isin(*C.CJK_LANGUAGES), text.rlike(f"[{C.CJK}]")).otherwise(
-        text.rlike(f"[{C.LATIN}]")
-    )
+    latin = text.rlike("[A-Za-z]") | text.rlike(f"[{C.LATIN}]")
+    return F.when(lang.isin(*C.CJK_LANGUAGES), text.rlike(f"[{C.CJK}]")).otherwise(latin)
 
 
 def clean_text(text: Column) -> Column:

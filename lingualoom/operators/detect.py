@@ -47,7 +47,7 @@ def script_counts(text: Column) -> list[Column]:
     return [
         X.count_class(text, C.KANA).alias("kana"),
         X.count_class(text, C.HAN).alias("han"),
-        X.count_class(text, C.LATIN).alias("latin"),
+        X.count_latin(text).alias("latin"),
     ]
 
 

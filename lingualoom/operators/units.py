@@ -34,6 +34,22 @@ def occurrences(segments: DataFrame, lang: str = "lang", line: str = "line") ->
     )
 
 
+def engine_inputs(
+    segments: DataFrame, lang: str = "lang", line: str = "line", keep: Sequence[str] = ()
+) -> DataFrame:
+    """Only what an engine has to see: keep, unit_text, unit_key of segments that do not pass.
+
+    The rows are made by ``explode`` of a list that is NULL for passed segments.  A filter would
+    be pushed below the projection, and every pattern would run once there and once again here.
+    """
+    text = F.col(line)
+    wanted = F.when(
+        ~P.passes_through(text, F.col(lang)), F.array(P.encode_line(X.strip(text)))
+    )
+    inputs = segments.select(*keep, F.explode(wanted).alias("unit_text"))
+    return inputs.withColumn("unit_key", unit_key(F.col("unit_text")))
+
+
 def unique_units(
     occ: DataFrame, key: str = "unit_key", text: str = "unit_text", group: Sequence[str] = ()
 ) -> DataFrame:

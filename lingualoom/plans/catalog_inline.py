@@ -263,8 +263,8 @@ class _MarkerEngine:
     SELECT unit_text, {D.sql_marker('unit_text', 'en')} AS output, CAST(NULL AS VARCHAR) AS error_code FROM u""",
 )
 def translate_units(spark, sf):
-    occ = units.occurrences(S.scan_segments(D.corpus(spark, sf), keep=("lang",)))
-    distinct = units.unique_units(occ)
+    inputs = units.engine_inputs(S.scan_segments(D.corpus(spark, sf), keep=("lang",)))
+    distinct = units.unique_units(inputs)
     answers = infer.translate_units(distinct, _MarkerEngine, "en", lang=None)
     return answers.select("unit_text", "output", "error_code")
 
@@ -293,9 +293,9 @@ class _PickyEngine(_MarkerEngine):
       CASE WHEN unit_text LIKE 'W%' THEN 'engine_response' END AS error_code, 2 AS attempts FROM u""",
 )
 def bounded_retry(spark, sf):
-    occ = units.occurrences(S.scan_segments(D.corpus(spark, sf), keep=("lang",)))
+    inputs = units.engine_inputs(S.scan_segments(D.corpus(spark, sf), keep=("lang",)))
     answers = infer.translate_units(
-        units.unique_units(occ), _PickyEngine, "en", lang=None, batch=1, max_in_flight=8
+        units.unique_units(inputs), _PickyEngine, "en", lang=None, batch=1, max_in_flight=8
     )
     return answers.select("unit_text", "output", "error_code", "attempts")
 
@@ -306,8 +306,8 @@ def bounded_retry(spark, sf):
     SELECT length(unit_text) > 400 AS long, count(*) AS answered, 0::BIGINT AS lost FROM u GROUP BY 1""",
 )
 def split_on_bad_batch(spark, sf):
-    occ = units.occurrences(S.scan_segments(D.corpus(spark, sf), keep=("lang",)))
-    answers = infer.translate_units(units.unique_units(occ), _MarkerEngine, "en", lang=None, batch=64)
+    inputs = units.engine_inputs(S.scan_segments(D.corpus(spark, sf), keep=("lang",)))
+    answers = infer.translate_units(units.unique_units(inputs), _MarkerEngine, "en", lang=None, batch=64)
     return answers.groupBy((F.length("unit_text") > 400).alias("long")).agg(
         F.count("output").alias("answered"), F.count("error_code").alias("lost")
     )

@@ -35,6 +35,10 @@ def _occ(spark: SparkSession, sf: str) -> DataFrame:
     return units.occurrences(_segments(spark, sf))
 
 
+def _inputs(spark: SparkSession, sf: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    return units.engine_inputs(_segments(spark, sf), keep=keep)
+
+
 # ---- flagship ------------------------------------------------------------------------------------
 
 
@@ -269,7 +273,7 @@ def cell_limit(spark, sf):
     FROM occ WHERE unit_text IS NOT NULL GROUP BY unit_text""",
 )
 def unique_units(spark, sf):
-    return units.first_seen(_occ(spark, sf))
+    return units.first_seen(_inputs(spark, sf, ("doc_id", "seg_no")))
 
 
 @query(
@@ -278,7 +282,7 @@ def unique_units(spark, sf):
     FROM occ WHERE unit_text IS NOT NULL GROUP BY ALL""",
 )
 def unique_units_per_document(spark, sf):
-    return units.unique_units(_occ(spark, sf), group=["doc_id"])
+    return units.unique_units(_inputs(spark, sf, ("doc_id",)), group=["doc_id"])
 
 
 @query(
@@ -299,8 +303,7 @@ def unique_texts(spark, sf):
 )
 def batch_assign(spark, sf):
     first = (
-        _occ(spark, sf)
-        .filter(F.col("unit_text").isNotNull())
+        _inputs(spark, sf, ("doc_id", "seg_no"))
         .groupBy("doc_id", "unit_key")
         .agg(F.min("seg_no").alias("first_seg"))
     )
@@ -336,7 +339,7 @@ def segment_counts(spark, sf):
       count(*) FILTER (length(unit_text) % 10 = 0) AS missing, 0::BIGINT AS unexpected FROM u""",
 )
 def count_guard(spark, sf):
-    distinct = units.unique_units(_occ(spark, sf))
+    distinct = units.unique_units(_inputs(spark, sf))
     answered = distinct.filter(F.length("unit_text") % 10 != 0)
     return units.count_guard(distinct, answered, "unit_key")
 
@@ -350,7 +353,7 @@ def fallback_to_source(spark, sf):
     out = F.when(
         F.length("unit_text") % 3 != 0, infer.marker_translate(F.col("unit_text"), F.lit("en"))
     )
-    answered = units.unique_units(_occ(spark, sf)).select("unit_text", out.alias("output"))
+    answered = units.unique_units(_inputs(spark, sf)).select("unit_text", out.alias("output"))
     return units.fallback_to_source(answered, "output", "unit_text")
 
 
@@ -360,7 +363,7 @@ def fallback_to_source(spark, sf):
     FROM occ WHERE unit_text IS NOT NULL""",
 )
 def marker_translate(spark, sf):
-    return units.unique_units(_occ(spark, sf)).select(
+    return units.unique_units(_inputs(spark, sf)).select(
         "unit_text", infer.marker_translate(F.col("unit_text"), F.lit("es")).alias("output")
     )
 
@@ -386,7 +389,7 @@ def cache_lookup(spark, sf):
         lines.select(F.trim("line").alias("unit_text")).filter("unit_text <> ''").distinct()
         .select(units.unit_key(F.col("unit_text")).alias("unit_key"), F.col("unit_text").alias("output"))
     )
-    found = units.cache_lookup(units.unique_units(_occ(spark, sf)), memory, ["unit_key"])
+    found = units.cache_lookup(units.unique_units(_inputs(spark, sf)), memory, ["unit_key"])
     return found.groupBy("hit").agg(
         F.count("*").alias("inputs"), F.sum("n_occ").alias("occurrences"),
         F.sum(F.length("output")).cast("long").alias("remembered_chars"),
@@ -403,7 +406,7 @@ def cache_hits_and_misses(spark, sf):
     memory = short.select(F.explode(F.split("text", "\n")).alias("line")).select(
         F.trim("line").alias("unit_text")
     ).filter("unit_text <> ''").distinct()
-    distinct = units.unique_units(_occ(spark, sf)).select("unit_text")
+    distinct = units.unique_units(_inputs(spark, sf)).select("unit_text")
     hits = units.memory_hits(distinct, memory, ["unit_text"]).withColumn("hit", F.lit(True))
     return hits.unionByName(
         units.memory_misses(distinct, memory, ["unit_text"]).withColumn("hit", F.lit(False))

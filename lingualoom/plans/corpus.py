@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lingualoom.functions import chars as C
 from lingualoom.functions import text as X
 from lingualoom.operators import infer, report, units
+from lingualoom.session import stage
 from lingualoom.sources import text as S
 
 
@@ -15,15 +15,20 @@ def translate_lines(docs: DataFrame, target: str, lang: str = "lang") -> DataFra
     """documents -> segments -> unique inputs -> marker engine -> every occurrence.
 
     One shuffle for the distinct inputs and one for the join back; the marker engine is a native
-    expression, so nothing leaves the JVM.
+    expression, so nothing leaves the JVM.  The answers are written down, as after any engine:
+    the join reads them twice, and the documents are scanned once for inputs and once for lines.
     """
     segments = S.scan_segments(docs, keep=(lang,))
-    occ = units.occurrences(segments, lang)
-    distinct = units.unique_units(occ)
-    answered = distinct.withColumn(
-        "output", infer.marker_translate(F.col("unit_text"), F.lit(target))
+    distinct = units.unique_units(units.engine_inputs(segments, lang))
+    answered = stage(
+        distinct.select(
+            "unit_key",
+            "n_occ",
+            infer.marker_translate(F.col("unit_text"), F.lit(target)).alias("output"),
+        ),
+        "answers",
     )
-    return units.join_back(occ, answered)
+    return units.join_back(units.occurrences(segments, lang), answered)
 
 
 def translation_report(docs: DataFrame, target: str, lang: str = "lang") -> DataFrame:

@@ -51,9 +51,9 @@ def ingest_units(
     memory = f"{root}/memory"
 
     def step(batch: DataFrame, epoch: int) -> None:
-        occ = units.occurrences(S.scan_segments(batch, keep=(lang,)), lang)
+        inputs = units.engine_inputs(S.scan_segments(batch, keep=(lang,)), lang)
         asked = units.memory_misses(
-            units.unique_units(occ), read_memory(spark, memory, epoch), ["unit_key"]
+            units.unique_units(inputs), read_memory(spark, memory, epoch), ["unit_key"]
         )
         answers = translate(asked).select("unit_key", "unit_text", "output")
         answers.write.mode("overwrite").parquet(f"{memory}/epoch={epoch}")
