@@ -82,11 +82,15 @@ def report_json(reports: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def repeat_summary(runs: DataFrame, by: list[str]) -> DataFrame:
-    """Median speed and quality of repeated runs, with the range."""
+    """Median speed and quality of repeated runs, with the range.
+
+    Both are rounded to the resolution they are reported in, which bounds the distinct values a
+    median has to keep, however many runs a group has.
+    """
     return runs.groupBy(*by).agg(
         F.count("*").alias("n"),
-        F.round(F.median("speed"), 4).alias("median_speed"),
-        F.round(F.median("chrf"), 4).alias("median_chrf"),
+        F.round(F.median(F.round("speed", 3)), 4).alias("median_speed"),
+        F.round(F.median(F.round("chrf", 2)), 4).alias("median_chrf"),
         F.min("speed").alias("min_speed"),
         F.max("speed").alias("max_speed"),
     )

@@ -20,19 +20,22 @@ def hot_keys(units: DataFrame, key: str, n: str, payload: Column | None = None)
     return frequent.orderBy(F.desc(n), F.col(key)).limit(HOT_KEYS)
 
 
-def spread_join(many: DataFrame, one: DataFrame, key: str, n: str, payload: str) -> DataFrame:
+def spread_join(
+    many: DataFrame, one: DataFrame, key: str, n: str, payload: str, scatter: list[str]
+) -> DataFrame:
     """``many LEFT JOIN one`` where ``one`` is unique per ``key`` and knows each key's frequency.
 
     Rows of the most frequent keys take their payload from a bounded broadcast; for the shuffle
     join that follows they carry a scattered key instead of their own, so no partition receives
-    them all.  None of the remaining keys can be frequent.  ``many`` is read once.
+    them all.  None of the remaining keys can be frequent.  ``many`` is read once; ``scatter``
+    names columns that tell its rows apart.
     """
     hot = hot_keys(one, key, n, F.col(payload)).select(
         F.col(key).alias("_hot_key"), F.col(payload).alias("_hot_value")
     )
     marked = many.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
     cold = F.col("_hot_key").isNull()
-    scattered = F.concat(F.lit("#"), F.xxhash64(*many.columns).cast("string"))
+    scattered = F.concat(F.lit("#"), F.xxhash64(*scatter).cast("string"))
     marked = marked.withColumn("_cold", cold).withColumn(
         "_join_key", F.when(cold, F.col(key)).otherwise(scattered)
     )
@@ -52,7 +55,8 @@ def running_start(
 
     A plain window would sort a whole group in one task.  Here a group is cut into spans of
     positions; spans are summed first (with map-side combine), the short list of span sums is
-    accumulated, and rows only accumulate within their own span.
+    accumulated, and rows only accumulate within their own span.  ``rows`` is read twice; stage it
+    if it is costly.
     """
     cut = rows.withColumn("_span", F.floor(F.col(position) / span)).withColumn("_amount", amount)
     sums = cut.groupBy(*group, "_span").agg(F.sum("_amount").alias("_total"))
@@ -78,7 +82,7 @@ def dense_index(rows: DataFrame, group: list[str], bucket: Column, order: list[s
     """Adds ``idx`` = 0, 1, 2, ... per group in order of (bucket, order).
 
     The bucket must be a function of the row.  Buckets are counted first, so that no task ever
-    sees more than one bucket of a group.
+    sees more than one bucket of a group.  ``rows`` is read twice; stage it if it is costly.
     """
     marked = rows.withColumn("_bucket", bucket)
     counts = marked.groupBy(*group, "_bucket").agg(F.count("*").alias("_n"))

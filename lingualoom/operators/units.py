@@ -95,7 +95,9 @@ def join_back(occ: DataFrame, translations: DataFrame) -> DataFrame:
 
     ``translations``: unit_key, n_occ, output.
     """
-    joined = spread_join(occ, translations, "unit_key", "n_occ", "output")
+    joined = spread_join(
+        occ, translations, "unit_key", "n_occ", "output", ["doc_id", "seg_no"]
+    )
     text = F.col("line")
     spans = F.when(~F.col("passed"), P.protected_spans(X.strip(text)))
     rebuilt = F.concat(

@@ -390,6 +390,18 @@ def set_baseline(spark, sf):
     return spark.read.schema(rows.schema).parquet(root)
 
 
+@query(
+    "read_baseline",
+    f"""WITH {_RUNS_SQL}, best AS (SELECT mode, arg_max(run_id, (created_at, run_id)) AS run_id FROM man
+      WHERE status = 'complete' AND NOT git_dirty AND last_user % 4 <> 1 AND mode = 'llm' GROUP BY mode)
+    SELECT event_type AS direction, event_id AS id, value AS score FROM ev JOIN best USING (run_id)""",
+)
+def read_baseline(spark, sf):
+    root = fresh_path(spark, "baselines")
+    sinks.set_baseline(sinks.baseline_rows(*_runs(spark, sf)), root)
+    return sinks.read_baseline(spark, root, "llm")
+
+
 @query(
     "write_no_overwrite",
     "SELECT count(*) AS written, true AS refused, count(*) AS still_there FROM documents",

@@ -159,7 +159,23 @@ def validate_tag_inventory(spark, sf):
     )
 
 
-@query("normalize_tag_ws")
+def _ws_sql() -> str:
+    ws = f"[{C.WS}]"
+    moved = "regexp_replace(regexp_replace(unit_text, '(<g[0-9]+>)', '\\1 ', 'g'), '(</g[0-9]+>)', ' \\1', 'g')"
+    once = (
+        f"regexp_replace(regexp_replace(acc, '(<g[0-9]+>)({ws}+)', '\\2\\1', 'g'), "
+        f"'({ws}+)(</g[0-9]+>)', '\\2\\1', 'g')"
+    )
+    steps = f"list_reduce(list_prepend({moved}, list_transform(range(8), lambda i: '')), lambda acc, x: {once})"
+    single = f"regexp_replace(t, '([^{C.WS}]) {{2,}}([^{C.WS}])', '\\1 \\2', 'g')"
+    single = f"regexp_replace({single}, '([^{C.WS}]) {{2,}}([^{C.WS}])', '\\1 \\2', 'g')"
+    lead = f"left(unit_text, length(unit_text) - length(ltrim(unit_text, {D.quote_ws()})))"
+    trail = f"CASE WHEN {D.sql_blank('unit_text')} THEN '' ELSE substr(unit_text, length(rtrim(unit_text, {D.quote_ws()})) + 1) END"
+    return f"""WITH {D.ENCODED_SQL}, m AS (SELECT doc_id, seg_no, unit_text, {steps} AS t FROM enc)
+    SELECT doc_id, seg_no, {lead} || {D.sql_strip(single)} || {trail} AS text FROM m"""
+
+
+@query("normalize_tag_ws", _ws_sql())
 def normalize_tag_ws(spark, sf):
     moved = F.regexp_replace(
         F.regexp_replace("unit_text", "(<g[0-9]+>)", "$1 "), "(</g[0-9]+>)", " $1"

@@ -456,8 +456,8 @@ _REBUILT = f"""WITH {D.OCC_SQL}, done AS (SELECT doc_id, seg_no, CASE WHEN passe
     _REBUILT + " SELECT doc_id, md5(text) AS text_md5, length(text)::INTEGER AS n FROM rebuilt",
 )
 def reassemble_txt(spark, sf):
-    docs = D.corpus(spark, sf)
-    rebuilt = jobs.rebuild_documents(docs, jobs.translate_lines(docs, "en"))
+    done = jobs.translate_lines(D.corpus(spark, sf), "en", every_line=True)
+    rebuilt = jobs.rebuild_documents(done)
     return rebuilt.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").alias("n"))
 
 

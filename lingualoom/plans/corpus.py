@@ -11,12 +11,15 @@ from lingualoom.session import stage
 from lingualoom.sources import text as S
 
 
-def translate_lines(docs: DataFrame, target: str, lang: str = "lang") -> DataFrame:
+def translate_lines(
+    docs: DataFrame, target: str, lang: str = "lang", every_line: bool = False
+) -> DataFrame:
     """documents -> segments -> unique inputs -> marker engine -> every occurrence.
 
     One shuffle for the distinct inputs and one for the join back; the marker engine is a native
     expression, so nothing leaves the JVM.  The answers are written down, as after any engine:
     the join reads them twice, and the documents are scanned once for inputs and once for lines.
+    ``every_line`` keeps blank lines and line endings, for rebuilding files.
     """
     segments = S.scan_segments(docs, keep=(lang,))
     distinct = units.unique_units(units.engine_inputs(segments, lang))
@@ -28,7 +31,8 @@ def translate_lines(docs: DataFrame, target: str, lang: str = "lang") -> DataFra
         ),
         "answers",
     )
-    return units.join_back(units.occurrences(segments, lang), answered)
+    lines = S.scan_txt_lines(docs, keep=(lang,)) if every_line else segments
+    return units.join_back(units.occurrences(lines, lang), answered)
 
 
 def translation_report(docs: DataFrame, target: str, lang: str = "lang") -> DataFrame:
@@ -47,24 +51,16 @@ def translation_report(docs: DataFrame, target: str, lang: str = "lang") -> Data
     )
 
 
-def rebuild_documents(docs: DataFrame, translated: DataFrame) -> DataFrame:
+def rebuild_documents(translated: DataFrame) -> DataFrame:
     """Original line structure with translated lines in it, one text per document.
 
-    A file is one row by nature, and ``doc_limits`` keeps any file bounded before this point.
+    translated: every line with its ending (``translate_lines(..., every_line=True)``), so nothing
+    is joined again.  A file is one row by nature, and ``doc_limits`` keeps any file bounded.
     """
-    lines = S.scan_txt_lines(docs)
-    new = translated.select("doc_id", "seg_no", "translated")
-    full = lines.join(new, ["doc_id", "seg_no"], "left").select(
-        "doc_id",
-        F.struct(
-            "seg_no",
-            F.concat(
-                F.coalesce(X.one_line(F.col("translated")), F.col("line")), F.col("ending")
-            ).alias("text"),
-        ).alias("piece"),
-    )
-    return full.groupBy("doc_id").agg(
+    line = F.when(F.col("passed"), F.col("line")).otherwise(X.one_line(F.col("translated")))
+    piece = F.struct("seg_no", F.concat(line, F.col("ending")).alias("text"))
+    return translated.groupBy("doc_id").agg(
         F.array_join(
-            F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["text"]), ""
+            F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["text"]), ""
         ).alias("text")
     )

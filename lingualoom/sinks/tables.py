@@ -85,3 +85,9 @@ def set_baseline(rows: DataFrame, root: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         "mode"
     ).parquet(root)
+
+
+def read_baseline(spark: SparkSession, root: str, mode: str) -> DataFrame:
+    """direction, id, score of one mode's baseline; only that mode's folder is read."""
+    rows = spark.read.parquet(root).filter(F.col("mode") == mode)
+    return rows.select("direction", "id", F.col("comet").alias("score"))

@@ -19,7 +19,7 @@ def test_spread_join_equals_a_plain_join(spark, monkeypatch):
     one = many.filter("key <> 'unknown'").groupBy("key").agg(F.count("*").alias("n")).withColumn(
         "v", F.concat(F.lit("v-"), "key")
     )
-    got = sorted(map(tuple, spread.spread_join(many, one, "key", "n", "v").collect()))
+    got = sorted(map(tuple, spread.spread_join(many, one, "key", "n", "v", ["i"]).collect()))
     want = sorted(map(tuple, many.join(one.select("key", "v"), "key", "left").select("i", "key", "v").collect()))
     assert got == want and len(got) == 1201
 

@@ -14,7 +14,7 @@ def docs(spark, *rows):
 
 def translated(spark, text, lang="zh"):
     table = docs(spark, (1, lang, text))
-    done = jobs.rebuild_documents(table, jobs.translate_lines(table, "en"))
+    done = jobs.rebuild_documents(jobs.translate_lines(table, "en", every_line=True))
     return done.first()["text"]
 
 
