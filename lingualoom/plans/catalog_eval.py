@@ -84,9 +84,9 @@ def detect_rule(spark, sf):
 
 
 _PROFILE_SQL = """
-    tg AS (SELECT lang, doc_id, lower(text) AS t FROM documents),
-    g AS (SELECT lang, t[i:i+2] AS gram, count(*) AS n
-          FROM (SELECT lang, t, unnest(range(1, length(t) - 1)) AS i FROM tg) GROUP BY ALL),
+    tg AS (SELECT lang, string_split(lower(text), '') AS c FROM documents),
+    g AS (SELECT lang, gram, count(*) AS n FROM (SELECT lang, unnest(list_transform(range(1, len(c) - 1),
+          lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram FROM tg) GROUP BY ALL),
     top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS rn FROM g)
             WHERE rn <= 300),
     tot AS (SELECT lang, sum(n)::BIGINT AS total FROM top GROUP BY lang),
@@ -99,8 +99,8 @@ _PROFILE_SQL = """
 def _score_sql(samples: str, keys: str) -> str:
     """CTEs ``scored``/``conf`` over a relation with keys and column ``sample``."""
     return f"""
-    sg AS (SELECT {keys}, s[i:i+2] AS gram FROM (
-        SELECT {keys}, lower(sample) AS s, unnest(range(1, length(sample) - 1)) AS i FROM {samples})),
+    sg AS (SELECT {keys}, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram
+        FROM (SELECT {keys}, string_split(lower(sample), '') AS c FROM {samples})),
     scored AS (SELECT {keys}, lang AS cand, sum(w)::BIGINT AS s FROM sg JOIN prof USING (gram) GROUP BY ALL),
     ranked AS (SELECT *, max(s) OVER (PARTITION BY {keys}) AS b FROM scored),
     conf AS (SELECT {keys}, min(cand) FILTER (s = b) AS best,
