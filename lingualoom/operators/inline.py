@@ -187,16 +187,18 @@ def project_spans(failed: DataFrame) -> DataFrame:
     """Adds ``projected``: unit_text's tags set into ``plain`` with ``spans``, validated, or NULL."""
     bound = (
         failed.withColumn("_src", G.structure(F.col("unit_text")))
-        .withColumn("_depths", G.depths(F.col("_src")))
         .withColumn("_low", F.lower("plain"))
+        .withColumn("_found", G.locate(F.col("spans"), F.col("_low")))
+        .withColumn("_depths", G.depths(F.col("_src")))
+        .withColumn("_placed", G.inserts(F.col("_found"), F.col("_depths")))
     )
     attempt = G.projected(
-        F.col("unit_text"), F.col("plain"), F.col("_low"), F.col("spans"), F.col("_depths")
+        F.col("unit_text"), F.col("plain"), F.col("_found"), F.col("_placed")
     )
     checked = validate_tags(bound.withColumn("_try", attempt), "_try")
     return checked.withColumn(
         "projected", F.when(F.col("reason").isNull(), F.col("_try"))
-    ).drop("_src", "_depths", "_low", "_try", "reason")
+    ).drop("_src", "_low", "_depths", "_found", "_placed", "_try", "reason")
 
 
 def decode_tags(answered: DataFrame, output: str = "output") -> DataFrame:
