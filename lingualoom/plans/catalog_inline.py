@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 
 from lingualoom.functions import chars as C
 from lingualoom.functions import tags as G
-from lingualoom.operators import infer, report, units
+from lingualoom.operators import infer, units
 from lingualoom.operators import inline as I
 from lingualoom.plans import derived as D
 from lingualoom.plans import recover
-from lingualoom.session import stage
 from lingualoom.sources import text as S
 
 QUERIES = {}

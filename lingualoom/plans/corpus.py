@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lingualoom.functions import text as X
-from lingualoom.operators import infer, report, units
+from lingualoom.operators import infer, units
 from lingualoom.session import stage
 from lingualoom.sources import text as S
 

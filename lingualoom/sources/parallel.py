@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lingualoom.functions import text as X
+from lingualoom.operators.spread import salted_join
 
 # ---- fixed values: the pinned corpus revision ----------------------------------------------------
 PINNED_NAME = "flores_plus"
@@ -62,11 +63,8 @@ def scan_parallel(rows: DataFrame, source: str, target: str, dataset: str = "dat
         .select(dataset)
         .distinct()
     )
-    return (
-        rows.filter(wanted)
-        .join(refused, dataset, "left_anti")
-        .select(dataset, "id", "source", "reference")
-    )
+    kept = salted_join(rows.filter(wanted), refused, [dataset], "left_anti", ["id"])
+    return kept.select(dataset, "id", "source", "reference")
 
 
 def read_parallel(spark: SparkSession, path: str) -> DataFrame:
@@ -85,7 +83,7 @@ def aligned_pairs(a: DataFrame, b: DataFrame, dataset: str = "dataset") -> DataF
     pairs = left.join(right, [dataset, "id"], "full_outer")
     odd = pairs.filter(F.col("source").isNull() | F.col("reference").isNull())
     unsound = odd.select(dataset).distinct().withColumn("_odd", F.lit(True))
-    return pairs.join(unsound, dataset, "left").select(
+    return salted_join(pairs, unsound, [dataset], "left", ["id"]).select(
         dataset, "id", "source", "reference", F.col("_odd").isNull().alias("sound")
     )
 

@@ -41,17 +41,17 @@ def test_repeated_lines_are_one_input(spark):
 
 
 def test_terms_and_urls_become_placeholders(spark):
-    text = "请访问 https://example.com/x. 使用 Lenny 工具。"
+    text = "请访问 https://example.com/x. 使用 Kestrel 工具。"
     row = docs(spark, (1, "zh", text)).withColumn(
-        "spans", P.spans_with_terms(["Lenny"])("text")
+        "spans", P.spans_with_terms(["Kestrel"])("text")
     ).select(
         P.encode_line_with_terms(F.col("text"), F.col("spans")).alias("with_terms"),
         P.encode_line(F.col("text")).alias("plain"),
         P.span_texts(F.col("text"), F.col("spans")).alias("kept"),
     ).first()
     assert row["with_terms"] == "请访问 <x1/>. 使用 <x2/> 工具。"
-    assert row["plain"] == "请访问 <x1/>. 使用 Lenny 工具。"
-    assert row["kept"] == ["https://example.com/x", "Lenny"]
+    assert row["plain"] == "请访问 <x1/>. 使用 Kestrel 工具。"
+    assert row["kept"] == ["https://example.com/x", "Kestrel"]
 
 
 def test_overlapping_terms_prefer_earliest_then_longest(spark):
