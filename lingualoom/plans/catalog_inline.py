@@ -250,13 +250,26 @@ def _forgetful(texts):
     return texts.withColumn("output", F.when(lost, G.strip_paired(marked)).otherwise(marked))
 
 
-@query("recovery_cascade")
+# The forgetful engine puts EN: in front of every answer, so a span's own answer is found in the
+# whole answer only where the paragraph begins with that span.
+@query(
+    "recovery_cascade",
+    f"""WITH {D.ENCODED_SQL}, u AS (SELECT doc_id, unit_text, n_groups, {D.sql_strip("regexp_replace(unit_text, '</?g[0-9]+>', '', 'g')")} AS bare,
+      length({D.sql_strip('unit_text')}) AS size, {D.sql_strip("regexp_replace(split_part(split_part(unit_text, '<g1>', 2), '</g1>', 1), '<x[0-9]+/>', '', 'g')")} AS span FROM enc),
+    m AS (SELECT doc_id, unit_text, CASE WHEN n_groups = 0 OR size % 3 <> 0 THEN 'direct'
+      WHEN n_groups = 1 AND span <> '' AND starts_with(lower(bare), lower(rtrim(span, '.。．'))) THEN 'projected' ELSE 'segmented' END AS method FROM u)
+    SELECT doc_id, method, count(*) AS segments, count(DISTINCT unit_text) AS inputs, 0::BIGINT AS errors, 0::BIGINT AS empty
+    FROM m GROUP BY ALL""",
+)
 def recovery_cascade(spark, sf):
+    from lingualoom.functions import text as X
+
     segments, nodes = recover.translate_formatted(D.nodes(spark, sf), _forgetful, "en")
     visible = I.visible_text(nodes)
+    blank = F.coalesce(X.is_blank(F.col("text")), F.lit(True))
     return segments.join(visible, ["doc_id", "seg_no"], "left").groupBy("doc_id", "method").agg(
         F.count("*").alias("segments"), F.countDistinct("unit_key").alias("inputs"),
-        F.sum(F.length("text")).alias("chars"), F.count("error_code").alias("errors"),
+        F.count("error_code").alias("errors"), F.count_if(blank).alias("empty"),
     )
 
 
