@@ -205,13 +205,31 @@ def segmented_pieces(spark, sf):
     return I.segmented_pieces(_normalized(spark, sf))
 
 
-@query("project_spans")
+_NEEDLE_SQL = f"""lower(rtrim({D.sql_strip("regexp_replace(split_part(split_part(unit_text, '<g' || g || '>', 2), '</g' || g || '>', 1), '</?g[0-9]+>|<x[0-9]+/>', '', 'g')")}, '.。．'))"""
+
+
+@query(
+    "project_spans",
+    f"""WITH {D.ENCODED_SQL}, b AS (SELECT *, regexp_replace(unit_text, '</?g[0-9]+>', '', 'g') AS bare FROM enc),
+    s AS (SELECT doc_id, seg_no, lower(bare) AS low, {_NEEDLE_SQL} AS needle
+      FROM (SELECT *, unnest(range(1, n_groups + 1)) AS g FROM b)),
+    f AS (SELECT doc_id, seg_no, bool_and(needle <> '' AND length(low) - length(replace(low, needle, '')) = length(needle)) AS ok
+      FROM s GROUP BY ALL)
+    SELECT doc_id, seg_no, COALESCE(ok, true) AS found, CASE WHEN COALESCE(ok, true) THEN md5(bare) END AS plain_md5,
+      CASE WHEN COALESCE(ok, true) THEN n_groups::INTEGER END AS groups FROM b LEFT JOIN f USING (doc_id, seg_no)""",
+)
 def project_spans(spark, sf):
-    encoded = _encoded(spark, sf)
-    asked = encoded.withColumn("plain", F.upper(G.strip_paired(F.col("unit_text")))).withColumn(
-        "plain", F.regexp_replace("plain", "<X([0-9]+)/>", "<x$1/>")
-    ).withColumn("spans", G.span_texts(F.col("unit_text"), F.col("groups")))
-    return I.project_spans(asked).select("doc_id", "seg_no", "projected")
+    asked = _encoded(spark, sf).withColumn("plain", G.strip_paired(F.col("unit_text"))).withColumn(
+        "spans", G.span_texts(F.col("unit_text"), F.col("groups"))
+    )
+    return I.project_spans(asked).select(
+        "doc_id", "seg_no", F.col("projected").isNotNull().alias("found"),
+        F.md5(G.strip_paired(F.col("projected"))).alias("plain_md5"),
+        F.when(
+            F.col("projected").isNotNull(),
+            F.size(F.regexp_extract_all("projected", F.lit("<g[0-9]+>"), F.lit(0))),
+        ).alias("groups"),
+    )
 
 
 def _joined_sql() -> str:
