@@ -102,7 +102,9 @@ def fill_spans(output: Column, spans: Column) -> Column:
 def passes_through(text: Column, lang: Column) -> Column:
     """Nothing to translate: no letter outside protected spans, or none of the source's script."""
     rest = outside_spans(text)
-    return ~(rest.rlike(r"\p{L}") & X.has_script_letter(rest, lang))
+    # A Latin script letter is a letter; the CJK blocks also hold marks that are none.
+    is_letter = rest.rlike(r"\p{L}") | ~lang.isin(*C.CJK_LANGUAGES)
+    return ~(X.has_script_letter(rest, lang) & is_letter)
 
 
 def spans_with_terms(terms: Sequence[str]):
