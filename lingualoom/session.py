@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# The folder of each application that runs on this machine and names none.
+_INVENTED: dict[str, str] = {}
+
+
 def local_session(cpus: int | str = 8, app: str = "lingualoom") -> SparkSession:
     """A session for tests and the bench.  On a cluster the submitter configures the session."""
     return (
@@ -47,11 +51,12 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    invented = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", invented)
-    return invented
+    app = spark.sparkContext.applicationId
+    if app not in _INVENTED:
+        _INVENTED[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _INVENTED[app]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -69,3 +74,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(spark, label)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete tables that ``stage`` wrote, once everything made from them is itself written."""
+    for df in staged:
+        spark = df.sparkSession
+        root = shared_dir(spark).rstrip("/") + "/"
+        folders = {f.rpartition("/")[0] for f in df.inputFiles()}
+        for folder in folders:
+            if folder.removeprefix("file:").lstrip("/").startswith(root.removeprefix("file:").lstrip("/")):
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
