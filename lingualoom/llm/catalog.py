@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingualoom.llm import simhash
+from lingualoom.llm import decontaminate, mixing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,5 +21,86 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op5_simhash": op5_simhash}
-ORACLE: dict[str, str] = {}
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = mixing.mix_counts(_table(spark, sf_dir, "documents"))
+    return counted.select(
+        "doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.col("copies")).alias("taken")
+    )
+
+
+OP6_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), sums AS (
+  SELECT source, sum(size)::BIGINT AS s,
+         [5, 2, 1][1 + ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT]::BIGINT AS w
+  FROM sized GROUP BY source
+), ordered AS (
+  SELECT *, row_number() OVER (ORDER BY 3 * s / w, source NULLS LAST) AS k,
+         coalesce(sum(3 * s) OVER before, 0) AS capped, coalesce(sum(w) OVER before, 0) AS gone,
+         sum(s) OVER () AS total, sum(w) OVER () AS weights
+  FROM sums WINDOW before AS (ORDER BY 3 * s / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), level AS (
+  -- The first source, from the one that reaches its limit soonest, that stays within it.
+  SELECT arg_min((total - capped)::DOUBLE / (weights - gone)::DOUBLE, k) AS l
+  FROM ordered WHERE (total - capped)::DOUBLE / (weights - gone)::DOUBLE * w <= 3 * s
+), plan AS (
+  SELECT source, s, CASE WHEN l IS NULL THEN s::DOUBLE * 3 ELSE least(s::DOUBLE * 3, w::DOUBLE * l) END AS target
+  FROM sums, level
+), rated AS (
+  SELECT doc_id, size, s AS source_size, target, CASE WHEN s > 0 THEN target / s ELSE 0.0 END AS rate,
+         ('0x' || substr(md5('mix42:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
+  FROM sized JOIN plan ON sized.source IS NOT DISTINCT FROM plan.source
+)
+SELECT doc_id, size, source_size, round(target, 6) AS target,
+       (size * (floor(rate) + (u < rate - floor(rate))::INT))::BIGINT AS taken
+FROM rated
+"""
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    found = decontaminate.contamination(docs, benchmark)
+    key = decontaminate.text_key(F.col("text"))
+    counted = docs.select(
+        "doc_id", *key, F.coalesce(F.regexp_count("text", F.lit(decontaminate.WORD)), F.lit(0)).cast("long").alias("n_words")
+    )
+    return counted.join(found, ["k1", "k2"], "left").select(
+        "doc_id",
+        "n_words",
+        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
+        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+    )
+
+
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), b_windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[p:p + least(len(w), 10) - 1], ' ') AS gram
+  FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS p FROM b WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT n FROM b_windows
+), d_windows AS (
+  SELECT doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') AS gram
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS p FROM d, sizes WHERE len(w) >= n)
+), hits AS (SELECT doc_id, p, n, item_id FROM d_windows JOIN b_windows USING (n, gram)
+), places AS (
+  SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(generate_series(p, p + n - 1)) AS q FROM hits) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN places ON places.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
+"""
+
+
+QUERIES = {"op5_simhash": op5_simhash, "op6_mixing": op6_mixing, "op7_decontaminate": op7_decontaminate}
+ORACLE = {"op6_mixing": OP6_SQL, "op7_decontaminate": OP7_SQL}
