@@ -68,11 +68,18 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Used right after an engine call, so that branches and retried tasks never repeat inference,
-    and after a result that several later branches read.  The files outlive any executor.
+    and after a result that several later branches read.  The files outlive any executor.  Shuffle
+    files of the write are dropped as soon as it has ended.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.mode("errorifexists").parquet(path)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup)
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.mode("errorifexists").parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
