@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingualoom.llm import decontaminate, mixing, simhash
+from lingualoom.llm import decontaminate, mixing, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,5 +102,35 @@ FROM d LEFT JOIN places ON places.doc_id = d.doc_id LEFT JOIN items ON items.doc
 """
 
 
-QUERIES = {"op5_simhash": op5_simhash, "op6_mixing": op6_mixing, "op7_decontaminate": op7_decontaminate}
-ORACLE = {"op6_mixing": OP6_SQL, "op7_decontaminate": OP7_SQL}
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.deduplicated(_table(spark, sf_dir, "documents"), F.sha2("kept", 256))
+    return found.withColumnRenamed("kept", "kept_sha256")
+
+
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, p, md5(array_to_string(w[p:p + 19], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 19)) AS p FROM d WHERE len(w) >= 20)
+), later AS (
+  SELECT doc_id, p FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS k FROM windows) WHERE k > 1
+), gone AS (SELECT DISTINCT doc_id, unnest(generate_series(p, p + 19)) AS q FROM later
+), cut AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY q) FILTER (WHERE NOT lost) AS kept, count(*) FILTER (WHERE lost) AS n_removed
+  FROM (SELECT a.doc_id, a.q, a.word, gone.q IS NOT NULL AS lost
+        FROM (SELECT doc_id, unnest(generate_series(1, len(w))) AS q, unnest(w) AS word FROM d) a
+        LEFT JOIN gone ON gone.doc_id = a.doc_id AND gone.q = a.q) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN cut ON cut.doc_id = d.doc_id
+"""
+
+
+QUERIES = {
+    "op5_simhash": op5_simhash,
+    "op6_mixing": op6_mixing,
+    "op7_decontaminate": op7_decontaminate,
+    "op10_substrings": op10_substrings,
+}
+ORACLE = {"op6_mixing": OP6_SQL, "op7_decontaminate": OP7_SQL, "op10_substrings": OP10_SQL}
