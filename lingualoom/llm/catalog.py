@@ -5,13 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingualoom.llm import decontaminate, mixing, simhash, substrings
+from lingualoom.llm import decontaminate, mixing, simhash, substrings, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
+), firsts AS (SELECT h, min(page_id) AS first FROM p GROUP BY h
+), coded AS (
+  SELECT h, first, array_to_string(list_transform(range(0, 8), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda b:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 5 * i::INT + 1, 5))::BIGINT >> b) & 31)::INT, 1)), '')), '') AS digest
+  FROM firsts
+)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM p JOIN coded USING (h)
+"""
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select(
@@ -128,9 +148,10 @@ FROM d LEFT JOIN cut ON cut.doc_id = d.doc_id
 
 
 QUERIES = {
+    "op2_warc": op2_warc,
     "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
     "op7_decontaminate": op7_decontaminate,
     "op10_substrings": op10_substrings,
 }
-ORACLE = {"op6_mixing": OP6_SQL, "op7_decontaminate": OP7_SQL, "op10_substrings": OP10_SQL}
+ORACLE = {"op2_warc": OP2_SQL, "op6_mixing": OP6_SQL, "op7_decontaminate": OP7_SQL, "op10_substrings": OP10_SQL}

@@ -174,12 +174,11 @@ def near_duplicates(
     rows = stage(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = stage(rows.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
     found = components(links(distinct, radius), "a", "b").withColumnRenamed("node", "fp")
-    firsts = distinct.join(found, "fp", "left")
-    roots = (
-        firsts.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("first").alias("root"))
-    )
+    linked = distinct.join(found, "fp")
+    roots = linked.groupBy("label").agg(F.min("first").alias("root"))
+    linked = linked.join(roots, "label").select("fp", "root")
     named = stage(
-        firsts.join(roots, "label", "left").select("fp", F.coalesce("root", "first").alias("component_id")), "components"
+        distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "first").alias("component_id")), "components"
     )
     discard(distinct, found)
     return rows.join(named, "fp", "left").select("id", "fp", "component_id")
