@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingualoom.llm import decontaminate, mixing, simhash, substrings, warc
+from lingualoom.llm import decontaminate, mixing, simhash, substrings, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -122,6 +122,11 @@ FROM d LEFT JOIN places ON places.doc_id = d.doc_id LEFT JOIN items ON items.doc
 """
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
+
+
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.deduplicated(_table(spark, sf_dir, "documents"), F.sha2("kept", 256))
     return found.withColumnRenamed("kept", "kept_sha256")
@@ -152,6 +157,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
     "op7_decontaminate": op7_decontaminate,
+    "op9_toxicity": op9_toxicity,
     "op10_substrings": op10_substrings,
 }
 ORACLE = {"op2_warc": OP2_SQL, "op6_mixing": OP6_SQL, "op7_decontaminate": OP7_SQL, "op10_substrings": OP10_SQL}
