@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingualoom.llm import decontaminate, mixing, simhash, substrings, toxicity, warc
+from lingualoom.llm import decontaminate, mixing, pii, simhash, substrings, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -122,6 +122,18 @@ FROM d LEFT JOIN places ON places.doc_id = d.doc_id LEFT JOIN items ON items.doc
 """
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = pii.with_spans(docs.select("doc_id", "text"))
+    base = F.concat(*[pii.listed(F.col(f"_{k}"), k) for k in pii.KINDS])
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
+        F.array_join(F.concat(base, pii.listed(F.col("_term"), pii.TERM)), ",").alias("spans"),
+    )
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
@@ -157,6 +169,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
     "op7_decontaminate": op7_decontaminate,
+    "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_substrings": op10_substrings,
 }
