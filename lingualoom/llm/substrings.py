@@ -23,6 +23,7 @@ NO_ID = (1 << 63) - 1
 
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd multipliers of the two window hashes
 _CELLS = "bucket int, known boolean, ids binary, keys binary, counts binary, pos binary, code binary, check binary"
+_REPLIES = "part int, ids binary, keys binary, counts binary, pos binary"
 _PLACES = "id long, key int, pos array<int>"
 
 
@@ -106,12 +107,35 @@ def _joined(table: pa.Table, name: str, kind: type) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
-def _places(ids: np.ndarray, keys: np.ndarray, pos: np.ndarray) -> pa.Table:
-    """Windows as one row per run of the same document."""
-    change = np.r_[True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])] if len(ids) else np.zeros(0, bool)
-    starts = np.flatnonzero(change)
-    offsets = pa.array(np.r_[starts, len(ids)].astype(np.int32))
-    lists = pa.ListArray.from_arrays(offsets, pa.array(pos.astype(np.int32)))
+def _replies(ids: np.ndarray, keys: np.ndarray, pos: np.ndarray, parts: int) -> pa.Table:
+    """Windows as one row per part of the documents, in the form of a cell."""
+    names = [c.split()[0] for c in _REPLIES.split(", ")]
+    kinds = [pa.int32()] + [pa.binary()] * 4
+    if not len(ids):
+        return pa.table([pa.array([], k) for k in kinds], names=names)
+    part = (ids % parts).astype(np.int64)
+    order = np.lexsort((keys, ids, part))
+    part, ids, keys, pos = part[order], ids[order], keys[order], pos[order].astype(np.uint32)
+    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    rows = []
+    for lo, hi in zip(cuts, np.r_[cuts[1:], len(part)], strict=True):
+        first, counts = _document_runs(ids[lo:hi], keys[lo:hi])
+        rows.append((int(part[lo]), ids[lo:hi][first].tobytes(), keys[lo:hi][first].tobytes(), counts.astype(np.uint32).tobytes(), pos[lo:hi].tobytes()))
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
+def _document_runs(ids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])]) if len(ids) else np.zeros(0, np.int64)
+    return starts, np.diff(np.r_[starts, len(ids)])
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """All windows of each document of one part, which bounds the lists."""
+    ids, keys, pos = _opened(table)
+    order = np.lexsort((pos, keys, ids))
+    ids, keys, pos = ids[order], keys[order], pos[order]
+    starts, _ = _document_runs(ids, keys)
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(ids)].astype(np.int32)), pa.array(pos.astype(np.int32)))
     return pa.table([pa.array(ids[starts]), pa.array(keys[starts]), lists], names=["id", "key", "pos"])
 
 
@@ -168,9 +192,9 @@ def anchors(docs: DataFrame, buckets: int) -> DataFrame:
             block = np.logical_or.reduceat(pos[order] % BLOCK == 0, starts)
             hit = np.sort(order[np.repeat(block & (sizes > 1), sizes)])
             ids, keys, pos = ids[hit], keys[hit], pos[hit]
-        return _places(ids, keys, pos)
+        return _replies(ids, keys, pos, buckets)
 
-    return docs.mapInArrow(scan, _CELLS).groupBy("bucket").applyInArrow(match, _PLACES)
+    return docs.mapInArrow(scan, _CELLS).groupBy("bucket").applyInArrow(match, _REPLIES).groupBy("part").applyInArrow(_gather, _PLACES)
 
 
 def repeats(suspects: DataFrame, buckets: int) -> DataFrame:
@@ -211,9 +235,9 @@ def repeats(suspects: DataFrame, buckets: int) -> DataFrame:
             order, head, same = _first_places(one, two, ids, keys, pos)
             later = np.sort(order[~head & ~same])
             ids, keys, pos = ids[later], keys[later], pos[later]
-        return _places(ids, keys, pos)
+        return _replies(ids, keys, pos, buckets)
 
-    return suspects.mapInArrow(scan, _CELLS).groupBy("bucket").applyInArrow(settle, _PLACES)
+    return suspects.mapInArrow(scan, _CELLS).groupBy("bucket").applyInArrow(settle, _REPLIES).groupBy("part").applyInArrow(_gather, _PLACES)
 
 
 def _first_places(
@@ -230,11 +254,6 @@ def _first_places(
     return order, head, same
 
 
-def _gathered(places: DataFrame) -> DataFrame:
-    """One row per document, which bounds the list."""
-    return places.groupBy("id", "key").agg(F.flatten(F.collect_list("pos")).alias("pos"))
-
-
 def shortened(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, key, n_removed, kept``: the rows of ``docs`` that lose words, with the words they keep.
 
@@ -247,11 +266,12 @@ def shortened(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
     rows = _keyed(docs, id_col, text_col)
-    hits = _gathered(anchors(rows, buckets))
+    hits = stage(anchors(rows, buckets), "anchors")
     suspects = stage(rows.join(hits, ["id", "key"]).select("id", "key", "t", "pos").distinct(), "suspects")
-    later = _gathered(repeats(suspects, buckets)).withColumnRenamed("pos", "later")
+    discard(hits)
+    later = stage(repeats(suspects, buckets), "repeats").withColumnRenamed("pos", "later")
     result = stage(suspects.join(later, ["id", "key"]).select("id", "key", "t", "later").mapInArrow(_cut, _KEPT), "shortened")
-    discard(suspects)
+    discard(suspects, later)
     return result
 
 
