@@ -5,13 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingualoom.llm import decontaminate, mixing, pii, simhash, substrings, toxicity, warc
+from lingualoom.llm import decontaminate, fingerprints, mixing, pii, simhash, substrings, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = fingerprints.edited_pairs(_table(spark, sf_dir, "documents"))
+    return pairs.select(
+        F.col("id").alias("doc_id"),
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.as_hex(F.col("own")).alias("fingerprint"),
+        fingerprints.as_hex(F.col("edited_print")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("own"), F.col("edited_print")).alias("near_edited"),
+        fingerprints.likeness(F.col("own"), F.col("next_print")).alias("near_next"),
+    )
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.round_trip(_table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -165,6 +178,7 @@ FROM d LEFT JOIN cut ON cut.doc_id = d.doc_id
 
 
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_warc": op2_warc,
     "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
