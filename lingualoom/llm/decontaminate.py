@@ -10,7 +10,7 @@ from lingualoom.session import discard, stage
 
 # What stands between two words once A-Z are in lower case, and a word before that.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]++"
 SPAN = 10
 GRAM = 6
 
@@ -19,41 +19,37 @@ def tokens(text: Column) -> Column:
     return words(ascii_lower(text), GAPS)
 
 
-def winnow(tokens_: Column, span: int = SPAN, gram: int = GRAM) -> Column:
-    """``array<struct<h, pos>>``: the grams that are the smallest of some window of the text.
+def winnowed(tokens_: Column, span: int = SPAN, gram: int = GRAM) -> Column:
+    """``array<bigint>``: hashes of the grams that are the smallest of some window of the text.
 
-    A window is ``span - gram + 1`` consecutive grams, that is ``span`` words, so any shared run
-    of ``span`` words has a selected gram at the same place in both texts.  Where a smallest hash
-    occurs several times in a window all its places are selected, which keeps that true for
-    repetitive text.  ``pos`` counts from 0.
+    A window is ``span - gram + 1`` consecutive grams, that is ``span`` words, so texts that share a
+    run of ``span`` words share the smallest hash of that run.
     """
     width = span - gram + 1
-    none = F.array().cast("array<struct<h:bigint,pos:int>>")
 
-    def pick(h: Column) -> Column:
-        def chosen(least: Column) -> Column:
-            def smallest_somewhere(i: Column) -> Column:
-                first = F.greatest(i - (width - 2), F.lit(1))
-                return F.array_max(F.slice(least, first, i + 2 - first)) == h[i]
+    def least(h: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(h) - (width - 1))
+        return F.array_distinct(F.transform(starts, lambda i: F.array_min(F.slice(h, i, width))))
 
-            places = F.filter(F.sequence(F.lit(0), F.size(h) - 1), smallest_somewhere)
-            return F.transform(places, lambda i: F.struct(h[i].alias("h"), i.alias("pos")))
+    none = F.array().cast("array<bigint>")
+    return let(tokens_, lambda w: F.when(F.size(w) >= span, let(gram_hashes(w, gram), least)).otherwise(none))
 
-        windows = F.transform(F.sequence(F.lit(1), F.size(h) - (width - 1)), lambda i: F.array_min(F.slice(h, i, width)))
-        return let(windows, chosen)
 
-    return let(tokens_, lambda w: F.when(F.size(w) >= span, let(gram_hashes(w, gram), pick)).otherwise(none))
+def _placed(tokens_: Column, size: int) -> Column:
+    """``array<struct<h, pos>>``: every gram of ``size`` words with its place, from 0."""
+    return F.transform(gram_hashes(tokens_, size), lambda h, i: F.struct(h.alias("h"), i.alias("pos")))
 
 
 def _index(items: DataFrame, span: int, gram: int) -> DataFrame:
     """``ikey, len, size, h, pos``: winnowed grams of the items; a short item is one gram of its size."""
     whole = F.array(F.struct(F.xxhash64("w").alias("h"), F.lit(0).alias("pos")))
+    chosen = let(winnowed(F.col("w"), span, gram), lambda m: F.filter(_placed(F.col("w"), gram), lambda g: F.array_contains(m, g["h"])))
     short = F.size("w") < span
     return items.select(
         "ikey",
         F.size("w").alias("len"),
         F.when(short, F.size("w")).otherwise(gram).alias("size"),
-        F.inline(F.when(short, whole).otherwise(winnow(F.col("w"), span, gram))),
+        F.inline(F.when(short, whole).otherwise(chosen)),
     )
 
 
@@ -117,41 +113,40 @@ def contamination(
     occurrence of an item shorter than that.  Null and wordless texts and items share nothing; an
     item without an id counts for ``n_hit`` only.
 
-    Grams of documents meet those of the items by hash; a document, an item and the distance
-    between them make one candidate, however many grams they share.  Only candidates are compared
-    word by word.  Whether the item side is broadcast is left to Spark, which knows its size: it is
-    written first.
+    The winnowed grams of all documents meet those of the items by hash, which leaves few
+    documents.  Those are looked at again: wherever one of their grams stands in an item too, the
+    document, the item and the distance between them make one candidate, however many grams
+    they share, and candidates are compared word by word.  Whether the item side is broadcast is
+    left to Spark, which knows its size: it is written first.
     """
     items = benchmark.select(F.col(item_id).cast("string").alias("iid"), tokens(F.col(item_text)).alias("w"))
     items = stage(items.filter(F.size("w") > 0).withColumn("ikey", F.xxhash64("w")), "items")
     unique_items = items.select("ikey", "w").distinct()
     index = stage(_index(unique_items, span, gram), "item-grams")
-    sizes = sorted(r[0] for r in index.select("size").distinct().collect())  # at most `span` numbers
+    # At most `span` pairs of a size and whether it is that of short items.
+    sizes = {(r[0], r[1]) for r in index.select("size", F.col("len") < span).distinct().collect()}
+    short = sorted(size for size, is_short in sizes if is_short)
 
     rows = docs.select(*text_key(F.col(text_col)), tokens(F.col(text_col)).alias("w"))
-    grams = [winnow(F.col("w"), span, gram)]
-    for size in (s for s in sizes if s < span and s != gram):
-        grams.append(_all_grams(size))
-    if index.filter((F.col("len") < span) & (F.col("len") == gram)).limit(1).count():
-        grams.append(_all_grams(gram))
-    shared = [
-        rows.select("k1", "k2", F.inline(g)).join(index.withColumnRenamed("pos", "ipos"), "h") for g in grams
-    ]
-    found = shared[0]
-    for other in shared[1:]:
-        found = found.unionByName(other)
-    candidates = found.select("k1", "k2", "ikey", "len", (F.col("pos") - F.col("ipos")).alias("shift")).distinct()
-    candidates = stage(
-        candidates.groupBy("k1", "k2").agg(F.collect_list(F.struct("ikey", "len", "shift")).alias("found")), "candidates"
-    )
+    marks = [winnowed(F.col("w"), span, gram)] + [F.array_distinct(gram_hashes(F.col("w"), size)) for size in short]
+    hashes = index.select("h").distinct()
+    keys = None
+    for mark in marks:
+        met = rows.select("k1", "k2", F.explode(mark).alias("h")).join(hashes, "h", "left_semi").select("k1", "k2")
+        keys = met if keys is None else keys.unionByName(met)
+    keys = stage(keys.distinct(), "met-texts")
     # One text for each key, combined before the shuffle.
-    texts = docs.select(*text_key(F.col(text_col)), F.col(text_col).alias("t")).join(
-        candidates.select("k1", "k2"), ["k1", "k2"], "left_semi"
-    )
-    texts = texts.groupBy("k1", "k2").agg(F.max("t").alias("t"))
+    texts = docs.select(*text_key(F.col(text_col)), F.col(text_col).alias("t")).join(keys, ["k1", "k2"], "left_semi")
+    texts = stage(texts.groupBy("k1", "k2").agg(F.max("t").alias("t")).select("k1", "k2", tokens(F.col("t")).alias("w")), "met-words")
+    shared = None
+    for size in sorted({size for size, _ in sizes} | {gram}):
+        placed = texts.select("k1", "k2", F.inline(_placed(F.col("w"), size)))
+        both = placed.join(index.filter(F.col("size") == size).withColumnRenamed("pos", "ipos"), "h")
+        shared = both if shared is None else shared.unionByName(both)
+    candidates = shared.select("k1", "k2", "ikey", "len", (F.col("pos") - F.col("ipos")).alias("shift")).distinct()
+    candidates = candidates.groupBy("k1", "k2").agg(F.collect_list(F.struct("ikey", "len", "shift")).alias("found"))
     opened = (
         texts.join(candidates, ["k1", "k2"])
-        .select("k1", "k2", "found", tokens(F.col("t")).alias("w"))
         .select("k1", "k2", "w", F.explode("found").alias("f"))
         .select(
             "k1", "k2", "f.ikey", "f.shift",
@@ -169,16 +164,10 @@ def contamination(
         covered.join(ids, ["k1", "k2"]).select("k1", "k2", _covered(F.col("spans")).alias("n_hit"), "items", "spans"),
         "contamination",
     )
-    discard(items, index, candidates, spans)
+    discard(items, index, keys, texts, spans)
     return result
 
 
-def _all_grams(size: int) -> Column:
-    """Every gram of ``size`` words with its place."""
-    hashes = gram_hashes(F.col("w"), size)
-    return F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("pos")))
-
-
 def text_key(text: Column) -> tuple[Column, Column]:
     """Two 64-bit hashes that stand for a text."""
     full = F.coalesce(text, F.lit(""))
