@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -21,7 +22,11 @@ SEED = 42
 # Fingerprints that one task compares at once, and the side of a tile within them.
 GROUP = 2048
 TILE = 256
-_CHUNK = 1 << 16
+# Words of 64 bits in a wide fingerprint; keys of a text, and smallest hashes in each.
+WIDE = 4
+BANDS = 10
+BAND = 2
+_CHUNK = 1 << 14
 
 
 def simhash(text: str | None, shingle: int = SHINGLE) -> int:
@@ -58,20 +63,23 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links (as positions) that connect what lies within ``radius``, at most one per fingerprint.
 
-    Fingerprints are ordered by population count and cut into tiles; a pair of tiles is compared
-    with exclusive-or and bit counts, and skipped if their counts differ beyond the radius.
+    ``fps`` has one row per fingerprint and a column for each 64 bits.  Fingerprints are ordered by
+    population count and cut into tiles; a pair of tiles is compared with exclusive-or and bit
+    counts, and skipped if their counts differ beyond the radius.
     """
-    count = np.bitwise_count(fps)
+    count = np.bitwise_count(fps).sum(axis=1, dtype=np.int64)
     order = np.argsort(count, kind="stable")
-    fps, count = fps[order], count[order].astype(np.int64)
+    fps, count = fps[order], count[order]
     left, right = [], []
     for i in range(0, len(fps), TILE):
         most = count[min(i + TILE, len(fps)) - 1] + radius
         for j in range(i, len(fps), TILE):
             if count[j] > most:
                 break
-            near = np.bitwise_count(fps[i : i + TILE, None] ^ fps[None, j : j + TILE]) <= radius
-            x, y = np.nonzero(near)
+            differ = np.zeros((len(fps[i : i + TILE]), len(fps[j : j + TILE])), np.uint16)
+            for k in range(fps.shape[1]):
+                differ += np.bitwise_count(fps[i : i + TILE, None, k] ^ fps[None, j : j + TILE, k])
+            x, y = np.nonzero(differ <= radius)
             left.append(x + i)
             right.append(y + j)
     x, y = np.concatenate(left), np.concatenate(right)
@@ -90,10 +98,10 @@ def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return [(int(order[i]), int(order[label[i]])) for i in away]
 
 
-def _bucket_keys(fp: Column, radius: int) -> Column:
-    """Keys of which two fingerprints within ``radius`` share at least one.
+def field_keys(fp: Column, radius: int) -> Column:
+    """Keys of which two 64-bit fingerprints within ``radius`` share at least one.
 
-    The 64 bits are cut into ``radius + 2`` fields.  So many bits touch at most ``radius`` fields,
+    The bits are cut into ``radius + 2`` fields.  So many bits touch at most ``radius`` fields,
     hence some two fields are equal in both; there is one key for each choice of two fields.
     """
     cuts = [64 * i // (radius + 2) for i in range(radius + 3)]
@@ -105,19 +113,19 @@ def _bucket_keys(fp: Column, radius: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(100 * i + j), fields[i], fields[j]) for i, j in pairs])
 
 
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``a, b``: links between distinct fingerprints that connect all those within ``radius``.
+def links(nodes: DataFrame, radius: int) -> DataFrame:
+    """``a, b``: links that connect all nodes that share a key and lie within ``radius``.
 
-    A bucket of more than GROUP fingerprints is divided by population count, and those parts by a
-    hash; each pair of parts whose counts differ by no more than the radius is compared in a task
-    of its own.  Every pair within the radius is compared; what comes back is a spanning forest of
-    the links of each comparison, so dense groups do not multiply.
+    ``nodes`` are ``node, fp, keys``: an id, the fingerprint as ``array<bigint>``, and the buckets to
+    compare it in.  A bucket of more than GROUP nodes is divided by population count, and those
+    parts by a hash; each pair of parts whose counts differ by no more than the radius is
+    compared in a task of its own.  What comes back is a spanning forest of the links of each
+    comparison, so dense groups do not multiply.
     """
-    rows = distinct.select("fp", F.explode(_bucket_keys(F.col("fp"), radius)).alias("bucket")).withColumn(
-        "ones", F.bit_count("fp")
-    )
+    ones = F.aggregate("fp", F.lit(0), lambda s, x: s + F.bit_count(x))
+    rows = nodes.withColumn("ones", ones).select("node", "fp", "ones", F.explode("keys").alias("bucket"))
     sizes = rows.groupBy("bucket", "ones").agg(F.count("*").alias("n"))
-    # At most 65 population counts, whatever the size of the bucket.
+    # As many parts as population counts at most, whatever the size of the bucket.
     sizes = sizes.groupBy("bucket").agg(F.sum("n").alias("total"), F.collect_list(F.struct("ones", "n")).alias("parts"))
     rows = rows.join(sizes.filter("total > 1"), "bucket")
 
@@ -125,8 +133,8 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         return F.ceil(n / GROUP).cast("long")
 
     code = F.lit(1 << 40).cast("long")
-    own_n = F.filter("parts", lambda p: p["ones"] == F.col("ones")).getItem(0)["n"]
-    own = F.col("ones") * code + F.pmod(F.xxhash64(F.col("fp")), splits(own_n))
+    own_n = F.filter("parts", lambda p: p["ones"] == F.col("ones"))[0]["n"]
+    own = F.col("ones") * code + F.pmod(F.xxhash64("node"), splits(own_n))
     others = F.flatten(
         F.transform(
             F.filter("parts", lambda p: F.abs(p["ones"] - F.col("ones")) <= radius),
@@ -138,24 +146,25 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         F.transform(others, lambda o: F.xxhash64(F.least(o, F.col("own")), F.greatest(o, F.col("own"))))
     )
     groups = (
-        rows.select("bucket", "fp", F.explode(pairs).alias("pair"))
+        rows.select("bucket", "node", "fp", F.explode(pairs).alias("pair"))
         .groupBy("bucket", "pair")
-        .agg(F.collect_list("fp").alias("fps"))
-        .filter(F.size("fps") > 1)
-        .select("fps")
+        .agg(F.collect_list("node").alias("node"), F.flatten(F.collect_list("fp")).alias("fp"))
+        .filter(F.size("node") > 1)
+        .select("node", "fp")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
-            for one in batch.column(0):
-                fps = one.values.to_numpy(zero_copy_only=False)
-                if len(fps) == 2:
-                    found = [(0, 1)] if (int(fps[0] ^ fps[1]) & (2**64 - 1)).bit_count() <= radius else []
+            for ids, fps in zip(batch.column(0), batch.column(1), strict=True):
+                ids = ids.values.to_numpy(zero_copy_only=False)
+                fps = fps.values.to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), -1)
+                if len(ids) == 2:
+                    found = [(0, 1)] if int(np.bitwise_count(fps[0] ^ fps[1]).sum()) <= radius else []
                 else:
-                    found = forest(fps.view(np.uint64), radius)
-                a += [fps[i] for i, _ in found]
-                b += [fps[j] for _, j in found]
+                    found = forest(fps, radius)
+                a += [ids[i] for i, _ in found]
+                b += [ids[j] for _, j in found]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return groups.mapInArrow(run, "a long, b long").distinct()
@@ -173,7 +182,8 @@ def near_duplicates(
     """
     rows = stage(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = stage(rows.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
-    found = components(links(distinct, radius), "a", "b").withColumnRenamed("node", "fp")
+    nodes = distinct.select(F.col("fp").alias("node"), F.array("fp").alias("fp"), field_keys(F.col("fp"), radius).alias("keys"))
+    found = components(links(nodes, radius), "a", "b").withColumnRenamed("node", "fp")
     linked = distinct.join(found, "fp")
     roots = linked.groupBy("label").agg(F.min("first").alias("root"))
     linked = linked.join(roots, "label").select("fp", "root")
@@ -184,15 +194,74 @@ def near_duplicates(
     return rows.join(named, "fp", "left").select("id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest ``doc_id``.
+def wide_fingerprints(rows: DataFrame, shingle: int) -> DataFrame:
+    """``node, fp, keys`` from ``node, t``: a fingerprint of WIDE words of 64 bits, and BANDS keys.
+
+    The shingles are a set here.  A key is a hash of BAND smallest hashes under permutations of their
+    own, so two texts share a given key with the likeness of their sets to the power of BAND.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, keys = [], []
+            for text in batch.column(1):
+                tokens = split_bytes((text.as_py() or "").lower())
+                grams = {b" ".join(g) for g in zip(*(tokens[i:] for i in range(shingle)), strict=False)} or {b" ".join(tokens)}
+                hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, grams), np.uint64, len(grams))
+                counts = np.zeros(64 * WIDE, np.int64)
+                for start in range(0, len(hashes), _CHUNK):
+                    part = hashes[start : start + _CHUNK]
+                    mixed = np.stack([_mixed(part, k) for k in range(WIDE)], axis=1)
+                    counts += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                fps.append(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64).tolist())
+                least = np.array([_mixed(hashes, 100 + k).min() for k in range(BAND * BANDS)], np.uint64).reshape(BANDS, BAND)
+                keys.append([xxhash.xxh3_64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(least)])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(fps, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["node", "fp", "keys"]
+            )
+
+    return rows.select("node", "t").mapInArrow(run, "node long, fp array<long>, keys array<long>")
+
+
+def _mixed(h: np.ndarray, turn: int) -> np.ndarray:
+    """One of many permutations of the 64-bit numbers."""
+    h = h + np.uint64((turn * 0x9E3779B97F4A7C15 + 1) & (2**64 - 1))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def radius_of(likeness: float, bits: int) -> int:
+    """Bits in which fingerprints of sets with this likeness (Jaccard) differ at most, with one standard error.
+
+    Sets of like size and likeness j have cosine 2j / (1 + j), and each bit differs with
+    probability angle / pi.
+    """
+    differ = math.acos(2 * likeness / (1 + likeness)) / math.pi
+    return int(bits * differ + math.sqrt(bits * differ * (1 - differ)))
+
+
+def keep_first(docs: DataFrame, shingle: int = 5, likeness: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: the one with the smallest ``doc_id``.
 
-    Of rows that repeat a ``doc_id`` the one with the smallest text stays.  Rows without an id
-    all stay, since no group can name them.
+    Near-duplicates have sets of word shingles with ``likeness`` or more, as wide fingerprints tell it;
+    groups are what is connected.  Texts are compared where they share one of BANDS keys, which at
+    a likeness of 0.8 fails once in 27,000 pairs.  Equal texts are one from the start.  Null and
+    blank texts are equal texts.  Of rows that repeat a ``doc_id`` the one with the smallest text
+    stays.  Rows without an id all stay, since no group can name them.
     """
-    found = near_duplicates(docs, shingle=shingle, radius=radius)
-    keepers = found.filter(F.col("id") == F.col("component_id")).select(F.col("id").alias("doc_id")).distinct()
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"), text.alias("t"))
+    # A smallest id per distinct text, combined before the shuffle, then the text of that one row.
+    firsts = stage(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "distinct-texts")
+    texts = keyed.join(firsts.select("k1", "k2", F.col("node").alias("doc_id")), ["k1", "k2", "doc_id"]).select(F.col("doc_id").alias("node"), "t")
+    nodes = stage(wide_fingerprints(texts, shingle), "wide-fingerprints")
+    found = components(links(nodes, radius_of(likeness, 64 * WIDE)), "a", "b")
+    roots = found.groupBy("label").agg(F.min("node").alias("root"))
+    away = found.join(roots, "label").filter("node <> root").select("node")
+    keepers = stage(firsts.select(F.col("node").alias("doc_id")).join(away.withColumnRenamed("node", "doc_id"), "doc_id", "left_anti").distinct(), "keepers")
+    discard(firsts, nodes, found)
     kept = docs.join(keepers, "doc_id", "left_semi").groupBy("doc_id")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    kept = kept.agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
-    return kept.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    kept = kept.agg(F.min_by(row, text).alias("row")).select("row.*")
+    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
