@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lingualoom.llm.graph import components
-from lingualoom.llm.words import split_bytes
 from lingualoom.session import discard, stage
 
 SHINGLE = 3
@@ -22,6 +21,8 @@ SEED = 42
 # Fingerprints that one task compares at once, and the side of a tile within them.
 GROUP = 2048
 TILE = 256
+# Shingles in the sets that one task compares at once.
+SETS = 1 << 19
 # Words of 64 bits in a wide fingerprint; keys of a text, and smallest hashes in each.
 WIDE = 4
 BANDS = 10
@@ -31,7 +32,8 @@ _CHUNK = 1 << 14
 
 def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     """The 64-bit fingerprint of one text, as an unsigned number; no words give 0."""
-    tokens = split_bytes(text and text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
+    # The bytes type lower-cases A-Z only and splits at exactly the characters of GAPS.
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
         return 0
     if len(tokens) < shingle:
@@ -85,17 +87,7 @@ def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     x, y = np.concatenate(left), np.concatenate(right)
     keep = x < y
     x, y = x[keep], y[keep]
-    label = np.arange(len(fps))
-    while True:
-        new = label.copy()
-        np.minimum.at(new, y, label[x])
-        np.minimum.at(new, x, label[y])
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    away = np.nonzero(label != np.arange(len(fps)))[0]
-    return [(int(order[i]), int(order[label[i]])) for i in away]
+    return [(int(order[i]), int(order[j])) for i, j in _forest_of(len(fps), x, y)]
 
 
 def field_keys(fp: Column, radius: int) -> Column:
@@ -113,61 +105,116 @@ def field_keys(fp: Column, radius: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(100 * i + j), fields[i], fields[j]) for i, j in pairs])
 
 
-def links(nodes: DataFrame, radius: int) -> DataFrame:
-    """``a, b``: links that connect all nodes that share a key and lie within ``radius``.
+def tiled(rows: DataFrame, reach: int, most: int) -> DataFrame:
+    """``node, payload`` as lists: for any two rows of a bucket whose levels differ by ``reach`` at most, a list with both.
 
-    ``nodes`` are ``node, fp, keys``: an id, the fingerprint as ``array<bigint>``, and the buckets to
-    compare it in.  A bucket of more than GROUP nodes is divided by population count, and those
-    parts by a hash; each pair of parts whose counts differ by no more than the radius is
-    compared in a task of its own.  What comes back is a spanning forest of the links of each
-    comparison, so dense groups do not multiply.
+    ``rows`` are ``bucket, node, level, weight, payload``.  A bucket that weighs more than ``most`` is
+    divided by level, and those parts by a hash; each pair of parts within reach makes a list of
+    its own.  So no list weighs more than two parts, and each is compared in one task.
     """
-    ones = F.aggregate("fp", F.lit(0), lambda s, x: s + F.bit_count(x))
-    rows = nodes.withColumn("ones", ones).select("node", "fp", "ones", F.explode("keys").alias("bucket"))
-    sizes = rows.groupBy("bucket", "ones").agg(F.count("*").alias("n"))
-    # As many parts as population counts at most, whatever the size of the bucket.
-    sizes = sizes.groupBy("bucket").agg(F.sum("n").alias("total"), F.collect_list(F.struct("ones", "n")).alias("parts"))
-    rows = rows.join(sizes.filter("total > 1"), "bucket")
+    sizes = rows.groupBy("bucket", "level").agg(F.sum("weight").alias("w"), F.count("*").alias("n"))
+    # One entry per level, of which there are few, whatever the size of the bucket.
+    sizes = sizes.groupBy("bucket").agg(F.sum("n").alias("rows"), F.sum("w").alias("total"), F.collect_list(F.struct("level", "w")).alias("parts"))
+    rows = rows.join(sizes.filter("rows > 1").drop("rows"), "bucket")
 
-    def splits(n: Column) -> Column:
-        return F.ceil(n / GROUP).cast("long")
+    def splits(w: Column) -> Column:
+        return F.ceil(w / most).cast("long")
 
     code = F.lit(1 << 40).cast("long")
-    own_n = F.filter("parts", lambda p: p["ones"] == F.col("ones"))[0]["n"]
-    own = F.col("ones") * code + F.pmod(F.xxhash64("node"), splits(own_n))
+    own = F.col("level") * code + F.pmod(F.xxhash64("node"), splits(F.filter("parts", lambda p: p["level"] == F.col("level"))[0]["w"]))
     others = F.flatten(
         F.transform(
-            F.filter("parts", lambda p: F.abs(p["ones"] - F.col("ones")) <= radius),
-            lambda p: F.transform(F.sequence(F.lit(0).cast("long"), splits(p["n"]) - 1), lambda s: p["ones"] * code + s),
+            F.filter("parts", lambda p: F.abs(p["level"] - F.col("level")) <= reach),
+            lambda p: F.transform(F.sequence(F.lit(0).cast("long"), splits(p["w"]) - 1), lambda s: p["level"] * code + s),
         )
     )
     rows = rows.withColumn("own", own)
-    pairs = F.when(F.col("total") <= GROUP, F.array(F.lit(0).cast("long"))).otherwise(
+    pairs = F.when(F.col("total") <= most, F.array(F.lit(0).cast("long"))).otherwise(
         F.transform(others, lambda o: F.xxhash64(F.least(o, F.col("own")), F.greatest(o, F.col("own"))))
     )
-    groups = (
-        rows.select("bucket", "node", "fp", F.explode(pairs).alias("pair"))
+    return (
+        rows.select("bucket", "node", "payload", F.explode(pairs).alias("pair"))
         .groupBy("bucket", "pair")
-        .agg(F.collect_list("node").alias("node"), F.flatten(F.collect_list("fp")).alias("fp"))
-        .filter(F.size("node") > 1)
-        .select("node", "fp")
+        .agg(F.collect_list(F.struct("node", "payload")).alias("both"))
+        .filter(F.size("both") > 1)
+        .select("both")
     )
 
+
+def _linked(lists: DataFrame, find: Callable[[list[np.ndarray]], list[tuple[int, int]]]) -> DataFrame:
+    """``a, b``: what ``find`` links in each list."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
-            for ids, fps in zip(batch.column(0), batch.column(1), strict=True):
-                ids = ids.values.to_numpy(zero_copy_only=False)
-                fps = fps.values.to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), -1)
-                if len(ids) == 2:
-                    found = [(0, 1)] if int(np.bitwise_count(fps[0] ^ fps[1]).sum()) <= radius else []
-                else:
-                    found = forest(fps, radius)
-                a += [ids[i] for i, _ in found]
-                b += [ids[j] for _, j in found]
+            for both in batch.column(0):
+                nodes = both.values.field("node").to_numpy(zero_copy_only=False)
+                payload = both.values.field("payload")
+                flat, cuts = payload.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum([0] + payload.value_lengths().to_pylist())
+                found = find([flat[x:y] for x, y in zip(cuts, cuts[1:], strict=False)])
+                a += [nodes[i] for i, _ in found]
+                b += [nodes[j] for _, j in found]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return groups.mapInArrow(run, "a long, b long").distinct()
+    return lists.mapInArrow(run, "a long, b long").distinct()
+
+
+def links(nodes: DataFrame, radius: int) -> DataFrame:
+    """``a, b``: links that connect all nodes that share a key and lie within ``radius``.
+
+    ``nodes`` are ``node, fp, keys``: an id, the fingerprint as ``array<bigint>``, and the buckets to
+    compare it in.  What comes back is a spanning forest of the links of each comparison, so
+    dense groups do not multiply.
+    """
+    ones = F.aggregate("fp", F.lit(0), lambda s, x: s + F.bit_count(x))
+    rows = nodes.select("node", F.col("fp").alias("payload"), ones.alias("level"), F.explode("keys").alias("bucket"), F.lit(1).alias("weight"))
+
+    def find(fps: list[np.ndarray]) -> list[tuple[int, int]]:
+        if len(fps) == 2:
+            return [(0, 1)] if int(np.bitwise_count(fps[0] ^ fps[1]).sum()) <= radius else []
+        return forest(np.stack(fps), radius)
+
+    return _linked(tiled(rows, radius, GROUP), find)
+
+
+def alike(sets: list[np.ndarray], likeness: float) -> list[tuple[int, int]]:
+    """Links (as positions) that connect sets with this likeness (Jaccard) or more; exact, at most one per set."""
+    n = len(sets)
+    if n == 2:
+        common = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        return [(0, 1)] if common >= likeness * (len(sets[0]) + len(sets[1]) - common) else []
+    sizes = np.array([len(s) for s in sets])
+    values, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    new = np.r_[True, values[1:] != values[:-1]]
+    number = np.cumsum(new) - 1
+    shared = np.bincount(number)[number] > 1
+    owner, number = owner[shared], np.cumsum((np.r_[True, np.diff(number[shared]) != 0]) if shared.any() else []) - 1
+    common = np.zeros((n, n), np.float32)
+    width = max(1, (1 << 24) // n)
+    for start in range(0, int(number[-1]) + 1 if len(number) else 0, width):
+        lo, hi = np.searchsorted(number, [start, start + width])
+        held = np.zeros((n, min(width, int(number[-1]) + 1 - start)), np.float32)
+        held[owner[lo:hi], (number[lo:hi] - start).astype(np.int64)] = 1
+        common += held @ held.T
+    x, y = np.nonzero(common >= likeness * (sizes[:, None] + sizes[None, :] - common) - 1e-3)
+    keep = x < y
+    return _forest_of(n, x[keep], y[keep])
+
+
+def _forest_of(n: int, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """A link from each position to the smallest one that it reaches by the links ``x, y``."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, y, label[x])
+        np.minimum.at(new, x, label[y])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return [(int(i), int(label[i])) for i in np.flatnonzero(label != np.arange(n))]
 
 
 def near_duplicates(
@@ -194,20 +241,25 @@ def near_duplicates(
     return rows.join(named, "fp", "left").select("id", "fp", "component_id")
 
 
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Distinct hashes of the runs of ``shingle`` words, A-Z in lower case; a shorter text is one run."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    grams = {b" ".join(g) for g in zip(*(tokens[i:] for i in range(shingle)), strict=False)} or {b" ".join(tokens)}
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, grams), np.uint64, len(grams)))
+
+
 def wide_fingerprints(rows: DataFrame, shingle: int) -> DataFrame:
-    """``node, fp, keys`` from ``node, t``: a fingerprint of WIDE words of 64 bits, and BANDS keys.
+    """``id, k1, k2, fp, keys`` from ``id, k1, k2, t``: a fingerprint of WIDE words of 64 bits, and BANDS keys.
 
-    The shingles are a set here.  A key is a hash of BAND smallest hashes under permutations of their
-    own, so two texts share a given key with the likeness of their sets to the power of BAND.
+    A key is a hash of BAND smallest hashes under permutations of their own, so two texts share a
+    given key with the likeness of their sets to the power of BAND.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps, keys = [], []
-            for text in batch.column(1):
-                tokens = split_bytes((text.as_py() or "").lower())
-                grams = {b" ".join(g) for g in zip(*(tokens[i:] for i in range(shingle)), strict=False)} or {b" ".join(tokens)}
-                hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, grams), np.uint64, len(grams))
+            for text in batch.column(3):
+                hashes = shingle_set(text.as_py(), shingle)
                 counts = np.zeros(64 * WIDE, np.int64)
                 for start in range(0, len(hashes), _CHUNK):
                     part = hashes[start : start + _CHUNK]
@@ -216,11 +268,23 @@ def wide_fingerprints(rows: DataFrame, shingle: int) -> DataFrame:
                 fps.append(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64).tolist())
                 least = np.array([_mixed(hashes, 100 + k).min() for k in range(BAND * BANDS)], np.uint64).reshape(BANDS, BAND)
                 keys.append([xxhash.xxh3_64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(least)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(fps, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["node", "fp", "keys"]
-            )
+            arrays = [pa.array(fps, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *arrays], ["id", "k1", "k2", "fp", "keys"])
+
+    return rows.select("id", "k1", "k2", "t").mapInArrow(run, "id long, k1 long, k2 long, fp array<long>, keys array<long>")
+
+
+def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """``node, label, payload``: the shingle set of each ``t``."""
 
-    return rows.select("node", "t").mapInArrow(run, "node long, fp array<long>, keys array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # One text at a time: the sets of a batch may be much larger than its texts.
+            for i, text in enumerate(batch.column(2)):
+                one = pa.array([shingle_set(text.as_py(), shingle).view(np.int64)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), one], ["node", "label", "payload"])
+
+    return rows.select("node", "label", "t").mapInArrow(run, "node long, label long, payload array<long>")
 
 
 def _mixed(h: np.ndarray, turn: int) -> np.ndarray:
@@ -231,37 +295,46 @@ def _mixed(h: np.ndarray, turn: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def radius_of(likeness: float, bits: int) -> int:
-    """Bits in which fingerprints of sets with this likeness (Jaccard) differ at most, with one standard error.
+def radius_of(likeness: float, bits: int, errors: float = 3.0) -> int:
+    """Bits in which fingerprints of sets with this likeness (Jaccard) differ at most, but for ``errors`` standard errors.
 
     Sets of like size and likeness j have cosine 2j / (1 + j), and each bit differs with
     probability angle / pi.
     """
     differ = math.acos(2 * likeness / (1 + likeness)) / math.pi
-    return int(bits * differ + math.sqrt(bits * differ * (1 - differ)))
+    return int(bits * differ + errors * math.sqrt(bits * differ * (1 - differ)))
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, likeness: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the one with the smallest ``doc_id``.
 
-    Near-duplicates have sets of word shingles with ``likeness`` or more, as wide fingerprints tell it;
-    groups are what is connected.  Texts are compared where they share one of BANDS keys, which at
-    a likeness of 0.8 fails once in 27,000 pairs.  Equal texts are one from the start.  Null and
-    blank texts are equal texts.  Of rows that repeat a ``doc_id`` the one with the smallest text
-    stays.  Rows without an id all stay, since no group can name them.
+    Near-duplicates have sets of word shingles with ``likeness`` or more, and groups are what is connected.
+    Wide fingerprints are compared where two texts share one of BANDS keys, which at a likeness of
+    0.8 fails once in 27,000 pairs; what lies within the radius forms loose groups, and within
+    those the sets themselves are compared, in tiles of like size.  Equal texts are one from the
+    start.  Null and blank texts are equal to the empty text.  Of rows that repeat a ``doc_id`` one stays, that
+    with the smallest text.  Rows without an id all stay, since no group can name them.
     """
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"), text.alias("t"))
-    # A smallest id per distinct text, combined before the shuffle, then the text of that one row.
-    firsts = stage(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "distinct-texts")
-    texts = keyed.join(firsts.select("k1", "k2", F.col("node").alias("doc_id")), ["k1", "k2", "doc_id"]).select(F.col("doc_id").alias("node"), "t")
-    nodes = stage(wide_fingerprints(texts, shingle), "wide-fingerprints")
-    found = components(links(nodes, radius_of(likeness, 64 * WIDE)), "a", "b")
+    keyed = docs.filter(F.col("doc_id").isNotNull()).select(
+        F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"), text.alias("t")
+    )
+    nodes = wide_fingerprints(keyed, shingle).groupBy("k1", "k2")
+    nodes = stage(nodes.agg(F.min("id").alias("node"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "wide-fingerprints")
+    loose = components(links(nodes, radius_of(likeness, 64 * WIDE)), "a", "b")
+    wanted = nodes.join(loose, "node").select("k1", "k2", F.col("node").alias("id"), "label")
+    members = stage(shingle_sets(keyed.join(wanted, ["k1", "k2", "id"]).withColumnRenamed("id", "node"), shingle), "shingle-sets")
+    step = -math.log(likeness)
+    rows = members.dropDuplicates(["node"]).select(
+        F.col("label").alias("bucket"), "node", "payload", F.size("payload").alias("weight"), F.floor(F.log(F.size("payload").cast("double")) / step).alias("level")
+    )
+    # Sets that are alike differ in size by one level at most.
+    found = components(_linked(tiled(rows, 1, SETS), lambda sets: alike(sets, likeness)), "a", "b")
     roots = found.groupBy("label").agg(F.min("node").alias("root"))
-    away = found.join(roots, "label").filter("node <> root").select("node")
-    keepers = stage(firsts.select(F.col("node").alias("doc_id")).join(away.withColumnRenamed("node", "doc_id"), "doc_id", "left_anti").distinct(), "keepers")
-    discard(firsts, nodes, found)
-    kept = docs.join(keepers, "doc_id", "left_semi").groupBy("doc_id")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    kept = kept.agg(F.min_by(row, text).alias("row")).select("row.*")
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    away = found.join(roots, "label").filter("node <> root").select(F.col("node").alias("doc_id"))
+    keepers = nodes.select(F.col("node").alias("doc_id")).distinct().join(away, "doc_id", "left_anti")
+    keepers = stage(keepers, "keepers")
+    discard(nodes, loose, members, found)
+    first = Window.partitionBy("doc_id").orderBy(text)
+    kept = docs.join(keepers, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(first)).filter("_nth = 1")
+    return kept.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
