@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingualoom.llm import decontaminate, fingerprints, mixing, pii, quality, simhash, substrings, toxicity, warc
+from lingualoom.llm import decontaminate, fingerprints, licenses, mixing, pii, quality, simhash, substrings, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,18 @@ FROM p JOIN coded USING (h)
 """
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    known = F.filter("licenses", lambda r: r["family"] != licenses.UNKNOWN)
+    return found.select(
+        "doc_id",
+        "n_paragraphs",
+        F.size(known).cast("long").alias("n_known"),
+        (F.size("licenses") - F.size(known)).cast("long").alias("n_unknown"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(known, lambda r: r["family"]))), ",").alias("families"),
+    )
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.classify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), _table(spark, sf_dir, "labels"))
     return found.select(F.col("row.doc_id").alias("doc_id"), "evidence", "site_rate", "p_low", "rejected")
@@ -185,6 +197,7 @@ FROM d LEFT JOIN cut ON cut.doc_id = d.doc_id
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_warc": op2_warc,
+    "op3_licenses": op3_licenses,
     "op4_quality": op4_quality,
     "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
