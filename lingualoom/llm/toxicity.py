@@ -69,7 +69,7 @@ def segments(scores: list[tuple[int, float]]) -> list[tuple[int, int, float]]:
         new = [place, place, before, total]
         while True:
             j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= new[2]:
+            while j >= 0 and stack[j][2] >= new[2] - 1e-9:
                 j -= 1
             if j < 0 or stack[j][3] >= new[3]:
                 stack.append(new)
