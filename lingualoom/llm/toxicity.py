@@ -71,7 +71,7 @@ def segments(scores: list[tuple[int, float]]) -> list[tuple[int, int, float]]:
             j = len(stack) - 1
             while j >= 0 and stack[j][2] >= new[2] - 1e-9:
                 j -= 1
-            if j < 0 or stack[j][3] >= new[3]:
+            if j < 0 or stack[j][3] >= new[3] - 1e-9:
                 stack.append(new)
                 break
             new = [stack[j][0], place, stack[j][2], total]
