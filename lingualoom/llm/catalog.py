@@ -58,7 +58,7 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.classify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), _table(spark, sf_dir, "labels"))
+    found = quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), keep=["doc_id"])
     return found.select(F.col("row.doc_id").alias("doc_id"), "evidence", "site_rate", "p_low", "rejected")
 
 

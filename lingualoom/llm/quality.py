@@ -19,32 +19,40 @@ REJECT = 0.8
 # Evidence is held within these log-odds, so that no text alone is beyond doubt.
 MOST_ODDS = 8.0
 
-FEATURES = ("marks", "upper", "digits", "long_words", "new_words", "same_as_before", "marked_words", "bare_marks", "size", "stops")
+FEATURES = ("marks", "upper", "digits", "new_words", "same_as_before", "marked_words", "bare_marks", "size", "stops")
+_BLANK = r"[\x20\x09-\x0D]"
+_COUNTED = {
+    "marks": r"[#$%&*!|<>{}\[\]=_~^\\/@+]",
+    "upper": r"\p{Lu}",
+    "digits": r"[0-9]",
+    "marked_words": rf"[#$%&*!?]{{2}}(?={_BLANK}|$)",
+    "bare_marks": rf"(?<![^\x20\x09-\x0D])[|#$%&*!=_~-]{{1,2}}(?={_BLANK}|$)",
+    "stops": rf"\.(?={_BLANK}|$)",
+}
 
 
 def features(text: Column) -> Column:
     """``array<double>`` in the order of FEATURES, each between 0 and about 1.
 
-    Null and blank texts have all features 0 but the size, which is 0 too.
+    Null and blank texts have all features 0.
     """
     full = F.coalesce(text, F.lit(""))
+    counts = {name: F.regexp_count(full, F.lit(pattern)).cast("double") for name, pattern in _COUNTED.items()}
 
     def measured(w: Column) -> Column:
         n = F.greatest(F.size(w), F.lit(1)).cast("double")
         chars = F.greatest(F.length(full), F.lit(1)).cast("double")
-        before = F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: a == b)
-        share = lambda test: F.size(F.filter(w, test)) / n
+        again = F.filter(w, lambda x, i: (i > 0) & (x == w[F.greatest(i - 1, F.lit(0))]))
         return F.array(
-            F.regexp_count(full, F.lit(r"[#$%&*!|<>{}\[\]=_~^\\/@+]")) / chars,
-            F.regexp_count(full, F.lit(r"\p{Lu}")) / chars,
-            F.regexp_count(full, F.lit(r"[0-9]")) / chars,
-            share(lambda x: F.length(x) > 20),
+            counts["marks"] / chars,
+            counts["upper"] / chars,
+            counts["digits"] / chars,
             F.size(F.array_distinct(w)) / n,
-            F.size(F.filter(before, lambda same: F.coalesce(same, F.lit(False)))) / n,
-            share(lambda x: F.substring(x, -2, 2).rlike(r"^[#$%&*!?]{2}$")),
-            share(lambda x: (F.length(x) <= 2) & x.rlike(r"^[|#$%&*!=_~-]+$")),
-            F.least(F.log1p(n) / 10.0, F.lit(1.0)),
-            F.size(F.filter(w, lambda x: F.substring(x, -1, 1) == ".")) / n,
+            F.size(again) / n,
+            counts["marked_words"] / n,
+            counts["bare_marks"] / n,
+            F.least(F.log1p(F.size(w).cast("double")) / 10.0, F.lit(1.0)),
+            counts["stops"] / n,
         )
 
     return let(words(full), measured)
@@ -68,9 +76,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     )
     # Bounded by `rows`: two numbers each.
     chosen = stage(chosen, "quality-labels")
-    sample = docs.select("doc_id", features(F.col("text")).alias("x")).join(F.broadcast(chosen.limit(rows)), "doc_id")
-    # Bounded by `rows`, ten numbers each; rows that repeat an id are all taken.
-    found = sample.select("x", "y").limit(2 * rows).toPandas()
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen.limit(rows)), "doc_id")
+    sample = sample.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    # Bounded by `rows`, ten numbers each.
+    found = sample.select(features(F.col("text")).alias("x"), "y").toPandas()
     discard(chosen)
     y = (found.y == 0).to_numpy(float)
     base = (float(y.sum()) + 1) / (len(y) + 2)
@@ -104,8 +113,10 @@ def _strength(groups: DataFrame, total: str, n: str, mean: float) -> float:
     return float(min(max(mean * (1 - mean) / spread - 1, 1.0), 1e4))
 
 
-def posteriors(docs: DataFrame, model: Model, host: str = "source", path: str = "lang", text_col: str = "text") -> DataFrame:
-    """``row`` (the input) and ``p_low``: the posterior probability that the document is of low quality.
+def posteriors(
+    docs: DataFrame, model: Model, host: str = "source", path: str = "lang", text_col: str = "text", keep: list[str] | None = None
+) -> DataFrame:
+    """``row`` (the columns in ``keep``, else all) and ``p_low``: the posterior probability that the document is of low quality.
 
     Each document counts with its own probability.  The rate of a host is a Beta posterior around
     the global rate, the rate of a path one around its host's; the strength of both priors is
@@ -116,9 +127,11 @@ def posteriors(docs: DataFrame, model: Model, host: str = "source", path: str =
     """
     p = 1.0 / (1.0 + F.exp(-F.col("evidence")))
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(host).cast("string").alias("h"), F.col(path).cast("string").alias("d"),
+        F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), F.col(host).cast("string").alias("h"), F.col(path).cast("string").alias("d"),
         F.greatest(F.least(odds(F.col(text_col), model), F.lit(MOST_ODDS)), F.lit(-MOST_ODDS)).alias("evidence"),
     )
+    # Written once: the sums and the join both read it, and the evidence is what costs.
+    rows = stage(rows, "evidence")
     paths = stage(rows.groupBy("h", "d").agg(F.sum(p).alias("low"), F.count("*").alias("n")), "path-rates")
     hosts = stage(paths.groupBy("h").agg(F.sum("low").alias("host_low"), F.sum("n").alias("host_n")), "host-rates")
     low, n = hosts.agg(F.sum("host_low"), F.sum("host_n")).first()
@@ -137,13 +150,15 @@ def posteriors(docs: DataFrame, model: Model, host: str = "source", path: str =
     return joined.select("row", "evidence", prior.alias("site_rate"), posterior.alias("p_low"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, host: str = "source", path: str = "lang") -> DataFrame:
-    """``row``, ``evidence``, ``site_rate``, ``p_low`` and ``rejected`` for each row of ``docs``.
+def classify(
+    docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, host: str = "source", path: str = "lang", keep: list[str] | None = None
+) -> DataFrame:
+    """``row`` (the columns in ``keep``, else all), ``evidence``, ``site_rate``, ``p_low`` and ``rejected`` for each row of ``docs``.
 
     Null and blank texts are judged like any other; repeated rows count each; an empty table
     gives an empty result.
     """
-    found = posteriors(docs, fit(docs, labels, rows), host, path)
+    found = posteriors(docs, fit(docs, labels, rows), host, path, keep=keep)
     return found.withColumn("rejected", F.col("p_low") > REJECT)
 
 
