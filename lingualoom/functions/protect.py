@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -107,51 +106,45 @@ def passes_through(text: Column, lang: Column) -> Column:
     return ~(X.has_script_letter(rest, lang) & is_letter)
 
 
+def _literal(term: str) -> str:
+    return "".join(c if c.isalnum() else f"\\x{{{ord(c):x}}}" for c in term)
+
+
 def spans_with_terms(terms: Sequence[str]):
-    """Arrow UDF ``text -> array<struct<start,end>>`` that also protects exact terms.
+    """Expression ``text -> array<struct<start,end>>`` that also protects exact terms.
 
-    Terms may overlap patterns and one another; the earliest start wins, then the longest, and
-    what overlaps a winner is dropped.  That choice depends on all earlier ones, so it is a scan.
+    One alternation finds everything from left to right; what begins inside a match is part of it.
+    At the same place a longer term comes before a shorter one.  No pattern runs over a blank, so
+    a term with one is longer than a pattern's match there and comes first; others come after.
     """
-    wanted = sorted({t for t in terms if t}, key=len, reverse=True)
-
-    @F.pandas_udf("array<struct<start:int,end:int>>")
-    def spans(texts: pd.Series) -> pd.Series:
-        def python_class(pattern: str) -> str:
-            spelled = re.sub(
-                r"\\x\{([0-9A-F]+)\}", lambda m: re.escape(chr(int(m.group(1), 16))), pattern
-            )
-            return spelled.replace(r"\p{L}\p{N}_", r"\w").replace(r"\p{Nd}", r"\d")
-
-        tag_like = re.compile(python_class(TAG_LIKE))
-        pattern = re.compile(python_class(SPANS))
-        literals = [re.compile(re.escape(t)) for t in wanted]
-
-        def in_piece(piece: str, offset: int) -> list[tuple[int, int]]:
-            found = [
-                (m.start(), m.start() + len(m.group().rstrip(TRAILING_PUNCTUATION)))
-                for m in pattern.finditer(piece)
-            ]
-            found += [m.span() for literal in literals for m in literal.finditer(piece)]
-            kept: list[tuple[int, int]] = []
-            for start, end in sorted(found, key=lambda s: (s[0], -s[1])):
-                if end > start and (not kept or start >= kept[-1][1]):
-                    kept.append((start, end))
-            return [(start + offset, end + offset) for start, end in kept]
-
-        def one(text: str | None):
-            if text is None:
-                return None
-            out: list[tuple[int, int]] = []
-            last = 0
-            for tag in tag_like.finditer(text):
-                out += in_piece(text[last : tag.start()], last)
-                out.append(tag.span())
-                last = tag.end()
-            out += in_piece(text[last:], last)
-            return [{"start": s, "end": e} for s, e in out]
-
-        return texts.map(one)
+    wanted = sorted({t for t in terms if t}, key=lambda t: (-len(t), t))
+    blank = re.compile(r"\s")
+    first = [_literal(t) for t in wanted if blank.search(t)]
+    last = [_literal(t) for t in wanted if not blank.search(t)]
+    pattern = "|".join([f"(?:{TAG_LIKE})", *first, f"(?:{SPANS})", *last])
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+
+    def step(acc: Column, pair: Column) -> Column:
+        start = acc["at"] + F.length(pair["gap"])
+        stop = start + F.length(pair["match"])
+        kept = F.struct(start.alias("start"), (start + pair["kept"]).alias("end"))
+        return F.struct(stop.alias("at"), F.concat(acc["spans"], F.array(kept)).alias("spans"))
+
+    def spans(text: Column | str) -> Column:
+        text = F.col(text) if isinstance(text, str) else text
+        found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(0))
+        exact = F.array(*map(F.lit, wanted)) if wanted else F.array().cast("array<string>")
+        # Punctuation at the end belongs to a term, but not to what a pattern found.
+        pairs = F.zip_with(
+            F.slice(F.split(text, pattern, -1), 1, F.size(found)),
+            found,
+            lambda gap, match: F.struct(
+                gap.alias("gap"),
+                match.alias("match"),
+                F.when(F.array_contains(exact, match), F.length(match)).otherwise(F.length(_trim_tail(match))).alias("kept"),
+            ),
+        )
+        return F.aggregate(pairs, zero, step, lambda acc: acc["spans"])
 
     return spans
 

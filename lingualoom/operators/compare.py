@@ -11,14 +11,11 @@ from lingualoom.session import stage
 # ---- fixed values: the test that decides ---------------------------------------------------------
 RESAMPLES = 1000
 SEED = 0
-CONFIDENCE = 0.95
 DECIDING = "zh-en"
+# Places (from 1) of the interval's ends among 1,000 sorted means.
+LOW_RANK, HIGH_RANK, OF_MEANS = 26, 976, 1000
 # ---- end of fixed values -------------------------------------------------------------------------
 
-# Paired deltas up to this many rows (about 40 bytes each) are broadcast to the draws.
-BROADCAST_ROWS = 1_000_000
-
-
 def paired(a: DataFrame, b: DataFrame) -> DataFrame:
     """direction, id, a, b: both sides of every segment id; one side is NULL where it is missing."""
     left = a.select("direction", "id", F.col("score").alias("a"))
@@ -27,7 +24,10 @@ def paired(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def paired_delta(pairs: DataFrame) -> DataFrame:
-    """n, only_in_a, only_in_b and means over the shared ids; no shared id is an error code."""
+    """n, only_in_a, only_in_b and means over the shared ids.
+
+    A direction that one run lacks, and one without a shared id, have an error code.
+    """
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
     delta = F.when(both, F.col("b") - F.col("a"))
     sums = pairs.groupBy("direction").agg(
@@ -38,7 +38,11 @@ def paired_delta(pairs: DataFrame) -> DataFrame:
         F.round(F.avg(F.when(both, F.col("b"))), 9).alias("comet_b"),
         F.round(F.avg(delta), 9).alias("delta_comet"),
     )
-    return sums.withColumn("error_code", F.when(F.col("n") == 0, F.lit("no_shared_ids")))
+    one_sided = (F.col("only_in_a") == 0) | (F.col("only_in_b") == 0)
+    return sums.withColumn(
+        "error_code",
+        F.when(F.col("n") == 0, F.when(one_sided, F.lit("missing_direction")).otherwise(F.lit("no_shared_ids"))),
+    )
 
 
 def shared_directions(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -58,8 +62,8 @@ def bootstrap_means(
 
     Draw (resample, slot) takes delta number ``md5(seed|resample|slot) mod n``, so a lost task
     redraws the same numbers.  Every row doubles as a slot and makes its own draws; a draw meets
-    its delta in a broadcast while all deltas are few (counted below), else in a shuffle join
-    whose keys are uniform by construction.  Sums combine on the map side to one row per
+    its delta in a join whose keys are uniform by construction, so Spark may broadcast the deltas
+    or shuffle both sides, as their sizes tell it.  Sums combine on the map side to one row per
     direction and resample.
     """
     bucket = F.substring(F.md5(F.col("id").cast("string")), 1, 3)
@@ -75,8 +79,8 @@ def bootstrap_means(
     slots = indexed.select("direction", F.col("idx").alias("slot")).join(
         F.broadcast(sizes), "direction"
     )
-    # A few bytes per slot, but a thousand draws each: spread them over all task slots first.
-    draws = slots.repartition(indexed.sparkSession.sparkContext.defaultParallelism * 2).select(
+    # A few bytes per slot, but a thousand draws each: dealt out evenly before they multiply.
+    draws = slots.repartition("direction", "slot").select(
         "direction", "n", "slot", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample")
     ).select(
         "direction",
@@ -88,9 +92,8 @@ def bootstrap_means(
             % F.col("n")
         ).alias("idx"),
     )
-    deltas = F.broadcast(indexed) if indexed.count() <= BROADCAST_ROWS else indexed
     return (
-        draws.join(deltas, ["direction", "idx"])
+        draws.join(indexed, ["direction", "idx"])
         .groupBy("direction", "resample")
         .agg(F.avg("delta").alias("mean"))
     )
@@ -98,8 +101,7 @@ def bootstrap_means(
 
 def bootstrap_ci(means: DataFrame, resamples: int = RESAMPLES) -> DataFrame:
     """Percentile interval: two elements of the sorted means (at most ``resamples`` per group)."""
-    tail = (1 - CONFIDENCE) / 2
-    low, high = int(tail * resamples), min(int((1 - tail) * resamples), resamples - 1)
+    low, high = ((rank - 1) * resamples // OF_MEANS for rank in (LOW_RANK, HIGH_RANK))
     ordered = means.groupBy("direction").agg(F.array_sort(F.collect_list("mean")).alias("m"))
     return ordered.select(
         "direction",
@@ -124,15 +126,18 @@ def regression_gate(verdicts: DataFrame, deciding: str = DECIDING) -> DataFrame:
 
 
 def compare_runs(a: DataFrame, b: DataFrame, chrf_a: DataFrame, chrf_b: DataFrame) -> DataFrame:
-    """One row per shared direction: counts, means, interval, verdict and the chrF difference."""
+    """One row per direction of either run: counts, means, interval, verdict and the chrF difference.
+
+    A direction without shared ids keeps its row, with an error code and no interval.
+    """
     pairs = stage(paired(a, b), "pairs")
     chrf = chrf_a.select("direction", F.col("chrf").alias("_ca")).join(
         chrf_b.select("direction", F.col("chrf").alias("_cb")), "direction"
     )
     return (
         paired_delta(pairs)
-        .join(verdict(bootstrap_ci(bootstrap_means(pairs))), "direction")
-        .join(chrf, "direction")
+        .join(verdict(bootstrap_ci(bootstrap_means(pairs))), "direction", "left")
+        .join(chrf, "direction", "left")
         .withColumn("delta_chrf", F.round(F.col("_cb") - F.col("_ca"), 4))
         .drop("_ca", "_cb")
     )

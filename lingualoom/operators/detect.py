@@ -20,6 +20,7 @@ KANA_SHARE = 0.10
 MIN_CONFIDENCE = 0.70
 # ---- end of fixed values -------------------------------------------------------------------------
 
+# Trigrams that a profile keeps for each language, unless the caller asks for another number.
 PROFILE_GRAMS = 300
 # Log weights are whole thousandths, so that sums do not depend on the order of addition.
 WEIGHT_SCALE = 1000
@@ -40,7 +41,7 @@ def detect_sample(segments: DataFrame, text: str = "line", size: int = MAX_SAMPL
 def sample_of(text: Column, size: int = MAX_SAMPLE) -> Column:
     """The same sample when the whole document is in the row: no shuffle at all."""
     lines = F.filter(F.split(text, C.LINE_BREAK, -1), lambda s: ~X.is_blank(s))
-    return F.left(F.array_join(F.transform(lines, P.outside_spans), ""), F.lit(size))
+    return F.left(F.array_join(F.transform(lines, P.outside_spans), "\n"), F.lit(size))
 
 
 def script_counts(text: Column) -> list[Column]:
@@ -90,10 +91,13 @@ def _grams(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(...))"), F.lit(1))
 
 
-def latin_profile(labelled: DataFrame, lang: str, text: str, languages: Sequence[str]) -> DataFrame:
+def latin_profile(
+    labelled: DataFrame, lang: str, text: str, languages: Sequence[str], grams: int = PROFILE_GRAMS
+) -> DataFrame:
     """gram, weights: the most frequent trigrams of each language with log weights in all of them.
 
-    At most ``PROFILE_GRAMS`` per language, so the result is small whatever it was learned from.
+    A profile is a model of a stated size: ``grams`` trigrams for each language, so it is small
+    whatever it was learned from.
     """
     counts = (
         labelled.filter(F.col(lang).isin(*languages))
@@ -104,7 +108,7 @@ def latin_profile(labelled: DataFrame, lang: str, text: str, languages: Sequence
     top = counts.withColumn(
         "_rank",
         F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), F.col("gram"))),
-    ).filter(F.col("_rank") <= PROFILE_GRAMS)
+    ).filter(F.col("_rank") <= grams)
     totals = top.groupBy("lang").agg(F.sum("n").alias("total"))
     weighted = top.join(totals, "lang").select(
         "gram", "lang", "total",

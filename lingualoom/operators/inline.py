@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lingualoom.functions import chars as C
+from lingualoom.functions import protect as P
 from lingualoom.functions import tags as G
 from lingualoom.functions import text as X
 
@@ -78,6 +79,30 @@ def normalize_nodes(nodes: DataFrame) -> DataFrame:
     return merged.select(*SEG, "pos", "kind", text.alias("text"), "style", "key")
 
 
+def keep_tag_like(nodes: DataFrame) -> DataFrame:
+    """Text that looks like one of our own tags becomes a keep node, so that encoding can't confuse the two.
+
+    Places are numbered anew within each paragraph.
+    """
+    pattern = P.TAG_LIKE
+    found = F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(0))
+    around = F.split("text", pattern, -1)
+    parts = F.flatten(
+        F.transform(
+            F.arrays_zip(around.alias("t"), F.concat(found, F.array(F.lit(""))).alias("k")),
+            lambda x: F.array(
+                F.struct(F.lit("text").alias("kind"), x["t"].alias("text")), F.struct(F.lit("keep").alias("kind"), x["k"].alias("text"))
+            ),
+        )
+    )
+    split = F.filter(parts, lambda p: p["text"] != "")
+    as_is = F.array(F.struct(F.col("kind").alias("kind"), F.col("text").alias("text")))
+    pieces = F.when(_is("text") & F.col("text").rlike(pattern), split).otherwise(as_is)
+    opened = nodes.select(*SEG, "pos", F.posexplode(pieces).alias("_i", "_p"), "style", "key")
+    order = Window.partitionBy(*SEG).orderBy("pos", "_i")
+    return opened.select(*SEG, (F.row_number().over(order) - 1).alias("pos"), "_p.kind", "_p.text", "style", "key")
+
+
 def with_base_style(normalized: DataFrame) -> DataFrame:
     """Adds ``base``: the style with most stripped characters, the earlier one on a tie."""
     weighed = normalized.withColumn(

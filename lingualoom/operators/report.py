@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lingualoom.functions import text as X
+from lingualoom.operators.spread import dense_index
 
 MAX_LOCATED = 100
 
@@ -81,19 +82,29 @@ def report_json(reports: DataFrame, columns: list[str]) -> DataFrame:
     return reports.select("doc_id", F.to_json(F.struct(*columns)).alias("report"))
 
 
+def _median(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """The exact median of each group by rank; rows are ranked within unit steps of the value only."""
+    ranked = dense_index(rows.filter(F.col(value).isNotNull()), by, F.floor(F.col(value)), [value])
+    sizes = rows.groupBy(*by).agg(F.count(value).alias("_n"))
+    middle = ranked.join(sizes, by).filter(
+        (F.col("idx") == F.floor((F.col("_n") - 1) / 2)) | (F.col("idx") == F.floor(F.col("_n") / 2))
+    )
+    return middle.groupBy(*by).agg(F.avg(value).alias(f"median_{value}"))
+
+
 def repeat_summary(runs: DataFrame, by: list[str]) -> DataFrame:
     """Median speed and quality of repeated runs, with the range.
 
-    Both are rounded to the resolution they are reported in, which bounds the distinct values a
-    median has to keep, however many runs a group has.
+    Medians are those of the values as they are, taken by rank.
     """
-    return runs.groupBy(*by).agg(
-        F.count("*").alias("n"),
-        F.round(F.median(F.round("speed", 3)), 4).alias("median_speed"),
-        F.round(F.median(F.round("chrf", 2)), 4).alias("median_chrf"),
-        F.min("speed").alias("min_speed"),
-        F.max("speed").alias("max_speed"),
-    )
+    summary = runs.groupBy(*by).agg(
+        F.count("*").alias("n"), F.min("speed").alias("min_speed"), F.max("speed").alias("max_speed")
+    )
+    for value in ("speed", "chrf"):
+        summary = summary.join(_median(runs.select(*by, value), by, value), by, "left").withColumn(
+            f"median_{value}", F.round(f"median_{value}", 4)
+        )
+    return summary.select(*by, "n", "median_speed", "median_chrf", "min_speed", "max_speed")
 
 
 def validity_summary(cases: DataFrame, by: list[str]) -> DataFrame:

@@ -6,18 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # A key with more than 1/HOT_KEYS of all rows is certain to be among the HOT_KEYS most frequent
-# ones, so the hot side is bounded by construction: rows here, and bytes by MAX_HOT_CHARS.
+# ones.  Values up to BROADCAST_CHARS of those are broadcast, so their bytes are bounded too;
+# for longer ones the rows are dealt out over copies of the value, one for each SHARE rows.
 HOT_KEYS = 1024
-MAX_HOT_CHARS = 16_384
+BROADCAST_CHARS = 16_384
+SHARE = 100_000
 SPAN = 1024
 
 
-def hot_keys(units: DataFrame, key: str, n: str, payload: Column | None = None) -> DataFrame:
-    """The at most ``HOT_KEYS`` most frequent keys (``n`` > 1), each with a small payload only."""
-    frequent = units.filter(F.col(n) > 1)
-    if payload is not None:
-        frequent = frequent.filter(F.length(payload) <= MAX_HOT_CHARS)
-    return frequent.orderBy(F.desc(n), F.col(key)).limit(HOT_KEYS)
+def hot_keys(units: DataFrame, key: str, n: str) -> DataFrame:
+    """The at most ``HOT_KEYS`` most frequent keys (``n`` > 1)."""
+    return units.filter(F.col(n) > 1).orderBy(F.desc(n), F.col(key)).limit(HOT_KEYS)
 
 
 def spread_join(
@@ -25,23 +24,36 @@ def spread_join(
 ) -> DataFrame:
     """``many LEFT JOIN one`` where ``one`` is unique per ``key`` and knows each key's frequency.
 
-    Rows of the most frequent keys take their payload from a bounded broadcast; for the shuffle
-    join that follows they carry a scattered key instead of their own, so no partition receives
-    them all.  None of the remaining keys can be frequent.  ``many`` is read once; ``scatter``
-    names columns that tell its rows apart.
+    What is hot is decided by frequency alone.  Rows of hot keys with a short (or no) value take it
+    from a bounded broadcast, and carry a scattered key into the shuffle join that follows, so
+    no partition receives them all.  Hot keys with a long value are joined there on key and a
+    salt, with as many copies of the value as the key's frequency asks for.  None of the
+    remaining keys can be frequent.  ``many`` is read once; ``scatter`` names columns that tell its
+    rows apart.
     """
-    hot = hot_keys(one, key, n, F.col(payload)).select(
-        F.col(key).alias("_hot_key"), F.col(payload).alias("_hot_value")
+    short = F.coalesce(F.length(payload) <= BROADCAST_CHARS, F.lit(True))
+    copies = F.ceil(F.col(n) / SHARE).cast("int")
+    hot = hot_keys(one, key, n).select(
+        F.col(key).alias("_hot_key"), short.alias("_short"), F.when(short, F.col(payload)).alias("_hot_value"),
+        copies.alias("_hot_copies"),
     )
     marked = many.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
-    cold = F.col("_hot_key").isNull()
+    here = F.coalesce(F.col("_short"), F.lit(False))
     scattered = F.concat(F.lit("#"), F.xxhash64(*scatter).cast("string"))
-    marked = marked.withColumn("_cold", cold).withColumn(
-        "_join_key", F.when(cold, F.col(key)).otherwise(scattered)
+    marked = (
+        marked.withColumn("_joins", ~here)
+        .withColumn("_join_key", F.when(here, scattered).otherwise(F.col(key)))
+        .withColumn("_salt", F.when(F.col("_hot_copies") > 1, F.pmod(F.xxhash64(*scatter), F.col("_hot_copies")).cast("int")).otherwise(0))
+    )
+    # Keys that aren't hot have one copy, since all of theirs together are few; a copy too many is never met.
+    values = one.select(
+        F.col(key).alias("_key"), F.col(payload).alias("_value"),
+        F.explode(F.sequence(F.lit(0), F.greatest(F.when(~short, copies).otherwise(1), F.lit(1)) - 1)).alias("_copy"),
     )
-    values = one.select(F.col(key).alias("_key"), F.col(payload).alias("_value"))
     joined = marked.join(
-        values, (F.col("_join_key") == F.col("_key")) & F.col("_cold"), "left"
+        values,
+        (F.col("_join_key") == F.col("_key")) & (F.col("_salt") == F.col("_copy")) & F.col("_joins"),
+        "left",
     )
     return joined.select(
         *many.columns, F.coalesce(F.col("_hot_value"), F.col("_value")).alias(payload)

@@ -127,7 +127,7 @@ def latin_profile(spark, sf):
 @query(
     "detect_source",
     _SAMPLE_SQL + "," + _PROFILE_SQL + """,
-    smp AS (SELECT doc_id, string_agg(chunk, '' ORDER BY seg_no) AS sample FROM chunks
+    smp AS (SELECT doc_id, left(string_agg(line, chr(10) ORDER BY seg_no), 20000) AS sample FROM open
             JOIN rule USING (doc_id) WHERE latin_open GROUP BY doc_id),""" + _score_sql("smp", "doc_id") + """
     SELECT doc_id, CASE WHEN latin_open AND confidence >= 0.7 THEN best ELSE lang END AS lang,
       CASE WHEN latin_open THEN confidence END AS confidence, note,
@@ -609,7 +609,7 @@ def repeat_summary(spark, sf):
 # ---- comparison ----------------------------------------------------------------------------------
 
 
-@query("paired_delta", f"WITH {_SCORES_SQL}, {_DELTA_SQL} SELECT *, CASE WHEN n = 0 THEN 'no_shared_ids' END AS error_code FROM pd")
+@query("paired_delta", f"WITH {_SCORES_SQL}, {_DELTA_SQL} SELECT *, CASE WHEN n = 0 THEN CASE WHEN only_in_a = 0 OR only_in_b = 0 THEN 'missing_direction' ELSE 'no_shared_ids' END END AS error_code FROM pd")
 def paired_delta(spark, sf):
     return cmp.paired_delta(cmp.paired(*_scores(spark, sf)))
 
@@ -654,8 +654,8 @@ def regression_gate(spark, sf):
     f"""WITH {_SCORES_SQL}, {_DELTA_SQL}, {_BOOT_SQL},
     ca AS (SELECT direction, avg(n_chars % 50) AS c FROM sc WHERE n_chars > 120 GROUP BY 1),
     cb AS (SELECT direction, avg(n_chars % 60) AS c FROM sc WHERE n_chars < 20000 GROUP BY 1)
-    SELECT pd.*, CASE WHEN n = 0 THEN 'no_shared_ids' END AS error_code, ci_low, ci_high, verdict, round(cb.c - ca.c, 4) AS delta_chrf
-    FROM pd JOIN vd USING (direction) JOIN ca USING (direction) JOIN cb USING (direction)""",
+    SELECT pd.*, CASE WHEN n = 0 THEN CASE WHEN only_in_a = 0 OR only_in_b = 0 THEN 'missing_direction' ELSE 'no_shared_ids' END END AS error_code, ci_low, ci_high, verdict, round(cb.c - ca.c, 4) AS delta_chrf
+    FROM pd LEFT JOIN vd USING (direction) LEFT JOIN ca USING (direction) LEFT JOIN cb USING (direction)""",
 )
 def compare_runs(spark, sf):
     docs = D.table(spark, sf, "documents").withColumn(

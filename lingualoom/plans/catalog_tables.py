@@ -40,22 +40,22 @@ _CELLS_SQL = """cells AS (SELECT DISTINCT (l_suppkey % 7)::INTEGER AS sheet, (l_
 
 @query(
     "sheet_string_fanout",
-    """WITH c AS (SELECT l_suppkey % 7 AS doc_id, l_partkey % 500 AS idx, l_orderkey AS pos,
+    """WITH c AS (SELECT l_suppkey % 7 AS doc_id, l_partkey AS idx, l_orderkey AS pos,
       'cell ' || l_orderkey AS location FROM lineitem),
     u AS (SELECT doc_id, idx, arg_min(location, (pos, location)) AS f, count(*) AS cells FROM c GROUP BY ALL)
     SELECT doc_id, idx, text, cells, CASE WHEN cells > 1 THEN f || ' (and ' || (cells - 1) || ' more cells)' ELSE f END AS location,
       CASE WHEN text IS NULL THEN 'invalid_document' END AS error_code
-    FROM u LEFT JOIN (SELECT d.doc_id AS idx, left(text, 40) AS text, s.k AS doc_id FROM documents d, (SELECT unnest(range(7)) AS k) s) USING (doc_id, idx)""",
+    FROM u LEFT JOIN (SELECT d.doc_id AS idx, text, s.k AS doc_id FROM documents d, (SELECT unnest(range(7)) AS k) s) USING (doc_id, idx)""",
 )
 def sheet_string_fanout(spark, sf):
     cells = D.table(spark, sf, "lineitem").select(
-        (F.col("l_suppkey") % 7).alias("doc_id"), (F.col("l_partkey") % 500).alias("idx"),
+        (F.col("l_suppkey") % 7).alias("doc_id"), F.col("l_partkey").alias("idx"),
         F.col("l_orderkey").alias("pos"),
         F.concat(F.lit("cell "), F.col("l_orderkey").cast("string")).alias("location"),
     )
     shared = D.table(spark, sf, "documents").select(
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))).alias("doc_id"),
-        F.col("doc_id").alias("idx"), F.left("text", F.lit(40)).alias("text"),
+        F.col("doc_id").alias("idx"), "text",
     )
     return sheet.sheet_string_fanout(cells, shared)
 
@@ -191,7 +191,7 @@ _CONT_SQL = """l AS (SELECT l_orderkey, min(l_quantity) AS s1, max(l_quantity) A
       CASE WHEN o_custkey % 5 <> 0 AND o_orderstatus <> 'F' THEN greatest(150, s1 * n * 3) END AS allowed_w,
       greatest(60, s1 * 2) AS allowed_h, CASE WHEN o_orderpriority = '5-LOW' THEN 'font_unavailable' END AS unmeasurable
       FROM orders JOIN l ON o_orderkey = l_orderkey),
-    meas AS (SELECT id, k, width * (1 - k * 0.025::DOUBLE) AS w, height * (1 - k * 0.025::DOUBLE) AS h FROM cont, (SELECT unnest(range(1, 13)) AS k)),
+    meas AS (SELECT id, k, width * (1 - k * 0.025::DOUBLE) AS w, height * (1 - k * 0.025::DOUBLE) AS h FROM cont, (SELECT unnest(range(1, 41)) AS k)),
     fitk AS (SELECT id, min(k) AS k FROM meas JOIN cont USING (id) WHERE (allowed_w IS NULL OR w <= allowed_w + 1) AND h <= allowed_h + 1 GROUP BY id),
     outc AS (SELECT *, CASE WHEN unmeasurable IS NOT NULL THEN 'unresolved'
       WHEN (allowed_w IS NULL OR width <= allowed_w + 1) AND height <= allowed_h + 1 THEN 'unchanged'
@@ -202,7 +202,7 @@ def _outcomes(spark, sf):
     containers = _containers(spark, sf)
     scale = 1 - F.col("step") * F.lit(fit.SCALE_STEP)
     measured = containers.select(
-        "id", "doc_id", "width", "height", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("step")
+        "id", "doc_id", "width", "height", F.explode(F.sequence(F.lit(1), F.lit(fit.MAX_CANDIDATES))).alias("step")
     ).select("id", "doc_id", "step", (F.col("width") * scale).alias("w"), (F.col("height") * scale).alias("h"))
     return fit.fit_choose(containers, measured, ["id", "doc_id"])
 

@@ -32,7 +32,9 @@ def read_memory(spark: SparkSession, root: str, before: int | None = None) -> Da
     """Translation memory, optionally as it was before a micro-batch."""
     try:
         memory = spark.read.schema(MEMORY_SCHEMA + ", epoch bigint").parquet(root)
-    except AnalysisException:
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], MEMORY_SCHEMA)
     if before is not None:
         memory = memory.filter(F.col("epoch") < before)

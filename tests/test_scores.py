@@ -61,7 +61,7 @@ def test_comparison_counts_and_verdict(spark):
     zh = delta["zh-en"]
     assert (zh["n"], zh["only_in_a"], zh["only_in_b"]) == (2, 1, 1)
     assert zh["delta_comet"] == pytest.approx(-0.075)
-    assert delta["en-es"]["error_code"] == "no_shared_ids"
+    assert delta["en-es"]["error_code"] == "missing_direction"
     shared = {r["direction"]: r["shared"] for r in cmp.shared_directions(a, b).collect()}
     assert shared == {"zh-en": True, "en-es": False, "ja-en": False}
     means = cmp.bootstrap_means(cmp.paired(a, b), resamples=1000)
@@ -88,7 +88,7 @@ def test_detection_outcomes(spark):
         "lang", "text", ("en", "es"),
     )
     cases = {
-        "这是一个用于检测的中文句子，内容足够长。": ("zh", "detected_without_kana", None),
+        "今天下午雨停之后，河边的小路上走着许多散步的人。": ("zh", "detected_without_kana", None),
         "これは日本語の文章です。": ("ja", None, None),
         "123\n456\n": (None, None, None),
         "你好": (None, None, "source_ambiguous"),
