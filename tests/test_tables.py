@@ -118,36 +118,46 @@ def files(spark, **named):
 
 
 def test_docx_structure(spark):
+    """Texts with styles, wrappers around theirs, and one object for everything that stays as it is."""
+    run = "<w:r><w:t>{}</w:t></w:r>".format
+    mark = '<w:r><w:fldChar w:fldCharType="{}"/></w:r>'.format
     body = (
-        "<w:p><w:bookmarkStart/><w:r><w:t>plain </w:t></w:r><w:r><w:rPr><w:b/><w:lang/></w:rPr><w:t>bold</w:t><w:tab/><w:br/></w:r>"
-        "<w:hyperlink><w:r><w:t>link</w:t></w:r></w:hyperlink><w:del><w:r/></w:del><w:bookmarkEnd/></w:p>"
-        '<w:p><w:r><w:fldChar w:fldCharType="begin"/></w:r><w:r><w:instrText> HYPERLINK "x"</w:instrText></w:r>'
-        '<w:r><w:fldChar w:fldCharType="separate"/></w:r><w:r><w:t>there</w:t></w:r><w:r><w:fldChar w:fldCharType="end"/></w:r></w:p>'
-        '<w:p><w:r><w:t>page </w:t></w:r><w:fldSimple w:instr="PAGE"><w:r><w:t>3</w:t></w:r></w:fldSimple></w:p>'
-        "<w:tbl><w:tr><w:tc><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl><w:p/>"
+        f"<w:p>{run('one ')}<w:r><w:rPr><w:i/><w:noProof/></w:rPr><w:t>two</w:t><w:tab/></w:r>"
+        f"<w:hyperlink>{run('three')}</w:hyperlink><w:moveFrom>{run('gone')}</w:moveFrom></w:p>"
+        f"<w:p>{run('on ')}{mark('begin')}{run('7 May')}{mark('end')}{run(' at')}</w:p>"
+        f'<w:p>{run("of ")}<w:fldSimple w:instr="NUMPAGES">{run("12")}</w:fldSimple></w:p>'
+        f"<w:tbl><w:tr><w:tc><w:p>{run('inside')}</w:p></w:tc></w:tr></w:tbl><w:p>{run(' ')}</w:p>"
     )
-    notes = '<w:footnote w:type="separator"><w:p><w:r><w:t>---</w:t></w:r></w:p></w:footnote><w:footnote><w:p><w:r><w:t>note</w:t></w:r></w:p></w:footnote>'
-    scanned = O.scan_docx(files(spark, d=docx(body, header="<w:p><w:r><w:t>head</w:t></w:r></w:p>", footnotes=notes)))
-    rows = {r["location"]: [tuple(n) for n in r["nodes"]] for r in O.paragraphs(scanned).collect()}
-    assert list(rows) == ["body / paragraph 1", "body / paragraph 2", "body / paragraph 3",
-                          "body / paragraph 4 (table cell)", "header 1 / paragraph 1", "footnotes / paragraph 2"]
-    first = rows["body / paragraph 1"]
-    assert [n[0] for n in first] == ["text", "text", "obj", "open", "text", "close", "obj"]
-    assert [n[2] for n in first if n[0] == "text"] == [0, 1, 0]
-    assert [n[:2] for n in rows["body / paragraph 2"]] == [("open", None), ("text", "there"), ("close", None)]
-    assert [n[0] for n in rows["body / paragraph 3"]] == ["text", "obj"]
-    codes = {(r["code"], r["count"]) for r in O.findings(scanned).collect()}
-    assert codes == {("tracked_changes_present", 1), ("field_results_not_translated", 1)}
+    notes = f'<w:footnote w:type="separator"><w:p>{run("-")}</w:p></w:footnote><w:footnote><w:p>{run("see")}</w:p></w:footnote>'
+    made_files = files(spark, d=docx(body, header=f"<w:p>{run('top')}</w:p>", footnotes=notes))
+    got = O.paragraphs(O.scan_docx(made_files)).orderBy("seg_no").collect()
+    assert [r["location"] for r in got] == [
+        "body / paragraph 1", "body / paragraph 2", "body / paragraph 3", "body / paragraph 4 (table cell)",
+        "header 1 / paragraph 1", "footnotes / paragraph 2",
+    ]
+    seen = [[(n["kind"], n["text"]) for n in r["nodes"]] for r in got]
+    assert seen[0] == [("text", "one "), ("text", "two"), ("obj", None), ("open", None), ("text", "three"), ("close", None), ("obj", None)]
+    assert [n["style"] for n in got[0]["nodes"] if n["kind"] == "text"] == [0, 1, 0]
+    assert [n for n in seen[1] if n[0] == "text"] == [("text", "on "), ("text", " at")]
+    assert seen[2] == [("text", "of "), ("obj", None)] and seen[5] == [("text", "see")]
+    codes = {(r["code"], r["count"]) for r in O.findings(made_files).collect()}
+    assert codes == {("tracked_changes_present", 1), ("field_results_not_translated", 2)}
 
 
 def test_refused_packages(spark):
-    evil = docx("<w:p/>").replace(b"PK\x03\x04", b"PKxx", 1)
+    """A bad file is an error row, and the good file beside it is read."""
+    good = docx("<w:p><w:r><w:t>fine</w:t></w:r></w:p>")
     doctype = made.pack("word/document.xml", made._TYPES["docx"], {"word/document.xml": "<!DOCTYPE x><x/>"}, {})
-    got = {r["doc_id"]: r["error_code"] for r in O.refused(O.scan_docx(files(spark, no=b"text", dtd=doctype))).collect()}
-    assert got == {"no": "invalid_document", "dtd": "invalid_document"}
+    place = good.index(b"word/document.xml") + len("word/document.xml")
+    damaged = good[:place] + bytes(8) + good[place + 8 :]
+    bomb = made.pack("word/document.xml", made._TYPES["docx"], {"word/document.xml": "<x>" + " " * 5_000_000 + "</x>"}, {})
+    scanned = O.scan_docx(files(spark, good=good, no=b"text", dtd=doctype, damaged=damaged, bomb=bomb)).collect()
+    assert {r["doc_id"]: r["error_code"] for r in scanned} == {
+        "good": None, "no": "invalid_document", "dtd": "invalid_document", "damaged": "invalid_document", "bomb": "document_limit",
+    }
     kinds = {r["doc_id"]: r["kind"] or r["error_code"] for r in O.ooxml_kind(
-        files(spark, d=docx("<w:p/>"), x=made.make_xlsx("a"), p=made.make_pptx("a"), evil=evil[:20])).collect()}
-    assert kinds == {"d": "docx", "x": "xlsx", "p": "pptx", "evil": "invalid_document"}
+        files(spark, d=good, x=made.make_xlsx("a"), p=made.make_pptx("a"), cut=good[:20])).collect()}
+    assert kinds == {"d": "docx", "x": "xlsx", "p": "pptx", "cut": "invalid_document"}
 
 
 def test_stream_equals_batch_over_many_files(spark, tmp_path):
