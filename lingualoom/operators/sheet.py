@@ -86,11 +86,14 @@ def merge_range_lookup(cells: DataFrame, merges: DataFrame) -> DataFrame:
     # At most 15 x 21 size classes exist, since a sheet has 2^14 columns and 2^20 rows.
     classes = sized.groupBy("sheet").agg(F.collect_set(F.struct("lc", "lr")).alias("classes"))
     names = cells.columns
+    # Cells that repeat are looked up once and come back as often as they were there.
+    cells = cells.groupBy(*names).agg(F.count("*").alias("_times"))
+    carried = [*names, "_times"]
     looking = (
         salted_join(cells, classes, ["sheet"], "left", ["col", "row"])
-        .select(*names, F.explode_outer("classes").alias("_c"))
+        .select(*carried, F.explode_outer("classes").alias("_c"))
         .select(
-            *names,
+            *carried,
             F.col("_c.lc").alias("lc"),
             F.col("_c.lr").alias("lr"),
             F.expr("shiftright(col, _c.lc)").alias("tc"),
@@ -105,7 +108,8 @@ def merge_range_lookup(cells: DataFrame, merges: DataFrame) -> DataFrame:
         & (F.col("r1") <= F.col("row")) & (F.col("row") <= F.col("r2"))
     )
     first = F.min(F.when(inside, F.struct("ord", "c1", "r1", "c2", "r2"))).alias("_m")
-    found = met.groupBy(*names).agg(first)
+    found = met.groupBy(*carried).agg(first)
+    found = found.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
     return found.select(
         *names,
         F.col("_m").isNotNull().alias("merged"),

@@ -113,13 +113,19 @@ def dense_index(rows: DataFrame, group: list[str], bucket: Column, order: list[s
 
 
 def salted_join(
-    many: DataFrame, few: DataFrame, keys: list[str], how: str, by: list[str], salts: int = 8
+    many: DataFrame, few: DataFrame, keys: list[str], how: str, by: list[str], share: int = SHARE
 ) -> DataFrame:
     """A left, semi, anti or inner join whose left side may be very uneven over ``keys``.
 
-    Left rows get a salt from ``by`` (columns that vary within a key), and the right side, which
-    has few rows, is repeated once per salt.
+    Keys are counted first.  A key with more than ``share`` left rows is dealt out over as many
+    salts as it has shares, by ``by`` (columns that vary within a key), and the right side's rows
+    of that key are repeated once per salt; all other keys have one.  The keys to deal out are at
+    most ``HOT_KEYS``, the most frequent ones, and are broadcast.
     """
-    salt = F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")
-    copies = few.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return many.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
+    frequent = many.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > share)
+    frequent = frequent.orderBy(F.desc("_n"), *keys).limit(HOT_KEYS)
+    hot = F.broadcast(frequent.select(*keys, F.ceil(F.col("_n") / share).cast("int").alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
+    left = many.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), salts).cast("int"))
+    right = few.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return left.drop("_salts").join(right.drop("_salts"), [*keys, "_salt"], how).drop("_salt")

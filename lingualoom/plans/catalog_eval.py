@@ -357,7 +357,7 @@ _RUNS_SQL = f"""ev AS (SELECT *, 'run-' || hour(ts) AS run_id, {_STATUS_SQL} AS
 def read_run(spark, sf):
     manifests, scores = _runs(spark, sf)
     root = fresh_path(spark, "runs")
-    sinks.write_run({"manifest": manifests, "segment_scores": scores.coalesce(1)}, root)
+    sinks.write_run({"manifest": manifests, "segment_scores": scores}, root)
     return sinks.read_run(spark, root, evaluate.COMPARABLE).select("run_id", "direction", "id", "comet")
 
 
@@ -369,7 +369,7 @@ def read_run(spark, sf):
 def write_run(spark, sf):
     manifests, scores = _runs(spark, sf)
     root = fresh_path(spark, "runs")
-    sinks.write_run({"manifest": manifests, "segment_scores": scores.coalesce(1)}, root)
+    sinks.write_run({"manifest": manifests, "segment_scores": scores}, root)
     return spark.read.parquet(f"{root}/segment_scores").groupBy("run_id", "direction").agg(
         F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("comet").alias("best")
     )

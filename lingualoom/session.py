@@ -24,6 +24,7 @@ def local_session(cpus: int | str = 8, app: str = "lingualoom") -> SparkSession:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "12g"))
+        .config("spark.lingualoom.parts", str(cpus if str(cpus).isdigit() else 8))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -31,14 +32,14 @@ def local_session(cpus: int | str = 8, app: str = "lingualoom") -> SparkSession:
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table, spread over the session when it has fewer parts than task slots.
+    """A Parquet table, in the parts that the scan makes of it.
 
-    Large tables have more parts than slots and are left as they are; a small table in one row
-    group would otherwise keep all per-row work in a single task.
+    A session may ask for its rows to be dealt out (``spark.lingualoom.parts``), as the local one
+    does for test tables of one row group, whose per-row work would stay in a single task.
     """
     df = spark.read.parquet(path)
-    slots = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
+    parts = spark.conf.get("spark.lingualoom.parts", None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def shared_dir(spark: SparkSession) -> str:

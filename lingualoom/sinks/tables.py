@@ -49,17 +49,19 @@ def verify_written(expected: DataFrame, path: str, keys: list[str]) -> DataFrame
     )
 
 
-def write_run(tables: dict[str, DataFrame], root: str) -> None:
+def write_run(tables: dict[str, DataFrame], root: str, files: int = 4) -> None:
     """Append one or more runs, each table partitioned by run and, where it has one, direction.
 
-    Rows of a partition are spread by id first, so a large direction is written by many tasks.
+    Rows of a partition are dealt out by id over ``files`` parts, so a large direction is written by
+    so many tasks and leaves so many files, whatever the number of input tasks.
     """
     unknown = set(tables) - set(RUN_TABLES)
     if unknown:
         raise ValueError(f"not run tables: {sorted(unknown)}")
     for name, df in tables.items():
         by = [c for c in ("run_id", "direction") if c in df.columns]
-        df.write.mode("append").partitionBy(*by).parquet(f"{root}/{name}")
+        part = F.pmod(F.xxhash64("id"), F.lit(files)) if "id" in df.columns else F.lit(0)
+        df.repartition(*by, part).write.mode("append").partitionBy(*by).parquet(f"{root}/{name}")
 
 
 def read_run(spark: SparkSession, root: str, allowed: Sequence[str]) -> DataFrame:
