@@ -303,15 +303,23 @@ class _MarkerEngine:
         return [f"{target.upper()}:{cjk.sub('x', t)}" for t in texts]
 
 
+class _NamingEngine(_MarkerEngine):
+    """Puts the source language it was given in front."""
+
+    def translate_batch(self, texts, source, target):
+        answers = super().translate_batch(texts, source, target)
+        return [f"{source}>{a}" for a in answers] if len(answers) == len(texts) else answers
+
+
 @query(
     "translate_units",
-    f"""WITH {D.OCC_SQL}, u AS (SELECT DISTINCT unit_text FROM occ WHERE unit_text IS NOT NULL)
-    SELECT unit_text, {D.sql_marker('unit_text', 'en')} AS output, CAST(NULL AS VARCHAR) AS error_code FROM u""",
+    f"""WITH {D.OCC_SQL}, u AS (SELECT DISTINCT lang, unit_text FROM occ WHERE unit_text IS NOT NULL)
+    SELECT unit_text, lang || '>' || {D.sql_marker('unit_text', 'en')} AS output, CAST(NULL AS VARCHAR) AS error_code FROM u""",
 )
 def translate_units(spark, sf):
-    inputs = units.engine_inputs(S.scan_segments(D.corpus(spark, sf), keep=("lang",)))
-    distinct = units.unique_units(inputs)
-    answers = infer.translate_units(distinct, _MarkerEngine, "en", lang=None)
+    inputs = units.engine_inputs(S.scan_segments(D.corpus(spark, sf), keep=("lang",)), keep=("lang",))
+    distinct = units.unique_units(inputs, group=("lang",))
+    answers = infer.translate_units(distinct, _NamingEngine, "en")
     return answers.select("unit_text", "output", "error_code")
 
 

@@ -10,6 +10,7 @@ from lingualoom.functions import protect as P
 from lingualoom.functions import text as X
 from lingualoom.operators import infer, report, units
 from lingualoom.plans import corpus as jobs
+from lingualoom.plans import job
 from lingualoom.plans import derived as D
 from lingualoom.sources import text as S
 
@@ -461,6 +462,26 @@ def reassemble_txt(spark, sf):
     return rebuilt.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").alias("n"))
 
 
+# Half of the documents were translated before, with another engine and with this one.
+@query(
+    "translate_documents",
+    _REBUILT + """ SELECT doc_id, CASE WHEN lang = 'en' THEN md5(corpus.text) ELSE md5(rebuilt.text) END AS text_md5,
+      CASE WHEN lang = 'en' THEN 'already_target_language' END AS note, CAST(NULL AS VARCHAR) AS error_code, 0::BIGINT AS lost
+    FROM corpus JOIN rebuilt USING (doc_id)""",
+)
+def translate_documents(spark, sf):
+    docs = D.corpus(spark, sf)
+
+    def marker(asked):
+        return asked.select("unit_key", infer.marker_translate(F.col("unit_text"), F.lit("en")).alias("output"))
+
+    before = docs.filter("doc_id % 2 = 0")
+    other = job.translate_documents(before, lambda a: a.select("unit_key", F.lit("other").alias("output")), "en", "other-1").memory
+    same = job.translate_documents(before, marker, "en", "marker-1").memory
+    done = job.translate_documents(docs, marker, "en", "marker-1", memory=other.unionByName(same)).documents
+    return done.select("doc_id", F.md5("text").alias("text_md5"), "note", "error_code", "lost")
+
+
 @query(
     "unchanged_copy",
     """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'no_translatable_text'
