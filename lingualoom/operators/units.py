@@ -19,6 +19,12 @@ def unit_key(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def input_key(text: Column, lang: Column, target: str, fingerprint: str) -> Column:
+    """What an answer depends on: both languages, the engine and the text."""
+    parts = F.struct(F.coalesce(lang, F.lit("")).alias("s"), F.lit(target).alias("t"), F.lit(fingerprint).alias("f"), text.alias("x"))
+    return F.when(text.isNotNull(), F.sha2(F.to_json(parts), 256))
+
+
 def occurrences(segments: DataFrame, lang: str = "lang", line: str = "line") -> DataFrame:
     """Segments split into whitespace and core, with the engine input of the core.
 

@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
     "stream_ingest_units",
     f"""WITH lines AS ({D.sql_lines('documents', 'lang')}),
     segs AS (SELECT *, {D.sql_strip('line')} AS core FROM lines WHERE NOT {D.sql_blank('line')}),
-    u AS (SELECT DISTINCT {D.sql_encoded('core')} AS unit_text FROM segs WHERE NOT {D.sql_passes('line', 'lang')})
+    u AS (SELECT DISTINCT lang, {D.sql_encoded('core')} AS unit_text FROM segs WHERE NOT {D.sql_passes('line', 'lang')})
     SELECT unit_text, {D.sql_marker('unit_text', 'en')} AS output FROM u""",
 )
 def stream_ingest_units(spark, sf):
@@ -40,7 +40,7 @@ def stream_ingest_units(spark, sf):
             "output", infer.marker_translate(F.col("unit_text"), F.lit("en"))
         )
 
-    jobs.ingest_units(docs, translate, root).awaitTermination()
+    jobs.ingest_units(docs, translate, root, "en", "marker-1").awaitTermination()
     return jobs.read_memory(spark, f"{root}/memory").select("unit_text", "output")
 
 
@@ -53,3 +53,22 @@ def stream_dedup_submissions(spark, sf):
     )
     jobs.dedup_submissions(events, ["user_id", "props"], "at", "60 days", root).awaitTermination()
     return spark.read.parquet(f"{root}/accepted").select("user_id", "props")
+
+
+@query(
+    "stream_submission_outcomes",
+    """SELECT user_id, props, count(*) AS tries, 1::BIGINT AS accepted, min(event_type) <> max(event_type) AS conflict
+    FROM events GROUP BY ALL""",
+)
+def stream_submission_outcomes(spark, sf):
+    """The events arrive in four files, one micro-batch each."""
+    root = fresh_path(spark, "stream")
+    events = spark.read.parquet(f"{sf}/events.parquet").withColumn("at", F.col("ts").cast("timestamp"))
+    events.repartition(4, "event_id").write.parquet(f"{root}/in")
+    stream = jobs.document_stream(spark, f"{root}/in", events.schema, per_batch=1)
+    jobs.submission_outcomes(stream, ["user_id", "props"], "event_type", ["ts", "event_id"], "at", "3650 DAYS", root).awaitTermination()
+    done = spark.read.parquet(f"{root}/outcomes")
+    return done.groupBy("user_id", "props").agg(
+        F.count("*").alias("tries"), F.count_if(F.col("outcome") == "accepted").alias("accepted"),
+        F.bool_or(F.col("outcome") == "conflict").alias("conflict"),
+    )

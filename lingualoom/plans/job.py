@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lingualoom.functions import protect as P
@@ -30,12 +30,6 @@ class Result:
     memory: DataFrame
 
 
-def job_key(text: Column, lang: Column, target: str, fingerprint: str) -> Column:
-    """What an answer depends on: both languages, the engine and the text."""
-    parts = F.struct(F.coalesce(lang, F.lit("")).alias("s"), F.lit(target).alias("t"), F.lit(fingerprint).alias("f"), text.alias("x"))
-    return F.when(text.isNotNull(), F.sha2(F.to_json(parts), 256))
-
-
 def _inputs(lines: DataFrame, target: str, fingerprint: str, lang: str, terms: Sequence[str]) -> DataFrame:
     """Lines with the texts they keep, whether they pass, and their engine input and its key."""
     core = X.strip(F.col("line"))
@@ -43,7 +37,7 @@ def _inputs(lines: DataFrame, target: str, fingerprint: str, lang: str, terms: S
     rows = rows.withColumn("_kept", P.span_texts(core, F.col("_spans"))).withColumn("_input", P.encode_line_with_terms(core, F.col("_spans")))
     passed = P.passes_through(F.regexp_replace("_input", "<x[0-9]+/>", ""), F.col(lang))
     rows = rows.withColumn("passed", passed).withColumn("unit_text", F.when(~F.col("passed"), F.col("_input")))
-    return rows.withColumn("unit_key", job_key(F.col("unit_text"), F.col(lang), target, fingerprint)).drop("_spans", "_input")
+    return rows.withColumn("unit_key", units.input_key(F.col("unit_text"), F.col(lang), target, fingerprint)).drop("_spans", "_input")
 
 
 def translate_documents(

@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 from lingualoom.operators import units
 from lingualoom.sources import text as S
 
-MEMORY_SCHEMA = "unit_key string, unit_text string, output string"
+MEMORY_SCHEMA = "unit_key string, unit_text string, lang string, output string"
 
 
 def document_stream(
@@ -42,10 +42,11 @@ def read_memory(spark: SparkSession, root: str, before: int | None = None) -> Da
 
 
 def ingest_units(
-    docs: DataFrame, translate: Callable[[DataFrame], DataFrame], root: str, lang: str = "lang"
+    docs: DataFrame, translate: Callable[[DataFrame], DataFrame], root: str, target: str, fingerprint: str, lang: str = "lang"
 ) -> StreamingQuery:
     """Documents -> segments -> inputs the memory lacks -> translations -> memory.
 
+    The memory's key holds both languages and the engine's fingerprint besides the text.
     A micro-batch looks only at memory from earlier batches and writes its own partition by
     overwriting it, so that a replayed batch leaves the same state.  Stops when all input is read.
     """
@@ -53,11 +54,12 @@ def ingest_units(
     memory = f"{root}/memory"
 
     def step(batch: DataFrame, epoch: int) -> None:
-        inputs = units.engine_inputs(S.scan_segments(batch, keep=(lang,)), lang)
+        inputs = units.engine_inputs(S.scan_segments(batch, keep=(lang,)), lang, keep=(lang,))
+        inputs = inputs.withColumn("unit_key", units.input_key(F.col("unit_text"), F.col(lang), target, fingerprint))
         asked = units.memory_misses(
-            units.unique_units(inputs), read_memory(spark, memory, epoch), ["unit_key"]
+            units.unique_units(inputs, group=(lang,)).withColumnRenamed(lang, "lang"), read_memory(spark, memory, epoch), ["unit_key"]
         )
-        answers = translate(asked).select("unit_key", "unit_text", "output")
+        answers = translate(asked).select("unit_key", "unit_text", "lang", "output")
         answers.write.mode("overwrite").parquet(f"{memory}/epoch={epoch}")
 
     return (
@@ -81,3 +83,49 @@ def dedup_submissions(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def submission_outcomes(
+    submissions: DataFrame, key: list[str], content: str, order: list[str], at: str, horizon: str, root: str
+) -> StreamingQuery:
+    """Every submission with its outcome: accepted, repeat (same content) or conflict (other content).
+
+    The first arrival of an identity is accepted.  Identities are kept with their content in a table
+    with one folder per micro-batch, written by overwriting it, so a replayed batch gives the
+    same outcomes.  Identities first seen longer than ``horizon`` before a submission's ``at`` are
+    forgotten, which bounds the state that a batch looks at.
+    """
+    spark = submissions.sparkSession
+    seen = f"{root}/identities"
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        schema = batch.select(*key, F.col(content).alias("_content"), F.col(at).alias("_first_at")).schema
+        try:
+            before = spark.read.schema(schema.add("epoch", "long")).parquet(seen).filter(F.col("epoch") < epoch)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            before = spark.createDataFrame([], schema.add("epoch", "long"))
+        oldest = batch.agg(F.min(at)).first()[0]
+        if oldest is None:
+            return
+        recent = before.filter(F.col("_first_at") >= F.lit(oldest) - F.expr(f"INTERVAL {horizon}"))
+        known = recent.groupBy(*key).agg(F.min_by(F.struct("_content", "_first_at"), "_first_at").alias("_known"))
+        first = batch.groupBy(*key).agg(F.min_by(F.struct(F.col(content).alias("_content"), F.col(at).alias("_first_at"), *order), F.struct(*order)).alias("_first"))
+        settled = first.join(known, key, "left")
+        was_new = F.col("_known").isNull() | (F.col("_known._first_at") < F.col("_first._first_at") - F.expr(f"INTERVAL {horizon}"))
+        settled = settled.withColumn("_new", was_new)
+        fresh = settled.filter("_new").select(*key, "_first._content", "_first._first_at")
+        fresh.write.mode("overwrite").parquet(f"{seen}/epoch={epoch}")
+        is_first = F.col("_new") & F.expr(" AND ".join(f"`{c}` <=> _first.`{c}`" for c in order))
+        held = F.when(F.col("_new"), F.col("_first._content")).otherwise(F.col("_known._content"))
+        outcome = F.when(is_first, "accepted").when(F.col(content).eqNullSafe(held), "repeat").otherwise("conflict")
+        done = batch.join(settled, key).withColumn("outcome", outcome)
+        done.select(*batch.columns, "outcome").write.mode("overwrite").parquet(f"{root}/outcomes/epoch={epoch}")
+
+    return (
+        submissions.writeStream.foreachBatch(step)
+        .option("checkpointLocation", f"{root}/progress")
+        .trigger(availableNow=True)
+        .start()
+    )

@@ -172,7 +172,7 @@ def test_stream_equals_batch_over_many_files(spark, tmp_path):
         return asked.withColumn("output", infer.marker_translate(F.col("unit_text"), F.lit("en")))
 
     stream = jobs.document_stream(spark, str(tmp_path / "in"), docs.schema, per_batch=2)
-    jobs.ingest_units(stream, translate, str(tmp_path / "work")).awaitTermination()
+    jobs.ingest_units(stream, translate, str(tmp_path / "work"), "en", "marker-1").awaitTermination()
     memory = jobs.read_memory(spark, str(tmp_path / "work/memory"))
     batch = units.unique_units(units.occurrences(S.scan_segments(docs, keep=("lang",))))
     assert len(calls) == 3 and sum(calls) == batch.count() == memory.count()
