@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ MIN_CONFIDENCE = 0.70
 
 # Trigrams that a profile keeps for each language, unless the caller asks for another number.
 PROFILE_GRAMS = 300
+# Labelled texts that a profile is learned from at most: those with the smallest hashes.
+PROFILE_ROWS = 20_000
 # Log weights are whole thousandths, so that sums do not depend on the order of addition.
 WEIGHT_SCALE = 1000
 
@@ -92,15 +96,19 @@ def _grams(text: Column) -> Column:
 
 
 def latin_profile(
-    labelled: DataFrame, lang: str, text: str, languages: Sequence[str], grams: int = PROFILE_GRAMS
+    labelled: DataFrame, lang: str, text: str, languages: Sequence[str], grams: int = PROFILE_GRAMS,
+    rows: int = PROFILE_ROWS,
 ) -> DataFrame:
     """gram, weights: the most frequent trigrams of each language with log weights in all of them.
 
-    A profile is a model of a stated size: ``grams`` trigrams for each language, so it is small
-    whatever it was learned from.
+    A profile is a model of a stated size: ``grams`` trigrams for each language, learned from
+    ``rows`` texts at most.
     """
+    wanted = labelled.filter(F.col(lang).isin(*languages))
+    mark = F.xxhash64(text)
+    last = wanted.select(mark.alias("_h")).orderBy("_h").limit(rows).agg(F.max("_h")).first()[0]
     counts = (
-        labelled.filter(F.col(lang).isin(*languages))
+        wanted.filter(mark <= F.lit(last))
         .select(F.col(lang).alias("lang"), F.explode(_grams(F.col(text))).alias("gram"))
         .groupBy("lang", "gram")
         .agg(F.count("*").alias("n"))
@@ -132,7 +140,7 @@ def latin_profile(
     one = F.lit(1)
     return (
         per_gram.withColumn("_one", one)
-        .join(floors.withColumn("_one", one), "_one")
+        .join(F.broadcast(floors.withColumn("_one", one)), "_one")
         .select(
             "gram",
             *[
@@ -148,24 +156,25 @@ def latin_confidence(
 ) -> DataFrame:
     """keys, best, confidence: softmax over the summed log weights of a sample's trigrams.
 
-    The profile is broadcast (``PROFILE_GRAMS`` rows per language at most); trigrams stream past
-    it and are summed where they are made.  A row without text keeps its keys and gets NULLs, so
-    callers carry their other columns in ``keys`` instead of joining back.
+    Each sample is scored in its own row: the profile, whose size is stated where it is made, goes to
+    every task, and no trigram becomes a row.  A row without text keeps its keys and gets NULLs.
     """
-    scored = (
-        samples.select(*keys, F.explode_outer(_grams(F.col(text))).alias("gram"))
-        .join(F.broadcast(profile), "gram", "left")
-        .groupBy(*keys)
-        .agg(*[F.sum(f"w_{i}").alias(f"s_{i}") for i in range(len(languages))])
-    )
-    best = F.greatest(*[F.col(f"s_{i}") for i in range(len(languages))])
-    total = sum(
-        (F.exp((F.col(f"s_{i}") - best) / F.lit(float(WEIGHT_SCALE))) for i in range(len(languages))),
-        F.lit(0.0),
-    )
-    name = F.coalesce(
-        *[F.when(F.col(f"s_{i}") == best, F.lit(code)) for i, code in enumerate(languages)]
-    )
+    n = len(languages)
+    weights = {r["gram"]: tuple(r[f"w_{i}"] for i in range(n)) for r in profile.collect()}
+
+    @F.pandas_udf("array<bigint>")
+    def sums(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> list[int] | None:
+            met = Counter(t[i : i + 3] for i in range(len(t) - 2)) if t else {}
+            known = [(weights[g], times) for g, times in met.items() if g in weights]
+            return [sum(w[i] * times for w, times in known) for i in range(n)] if known else None
+
+        return texts.map(one)
+
+    scored = samples.select(*keys, sums(F.lower(F.col(text))).alias("_s"))
+    best = F.array_max("_s")
+    total = F.aggregate("_s", F.lit(0.0), lambda acc, s: acc + F.exp((s - best) / F.lit(float(WEIGHT_SCALE))))
+    name = F.get(F.array(*map(F.lit, languages)), F.array_position("_s", best).cast("int") - 1)
     return scored.select(*keys, name.alias("best"), F.round(1 / total, 6).alias("confidence"))
 
 
