@@ -153,8 +153,7 @@ FROM d LEFT JOIN places ON places.doc_id = d.doc_id LEFT JOIN items ON items.doc
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    found = pii.with_spans(docs.select("doc_id", "text"))
+    found = pii.with_spans(_table(spark, sf_dir, "documents"), keep=["doc_id"])
     base = F.concat(*[pii.listed(F.col(f"_{k}"), k) for k in pii.KINDS])
     return found.select(
         F.col("row.doc_id").alias("doc_id"),

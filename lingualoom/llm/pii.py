@@ -191,10 +191,10 @@ def sanitised_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return result
 
 
-def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``row`` (the input), and ``_email`` to ``_term`` for each row of ``docs``."""
+def with_spans(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``row`` (the columns in ``keep``, else all), and ``_email`` to ``_term`` for each row of ``docs``."""
     found = sanitised_spans(docs, text_col)
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_text_key(F.col(text_col)))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), *_text_key(F.col(text_col)))
     none = F.array().cast(_SPAN)
     joined = keyed.join(found, ["k1", "k2"], "left")
     return joined.select("row", *[F.coalesce(f"_{k}", none).alias(f"_{k}") for k in (*KINDS, TERM)])
