@@ -149,8 +149,9 @@ def disclosing(docs: DataFrame, near: DataFrame, text_col: str, support: int = S
     and Batet.  Pairs seen in fewer than ``support`` documents are no evidence.  m is counted over
     all documents, once for each, combined before the shuffle; equal texts count as often as they occur.
     """
-    keyed = docs.select(*_text_key(F.col(text_col)))
-    copies = keyed.join(near.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.count("*").alias("n"))
+    # Copies are counted before they meet anything, so a text that very many documents share is few rows.
+    copies = docs.select(*_text_key(F.col(text_col))).groupBy("k1", "k2").agg(F.count("*").alias("n"))
+    copies = copies.join(near.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
     in_docs = near.select("k1", "k2", "entity", "term").distinct().join(copies, ["k1", "k2"])
     pairs = in_docs.groupBy("entity", "term").agg(F.sum("n").alias("c")).filter(F.col("c") >= support)
     entities = near.select("k1", "k2", "entity").distinct().join(copies, ["k1", "k2"]).groupBy("entity").agg(F.sum("n").alias("n"))
