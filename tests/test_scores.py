@@ -72,12 +72,17 @@ def test_comparison_counts_and_verdict(spark):
     assert cmp.regression_gate(decided, "en-es").first()["regression"] is False
 
 
-def test_broadcast_and_shuffled_draws_agree(spark, monkeypatch):
+def test_broadcast_and_shuffled_draws_agree(spark):
     a = scores(spark, [("d", str(i), i / 50) for i in range(50)])
     b = scores(spark, [("d", str(i), i * 7 % 50 / 50) for i in range(50)])
     first = cmp.bootstrap_ci(cmp.bootstrap_means(cmp.paired(a, b), 200), 200).collect()
-    monkeypatch.setattr(cmp, "BROADCAST_ROWS", 0)
-    assert cmp.bootstrap_ci(cmp.bootstrap_means(cmp.paired(a, b), 200), 200).collect() == first
+    size = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "-1")
+    try:
+        assert cmp.bootstrap_ci(cmp.bootstrap_means(cmp.paired(a, b), 200), 200).collect() == first
+    finally:
+        spark.conf.set(size, before)
 
 
 def test_detection_outcomes(spark):
