@@ -246,6 +246,12 @@ def test_near_duplicate_stage_keeps_the_first_of_each_group(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in twice.collect()) == [1, 2]
 
 
+def test_near_duplicate_stage_misses_no_short_pair(spark):
+    words = [prose(k, 8, 10**9) for k in range(300)]
+    rows = [(2 * k, " ".join(w), "s") for k, w in enumerate(words)] + [(2 * k + 1, " ".join([*w, "more"]), "s") for k, w in enumerate(words)]
+    assert sorted(r["doc_id"] for r in simhash.keep_first(table(spark, rows)).collect()) == [2 * k for k in range(300)]
+
+
 # 6
 
 
