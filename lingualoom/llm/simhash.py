@@ -22,7 +22,7 @@ SEED = 42
 # Fingerprints that one task compares at once, and the side of a tile within them.
 GROUP = 2048
 TILE = 256
-# Shingles in the sets that one task compares at once.
+# Shingles in the sets that one task compares at once; of sets it compares GROUP at most.
 SETS = 1 << 19
 # Words of 64 bits in a wide fingerprint; keys of a text, and smallest hashes in each.
 WIDE = 4
@@ -192,16 +192,24 @@ def alike(sets: list[np.ndarray], likeness: float) -> list[tuple[int, int]]:
     number = np.cumsum(new) - 1
     shared = np.bincount(number)[number] > 1
     owner, number = owner[shared], np.cumsum((np.r_[True, np.diff(number[shared]) != 0]) if shared.any() else []) - 1
-    common = np.zeros((n, n), np.float32)
+    number = number.astype(np.int64)
     width = max(1, (1 << 24) // n)
+    common = np.zeros((n, n), np.float32)
     for start in range(0, int(number[-1]) + 1 if len(number) else 0, width):
         lo, hi = np.searchsorted(number, [start, start + width])
         held = np.zeros((n, min(width, int(number[-1]) + 1 - start)), np.float32)
-        held[owner[lo:hi], (number[lo:hi] - start).astype(np.int64)] = 1
-        common += held @ held.T
-    x, y = np.nonzero(common >= likeness * (sizes[:, None] + sizes[None, :] - common) - 1e-3)
-    keep = x < y
-    return _forest_of(n, x[keep], y[keep])
+        held[owner[lo:hi], number[lo:hi] - start] = 1
+        for i in range(0, n, TILE):
+            common[i : i + TILE] += held[i : i + TILE] @ held.T
+    # Row by row of tiles, each folded to a link per set at most.
+    found = []
+    for i in range(0, n, TILE):
+        some = common[i : i + TILE]
+        x, y = np.nonzero(some >= likeness * (sizes[i : i + TILE, None] + sizes[None, :] - some) - 1e-3)
+        keep = x + i < y
+        found += _forest_of(n, x[keep] + i, y[keep])
+    ends = np.array(found, np.int64).reshape(-1, 2)
+    return _forest_of(n, ends[:, 0], ends[:, 1])
 
 
 def _forest_of(n: int, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
@@ -350,8 +358,10 @@ def keep_first(docs: DataFrame, shingle: int = 5, likeness: float = 0.8) -> Data
     wanted = nodes.join(loose, "node").select("k1", "k2", F.col("node").alias("id"), "label")
     members = stage(shingle_sets(keyed.join(wanted, ["k1", "k2", "id"]).withColumnRenamed("id", "node"), shingle), "shingle-sets")
     step = -math.log(likeness)
+    # A part is bounded by its sets too, as their comparison takes memory by the square of their number.
+    weight = F.greatest(F.size("payload"), F.lit(-(-SETS // GROUP)))
     rows = members.dropDuplicates(["node"]).select(
-        F.col("label").alias("bucket"), "node", "payload", F.size("payload").alias("weight"), F.floor(F.log(F.size("payload").cast("double")) / step).alias("level")
+        F.col("label").alias("bucket"), "node", "payload", weight.alias("weight"), F.floor(F.log(F.size("payload").cast("double")) / step).alias("level")
     )
     # Sets that are alike differ in size by one level at most.
     found = components(_linked(tiled(rows, 1, SETS), lambda sets: alike(sets, likeness)), "a", "b")

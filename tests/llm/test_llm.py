@@ -1,6 +1,7 @@
 """The corpus operators against brute force, and on nulls, empty texts and tables, repeated rows and extra columns."""
 
 import re
+import tracemalloc
 import zipfile
 from itertools import combinations
 
@@ -252,6 +253,39 @@ def test_near_duplicate_stage_misses_no_short_pair(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_first(table(spark, rows)).collect()) == [2 * k for k in range(300)]
 
 
+def test_lists_of_short_sets_are_bounded(spark, monkeypatch):
+    base, most, tiled = prose(5, 20, 10**9), [], simhash.tiled
+
+    def seen(*args):
+        lists = tiled(*args)
+        most.append(lists.agg(F.max(F.size("both"))).first()[0])
+        return lists
+
+    monkeypatch.setattr(simhash, "GROUP", 64)
+    monkeypatch.setattr(simhash, "tiled", seen)
+    docs = table(spark, [(k, " ".join([*base, f"end{k}"]), "s") for k in range(600)])
+    assert [r["doc_id"] for r in simhash.keep_first(docs).collect()] == [0]
+    # Two parts, which a hash fills unevenly.
+    assert most[-1] <= 4 * 64
+
+
+def test_comparison_of_many_sets_in_little_memory():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, (150, 16), dtype=np.uint64)
+    sets = [np.unique(np.r_[base[k % 150], rng.integers(0, 2**63, k // 150 % 6, dtype=np.uint64)]) for k in range(3000)]
+    tracemalloc.start()
+    found = simhash.alike(sets, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # One matrix, and 64 MB for the shingles that are counted at once.
+    assert peak < 4 * 3000**2 + 120e6
+    assert len(found) > 1000
+    some = sets[::5]
+    plain = [frozenset(s.tolist()) for s in some]
+    want = connected(range(600), lambda a, b: len(plain[a] & plain[b]) >= 0.8 * len(plain[a] | plain[b]))
+    assert want == connected(range(600), lambda a, b, edges=set(map(frozenset, simhash.alike(some, 0.8))): frozenset((a, b)) in edges)
+
+
 # 6
 
 
