@@ -23,16 +23,15 @@ PATTERNS = {
 KINDS = tuple(PATTERNS)
 NEEDS = {"email": "@", "ip": ".", "card": "0", "phone": "+"}
 TERM = "term"
-# Characters around a mention in which terms are looked for, documents that must share the pair, and the share
-# of the entity's information that a term may reveal.
-AROUND = 80
-SUPPORT = 3
+# Documents without the entity's information that a term's documents are mixed with, which lowers the information of
+# rare pairs, and the share of the entity's information that a term may reveal.
+PRIOR = 1.0
 DISCLOSED = 0.9
 _SPAN = "array<struct<start:int,stop:int,value:string>>"
-_EDGE = r"[^\p{L}\p{N}]+"
+_WORD = r"[\p{L}\p{N}]"
 
 
-def _located(text: Column, pattern: str) -> Column:
+def _located(text: Column, pattern: str | Column) -> Column:
     """All matches with their places in code points, end exclusive.
 
     What stands between the matches is as long as the text without them, so the places are sums of
@@ -115,63 +114,85 @@ def _text_key(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(full).alias("k1"), F.xxhash64(F.lit(7), full).alias("k2")
 
 
-def _terms(side: Column, start: Column) -> Column:
-    """Words of a stretch of text that are whole in it, with their places."""
-    located = _located(side, r"[\p{L}\p{N}]++")
-    return F.transform(located, lambda s: F.struct((s["start"] + start).alias("start"), (s["stop"] + start).alias("stop"), F.lower(s["value"]).alias("term")))
+def _words(text: Column) -> Column:
+    """The distinct words of a text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"{_WORD}++"), F.lit(0)))
 
 
-def mentions(found: DataFrame, text_col: str) -> DataFrame:
-    """One row per mention and term near it: ``k1, k2, entity, term, start, stop``.
+def _terms(text: Column) -> Column:
+    """The distinct words in lower case."""
+    return F.array_distinct(F.transform(_words(text), F.lower))
 
-    The stretch on either side has AROUND characters; a term that another mention covers is left out.
-    """
+
+def _without(text: Column, base: Column) -> Column:
+    """The text with a blank for each mention."""
+    return _replaced(text, F.transform(base, lambda s: F.struct(s["start"], s["stop"], F.lit(" ").alias("kind"))), lambda kind: kind)
+
+
+def mentions(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``k1, k2, entity`` for each text and what it mentions, and ``k1, k2, term`` for each of its words outside mentions."""
     base = F.concat(*[F.col(f"_{k}") for k in KINDS])
-    each = found.select("k1", "k2", F.col(text_col).alias("t"), base.alias("all")).filter(F.size("all") > 0)
-    each = each.select("k1", "k2", "t", "all", F.explode("all").alias("m"))
-    before_at = F.greatest(F.col("m.start") - AROUND, F.lit(0))
-    before = F.substr("t", before_at + 1, F.col("m.start") - before_at)
-    after = F.substr("t", F.col("m.stop") + 1, F.lit(AROUND))
-    # A word that the stretch cuts through isn't whole: drop what touches its outer edge.
-    left = F.filter(_terms(before, before_at), lambda s: (s["start"] > F.col("before_at")) | (F.col("before_at") == 0))
-    right = F.filter(_terms(after, F.col("m.stop")), lambda s: (s["stop"] < F.col("m.stop") + AROUND))
-    near = each.withColumn("before_at", before_at).withColumn("near", F.concat(left, right))
-    free = F.filter("near", lambda s: ~F.exists("all", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    near = near.select("k1", "k2", F.lower("m.value").alias("entity"), free.alias("near"))
-    return near.select("k1", "k2", "entity", F.inline("near"))
-
-
-def disclosing(docs: DataFrame, near: DataFrame, text_col: str, support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
-    """``entity, term``: pairs whose term reveals at least ``disclosed`` of the entity's information.
-
-    With N documents, an entity in n of them carries ``log(N / n)``; a term in m of them that is
-    near it in c reveals ``log(c N / (n m))``, the pointwise mutual information, after Sanchez
-    and Batet.  Pairs seen in fewer than ``support`` documents are no evidence.  m is counted over
-    all documents, once for each, combined before the shuffle; equal texts count as often as they occur.
+    entities = found.select("k1", "k2", F.explode(F.array_distinct(F.transform(base, lambda s: F.lower(s["value"])))).alias("entity"))
+    return entities, found.select("k1", "k2", F.explode(_terms(_without(F.col("t"), base))).alias("term"))
+
+
+def disclosing(docs: DataFrame, entities: DataFrame, terms: DataFrame, text_col: str, disclosed: float = DISCLOSED) -> DataFrame:
+    """``k1, k2, terms``: of each text, the words that reveal at least ``disclosed`` of the information of an entity in it.
+
+    With N documents, an entity in n of them carries ``log(N / n)``; a term in m of them, c with the
+    entity, reveals ``log(c N / (n m))``, the pointwise mutual information, after Sanchez and
+    Batet.  c and m are counts of whole documents, and c / m is mixed with PRIOR documents at the
+    rate n / N, so that little evidence counts less: a pair that occurs once needs about a thousand
+    documents around it.  Equal texts count as often as they occur.  Entities of the same texts have
+    the same terms and are judged as one, so a long list of addresses does not multiply its words.
     """
     # Copies are counted before they meet anything, so a text that very many documents share is few rows.
-    copies = docs.select(*_text_key(F.col(text_col))).groupBy("k1", "k2").agg(F.count("*").alias("n"))
-    copies = copies.join(near.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
-    in_docs = near.select("k1", "k2", "entity", "term").distinct().join(copies, ["k1", "k2"])
-    pairs = in_docs.groupBy("entity", "term").agg(F.sum("n").alias("c")).filter(F.col("c") >= support)
-    entities = near.select("k1", "k2", "entity").distinct().join(copies, ["k1", "k2"]).groupBy("entity").agg(F.sum("n").alias("n"))
-    pairs = stage(pairs.join(entities, "entity"), "entity-terms")
-    wanted = stage(pairs.select("term").distinct(), "terms")
-    total = docs.count()
-    seen = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), _EDGE))).alias("term"))
-    known = seen.groupBy("term").agg(F.count("*").alias("m")).join(wanted, "term", "left_semi")
-    size = F.lit(float(max(total, 1)))
-    pmi = F.log(F.col("c") * size / (F.col("n") * F.col("m")))
-    result = stage(pairs.join(known, "term").filter(pmi >= F.log(size / F.col("n")) * disclosed).select("entity", "term"), "disclosing")
-    discard(pairs, wanted)
+    copies = docs.select(*_text_key(F.col(text_col))).groupBy("k1", "k2").agg(F.count("*").alias("copies"))
+    copies = stage(copies.join(entities.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi"), "pii-copies")
+    size = F.lit(float(max(docs.count(), 1)))
+    entities = entities.join(copies, ["k1", "k2"])
+    known = entities.groupBy("entity").agg(F.sum("copies").alias("n"), F.bit_xor(F.xxhash64("k1", "k2")).alias("set"))
+    # An entity of all documents has no information.
+    known = known.filter(F.col("n") < size).select("entity", "n", F.xxhash64("n", "set").alias("group"))
+    groups = stage(entities.join(known, "entity").select("k1", "k2", "copies", "group", "n").distinct(), "entity-groups")
+
+    def reveals(c: Column, m: Column) -> Column:
+        rate = F.col("n") / size
+        return F.log((c + PRIOR * rate) / (m + PRIOR) / rate) >= F.log(1 / rate) * disclosed
+
+    seen = docs.select(F.explode(_terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("m"))
+    seen = stage(seen.join(terms.select("term").distinct(), "term", "left_semi"), "terms")
+    # c is at most n and m, so what fails with that has no need to be counted.
+    pairs = terms.join(seen, "term").join(groups, ["k1", "k2"]).filter(reveals(F.least("n", "m"), F.col("m")))
+    pairs = stage(pairs, "entity-terms")
+    counted = pairs.groupBy("group", "term").agg(F.sum("copies").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
+    counted = counted.filter(reveals(F.col("c"), F.col("m"))).select("group", "term")
+    result = pairs.join(counted, ["group", "term"]).groupBy("k1", "k2").agg(F.collect_set("term").alias("terms"))
+    result = stage(result, "disclosing")
+    discard(copies, groups, seen, pairs)
     return result
 
 
+def _term_spans(text: Column, base: Column, terms: Column) -> Column:
+    """All places of the terms as whole words that no mention covers."""
+
+    def located(forms: Column) -> Column:
+        pattern = F.concat(F.lit(rf"(?<!{_WORD})(?:"), F.array_join(forms, "|"), F.lit(rf")(?!{_WORD})"))
+        return F.when(F.size(forms) > 0, _located(text, pattern)).otherwise(F.array().cast(_SPAN))
+
+    def free(found: Column) -> Column:
+        return F.filter(found, lambda s: ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
+
+    forms = F.filter(_words(text), lambda w: F.array_contains(terms, F.lower(w)))
+    lower = lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lower(s["value"]).alias("value"))
+    return let(forms, lambda f: F.transform(free(located(f)), lower))
+
+
 def sanitised_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``k1, k2`` and the spans of each distinct text that has any: ``_email`` to ``_phone`` and ``_term``.
 
-    The patterns find the four kinds; a term near a mention that discloses its entity becomes a
-    span too, unless another span covers it.  A text without mentions has no spans at all.
+    The patterns find the four kinds; a term that discloses an entity becomes a span too, wherever it stands
+    in a text that mentions the entity, unless another span covers it.  A text without mentions has no spans at all.
     Null is an empty text, empty texts and tables have none.
     """
     found = base_spans(docs.select(*_text_key(F.col(text_col)), F.col(text_col).alias("t")), "t")
@@ -180,15 +201,14 @@ def sanitised_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     row = F.struct("t", *[f"_{k}" for k in KINDS])
     found = found.select("k1", "k2", row.alias("row"), some.alias("some")).filter("some")
     found = stage(found.groupBy("k1", "k2").agg(F.max("row").alias("row")).select("k1", "k2", "row.*"), "pii-texts")
-    near = stage(mentions(found, "t"), "pii-mentions")
-    pairs = disclosing(docs, near, text_col)
-    span = F.struct("start", "stop", F.col("term").alias("value"))
-    terms = near.join(pairs, ["entity", "term"]).groupBy("k1", "k2").agg(F.array_sort(F.collect_set(span)).alias("_term"))
-    result = found.join(terms, ["k1", "k2"], "left").select(
-        "k1", "k2", *[f"_{k}" for k in KINDS], F.coalesce("_term", F.array().cast(_SPAN)).alias("_term")
+    entities, terms = (stage(df, "pii-mentions") for df in mentions(found))
+    chosen = disclosing(docs, entities, terms, text_col)
+    base = F.concat(*[F.col(f"_{k}") for k in KINDS])
+    result = found.join(chosen, ["k1", "k2"], "left").select(
+        "k1", "k2", *[f"_{k}" for k in KINDS], F.coalesce(_term_spans(F.col("t"), base, F.col("terms")), F.array().cast(_SPAN)).alias("_term")
     )
     result = stage(result, "pii-spans")
-    discard(found, near, pairs)
+    discard(found, entities, terms, chosen)
     return result
 
 
@@ -201,17 +221,13 @@ def with_spans(docs: DataFrame, text_col: str = "text", keep: list[str] | None =
     return joined.select("row", *[F.coalesce(f"_{k}", none).alias(f"_{k}") for k in (*KINDS, TERM)])
 
 
-def masked(text: Column, all_spans: Column) -> Column:
-    """The text with each span replaced by its kind; of overlapping spans the first (and longest) counts.
-
-    ``all_spans`` are ``array<struct<start, stop, kind>>``.  Numbers among the terms are generalised to
-    ``[NUMBER]``, other terms removed as ``[TERM]``.
-    """
+def _replaced(text: Column, all_spans: Column, put: Callable[[Column], Column]) -> Column:
+    """The text with ``put(kind)`` for each span; of overlapping spans the first counts."""
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        put = F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.when(s["start"] >= acc["at"], F.struct(s["stop"].alias("at"), put.alias("out"))).otherwise(acc)
+        out = F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), put(s["kind"]))
+        return F.when(s["start"] >= acc["at"], F.struct(s["stop"].alias("at"), out.alias("out"))).otherwise(acc)
 
     def end(acc: Column) -> Column:
         return F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text)))
@@ -219,6 +235,15 @@ def masked(text: Column, all_spans: Column) -> Column:
     return F.when(F.size(all_spans) > 0, F.aggregate(F.array_sort(all_spans), zero, step, end)).otherwise(text)
 
 
+def masked(text: Column, all_spans: Column) -> Column:
+    """The text with each span replaced by its kind; of overlapping spans the first (and longest) counts.
+
+    ``all_spans`` are ``array<struct<start, stop, kind>>``.  Numbers among the terms are generalised to
+    ``[NUMBER]``, other terms removed as ``[TERM]``.
+    """
+    return _replaced(text, all_spans, lambda kind: F.concat(F.lit("["), F.upper(kind), F.lit("]")))
+
+
 def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with personal data and disclosing terms in the text column replaced by their kind.
 

@@ -401,6 +401,18 @@ def test_terms_that_disclose_are_found_and_masked(spark):
     assert texts[200] is None and all(texts[i] == t for i, t, _ in rows[4:])
 
 
+def test_terms_of_rare_entities_are_masked_in_the_whole_document(spark):
+    far = " ".join(prose(1, 60, 50))
+    rows = [(k, f"Quillfeather wrote. {far} mail quill@corp.com {far} so quillFEATHER left in {k}", "s") for k in range(2)]
+    rows += [(2, f"Brimble {far} or brim@corp.com", "s"), (3, f"{far} Tonk and wrote", "s")]
+    rows += [(10 + k, " ".join(prose(k, 40, 50)) + " wrote mail so left in or and 0 1", "s") for k in range(1500)]
+    texts = {r["doc_id"]: r["text"] for r in pii.sanitise(table(spark, rows)).collect()}
+    # Entities of two documents and of one; the names stand more than 80 characters off.
+    assert all(texts[k] == f"[TERM] wrote. {far} mail [EMAIL] {far} so [TERM] left in {k}" for k in range(2))
+    assert texts[2] == f"[TERM] {far} or [EMAIL]"
+    assert all(texts[i] == t for i, t, _ in rows[3:])
+
+
 # 9
 
 
