@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lingualoom.llm.words import let, words
@@ -58,28 +59,43 @@ TELLING = r"(?i)licen[sc]e|copyright|spdx|redistribut|public domain|creative com
 VARIANTS = 40
 NEGATIVE_DOCS = 400
 # Hashed n-grams; the share of held-out negatives that may pass, the least probability, the least share of template pairs.
-SLOTS = 1 << 14
+SLOTS = 1 << 16
 FALSE_SHARE = 0.001
 LEAST = 0.5
 CONFIRMED = 0.6
+# Words of a stretch of a long paragraph, which starts at every half of it; the longest template fits in a half.
+STRETCH = 64
 GAPS = r"[^\p{L}\p{N}]+"
 
 
+_BREAK = r"\r\n|\r|\n"
+
+
 def paragraphs(text: Column) -> Column:
-    """Lines that aren't blank, in order."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), lambda p: F.trim(p) != "")
+    """What stands between blank lines, in order."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), rf"(?:{_BREAK})(?:[\x20\t]*(?:{_BREAK}))+"), lambda p: p.rlike(r"\S"))
+
 
+def _stretches(p: Column, tokens: Column) -> Column:
+    """Runs of words of a paragraph that are judged each: its lines, and the whole of it in stretches that overlap by half."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - STRETCH // 2, F.lit(1)), F.lit(STRETCH // 2))
+    lines = F.transform(F.split(p, _BREAK), _tokens)
+    return F.array_distinct(F.concat(F.transform(starts, lambda i: F.slice(tokens, i, STRETCH)), F.filter(lines, lambda w: F.size(w) > 0)))
 
-def _slots(tokens: Column) -> Column:
-    """Slots of all words and pairs of neighbouring words."""
-    one = F.transform(tokens, lambda w: F.pmod(F.xxhash64(w), F.lit(SLOTS)).cast("int"))
-    return F.concat(one, _pairs(tokens))
+
+def _grams(tokens: Column) -> Column:
+    """Hashes of all words and pairs of neighbouring words."""
+    return F.concat(F.transform(tokens, lambda w: F.xxhash64(w)), _pairs(tokens))
 
 
 def _pairs(tokens: Column) -> Column:
     starts = F.sequence(F.lit(1), F.size(tokens) - 1)
-    pair = lambda i: F.pmod(F.xxhash64(F.slice(tokens, i, 2), F.lit(2)), F.lit(SLOTS)).cast("int")
-    return F.when(F.size(tokens) > 1, F.transform(starts, pair)).otherwise(F.array().cast("array<int>"))
+    pair = lambda i: F.xxhash64(F.slice(tokens, i, 2), F.lit(2))
+    return F.when(F.size(tokens) > 1, F.transform(starts, pair)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _slot(gram: Column) -> Column:
+    return F.pmod(gram, F.lit(SLOTS)).cast("int")
 
 
 def _tokens(text: Column) -> Column:
@@ -88,7 +104,7 @@ def _tokens(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Model:
-    features: tuple[int, ...]  # slots, in the order of the weights
+    features: tuple[int, ...]  # hashes, in the order of the weights
     weights: tuple[tuple[float, ...], ...]  # for each feature one weight per class: none, then FAMILIES
     constants: tuple[float, ...]
     least: float  # probability below which a family isn't trusted
@@ -102,9 +118,9 @@ def _templates(spark: SparkSession) -> DataFrame:
 def fit(docs: DataFrame, text_col: str = "text", variants: int = VARIANTS, negative_docs: int = NEGATIVE_DOCS) -> Model:
     """Multinomial logistic regression on sparse words and word pairs.
 
-    Positives are the templates and versions of them without some of their words, amid words of the
-    corpus; negatives are the paragraphs of at most ``negative_docs`` documents, those with the
-    smallest hash of their text, unless a telling word is in them.  A quarter is held out; the
+    Positives are the templates and versions of them without some of their words, every other one amid words
+    of a negative example; negatives are the paragraphs of at most ``negative_docs`` documents, those with the
+    smallest hash of their text, unless a telling word or most of a template is in them.  A quarter is held out; the
     probability that all but FALSE_SHARE of the held-out negatives stay below is the least one to trust.
     """
     spark = docs.sparkSession
@@ -113,12 +129,31 @@ def fit(docs: DataFrame, text_col: str = "text", variants: int = VARIANTS, negat
     negatives = negatives.select(F.lit(0).alias("y"), _tokens(F.col("p")).alias("w"))
     cut = F.filter(F.col("w"), lambda w, i: (F.col("v") == 0) | (F.pmod(F.xxhash64(F.col("v"), i, w), F.lit(8)) != 0))
     positives = _templates(spark).select("y", _tokens(F.col("p")).alias("w"), F.explode(F.sequence(F.lit(0), F.lit(variants))).alias("v"))
-    positives = positives.select("y", cut.alias("w"))
-    rows = positives.unionByName(negatives).select(
-        "y", F.transform(F.array_distinct(_slots(F.col("w"))), lambda s: s.cast("string")).alias("grams"), (F.pmod(F.xxhash64("w"), F.lit(4)) == 0).alias("held")
+    positives = positives.select("y", "v", cut.alias("own"))
+    # Notices without a telling word are no negatives either.
+    likest = F.greatest(*[_confirmation(F.col("w"), F.lit(i)) for i in range(len(FAMILIES))])
+    negatives = stage(negatives.filter(likest < CONFIRMED), "license-negatives")
+    # One paragraph for each odd version, the same for all templates.
+    amid = negatives.filter(F.size("w") >= 8).distinct().orderBy(F.xxhash64("w"), "w").limit(variants)
+    amid = amid.select(F.explode(F.array(F.slice("w", 1, STRETCH // 4))).alias("before"), F.slice(F.reverse("w"), 1, STRETCH // 4).alias("after"))
+    amid = amid.select("before", "after", (F.row_number().over(Window.orderBy(F.xxhash64("before"), "before", "after")) * 2 - 1).alias("v"))
+    none = F.array().cast("array<string>")
+    mixed = F.concat(F.coalesce("before", none), F.col("own"), F.coalesce(F.reverse("after"), none))
+    positives = positives.join(F.broadcast(amid), "v", "left").select("y", mixed.alias("w"), "own")
+
+    def named(tokens: Column) -> Column:
+        return F.transform(F.array_distinct(_grams(tokens)), lambda s: s.cast("string"))
+
+    rows = positives.unionByName(negatives.withColumn("own", F.col("w"))).select(
+        "y", named(F.col("w")).alias("grams"), named(F.col("own")).alias("own"), (F.pmod(F.xxhash64("w"), F.lit(4)) == 0).alias("held")
     )
     rows = stage(rows, "license-fit")
-    vocabulary = CountVectorizer(inputCol="grams", outputCol="features", binary=True).fit(rows.filter("y > 0"))
+    # Only n-grams of the templates weigh anything, and of those that share a slot none.
+    grams = rows.filter("y > 0").select(F.explode("own").alias("gram")).groupBy("gram").count().orderBy(F.desc("count"), "gram").collect()
+    slots = Counter(int(r["gram"]) % SLOTS for r in grams)
+    kept = [r["gram"] for r in grams if slots[int(r["gram"]) % SLOTS] == 1]
+    vocabulary = CountVectorizerModel.from_vocabulary(kept, inputCol="grams", outputCol="features")
+    vocabulary.setBinary(True)
     ready = vocabulary.transform(rows)
     # Each class weighs the same altogether.
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -134,7 +169,7 @@ def fit(docs: DataFrame, text_col: str = "text", variants: int = VARIANTS, negat
         tuple(int(s) for s in vocabulary.vocabulary), tuple(tuple(map(float, row)) for row in matrix),
         tuple(map(float, fitted.interceptVector.toArray())), max(LEAST, min(float(top or 0.0), 0.95)),
     )
-    discard(rows)
+    discard(rows, negatives)
     return model
 
 
@@ -144,17 +179,19 @@ def _constant(values: list, kind: str) -> Column:
 
 
 def classified(text: Column, model: Model) -> Column:
-    """``array<struct<paragraph, family, probability>>``: what each paragraph about a licence is under.
+    """``array<struct<paragraph, family, probability>>``: what each paragraph about a licence is under, once for each family.
 
-    ``family`` is one of FAMILIES if its probability reaches the trusted one and enough of
-    the paragraph's word pairs stand in one template of the family; else, if no licence at all is
-    less likely than some licence and a telling word is there, it is ``unknown``.
+    Lines and overlapping stretches of the paragraph are judged each.  ``family`` is one of FAMILIES if
+    its probability reaches the trusted one and enough word pairs of one template of the family stand in
+    the stretch; else, if in some stretch no licence at all is less likely than some licence and a
+    telling word is in the paragraph, it is ``unknown``.
     """
     classes = len(FAMILIES) + 1
     place = [0] * SLOTS
     for i, s in enumerate(model.features):
-        place[s] = i + 1
+        place[s % SLOTS] = i + 1
     places = _constant(place, "int")
+    hashes = _constant([0, *model.features], "bigint")
     weights = _constant([0.0] * classes + [w for row in model.weights for w in row], "double")
     constants = _constant(list(model.constants), "double")
     names = _constant(list(FAMILIES), "string")
@@ -171,26 +208,45 @@ def classified(text: Column, model: Model) -> Column:
             lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y)),
         )
 
-    def judged(p: Column, tokens: Column, probability: Column) -> Column:
+    def known(grams: Column) -> Column:
+        """Numbers of the grams that are features; others in the slot of a feature are none."""
+        return F.array_distinct(F.transform(F.filter(grams, lambda g: (places[_slot(g)] > 0) & (hashes[places[_slot(g)]] == g)), lambda g: places[_slot(g)]))
+
+    def judged(tokens: Column, probability: Column) -> Column:
         families = F.slice(probability, 2, classes - 1)
 
         def named(best: Column) -> Column:
             which = F.array_position(families, best).cast("int") - 1
             sure = (best >= model.least) & (_confirmation(tokens, which) >= CONFIRMED)
-            maybe = (probability[0] < 0.5) & p.rlike(TELLING)
-            family = F.when(sure, names[which]).when(maybe, F.lit(UNKNOWN))
-            return F.struct(p.alias("paragraph"), family.alias("family"), best.alias("probability"))
+            family = F.when(sure, names[which]).when(probability[0] < 0.5, F.lit(UNKNOWN))
+            return F.struct(family.alias("family"), best.alias("probability"))
 
         return let(F.array_max(families), named)
 
+    def scored(tokens: Column) -> Column:
+        return let(known(_grams(tokens)), lambda f: let(chances(odds(f)), lambda q: judged(tokens, q)))
+
+    def summed(p: Column, found: Column, telling: Column) -> Column:
+        """One entry per family with its largest probability; ``unknown`` only if there is no other."""
+        sure = F.array_distinct(F.transform(F.filter(found, lambda r: r["family"] != UNKNOWN), lambda r: r["family"]))
+        maybe = F.when(telling & F.exists(found, lambda r: r["family"] == UNKNOWN), F.array(F.lit(UNKNOWN))).otherwise(F.array().cast("array<string>"))
+
+        def entry(name: Column) -> Column:
+            most = F.array_max(F.transform(F.filter(found, lambda r: r["family"] == name), lambda r: r["probability"]))
+            return F.struct(p.alias("paragraph"), name.alias("family"), most.alias("probability"))
+
+        return F.transform(F.when(F.size(sure) > 0, sure).otherwise(maybe), entry)
+
     def one(p: Column) -> Column:
-        def scored(tokens: Column) -> Column:
-            found = F.array_distinct(F.filter(F.transform(_slots(tokens), lambda s: places[s]), lambda i: i > 0))
-            return let(found, lambda f: let(chances(odds(f)), lambda q: judged(p, tokens, q)))
+        def stretched(tokens: Column) -> Column:
+            # No template has fewer than three pairs, so what is confirmed has two at least; what is unknown has a telling word.
+            worth = p.rlike(TELLING) | (F.size(known(_pairs(tokens))) >= 2)
+            runs = F.when(worth, _stretches(p, tokens)).otherwise(F.array().cast("array<array<string>>"))
+            return let(F.transform(runs, scored), lambda found: summed(p, found, p.rlike(TELLING)))
 
-        return let(_tokens(p), scored)
+        return let(_tokens(p), stretched)
 
-    return F.filter(F.transform(paragraphs(text), one), lambda r: r["family"].isNotNull())
+    return F.flatten(F.transform(paragraphs(text), one))
 
 
 def _confirmation(tokens: Column, family: Column) -> Column:

@@ -158,6 +158,19 @@ def test_licenses_found_and_clean_text_left_alone(spark):
 # 4
 
 
+def test_licenses_in_wrapped_and_long_paragraphs(spark):
+    clean = [(100 + k, " ".join(prose(k, 60)) + "\n\n" + " ".join(prose(k + 50, 30)), "s") for k in range(40)]
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met"
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation"
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    long = [f"{' '.join(prose(k, 300))} {mit} {' '.join(prose(k + 9, 300))}" for k in range(5)]
+    rows = [(1, bsd, "s"), (2, gpl, "s"), (3, f"{bsd}\r\n \r\n{gpl}", "s"), *[(10 + k, t, "s") for k, t in enumerate(long)]]
+    got = {r["doc_id"]: (r["n_paragraphs"], [x["family"] for x in r["licenses"]]) for r in licenses.scan(table(spark, clean + rows)).collect()}
+    assert got[1] == (1, ["bsd"]) and got[2] == (1, ["gpl"]) and got[3] == (2, ["bsd", "gpl"])
+    assert all(got[10 + k] == (1, ["mit"]) for k in range(5))
+    assert all(got[i] == (2, []) for i, _, _ in clean)
+
+
 def test_quality_separates_and_shrinks(spark):
     good = [(k, " ".join(prose(k, 80)).capitalize() + ".", "a" if k % 3 else None) for k in range(60)]
     bad = [(100 + k, " ".join(w + "%%%" for w in prose(k, 80)), "b") for k in range(20)]
