@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingualoom.llm import decontaminate, fingerprints, licenses, mixing, pii, quality, simhash, substrings, toxicity, warc
+from lingualoom.llm import (
+    decontaminate, fingerprints, licenses, mixing, neighbours, pii, quality, simhash, substrings, toxicity, warc,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -193,6 +195,10 @@ FROM d LEFT JOIN cut ON cut.doc_id = d.doc_id
 """
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_warc": op2_warc,
@@ -204,5 +210,6 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_substrings": op10_substrings,
+    "op11_neighbours": op11_neighbours,
 }
 ORACLE = {"op2_warc": OP2_SQL, "op6_mixing": OP6_SQL, "op7_decontaminate": OP7_SQL, "op10_substrings": OP10_SQL}
