@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lingualoom.llm import (
-    decontaminate, fingerprints, licenses, mixing, neighbours, pii, quality, simhash, substrings, toxicity, warc,
+    alignment, decontaminate, fingerprints, licenses, mixing, neighbours, pii, quality, simhash, spelling, substrings, toxicity, warc,
 )
 
 
@@ -199,6 +199,14 @@ def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.neighbours(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned_texts(_table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_warc": op2_warc,
@@ -211,5 +219,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_substrings": op10_substrings,
     "op11_neighbours": op11_neighbours,
+    "op12_spelling": op12_spelling,
+    "op13_alignment": op13_alignment,
 }
 ORACLE = {"op2_warc": OP2_SQL, "op6_mixing": OP6_SQL, "op7_decontaminate": OP7_SQL, "op10_substrings": OP10_SQL}
