@@ -65,6 +65,8 @@ LEAST = 0.5
 CONFIRMED = 0.6
 # Words of a stretch of a long paragraph, which starts at every half of it; the longest template fits in a half.
 STRETCH = 64
+# Tasks that share the bounded fitting rows.
+PARTS = 16
 GAPS = r"[^\p{L}\p{N}]+"
 
 
@@ -102,12 +104,24 @@ def _tokens(text: Column) -> Column:
     return words(F.lower(text), GAPS)
 
 
+def template_pairs(spark: SparkSession) -> list[list[list[int]]]:
+    """The distinct word pairs of each template, by family: a few hundred numbers, made once."""
+    row = spark.range(1).select(*[F.array_sort(F.array_distinct(_pairs(_tokens(F.lit(t))))).alias(f"t{i}") for i, (_, t) in enumerate(TEMPLATES)]).first()
+    return [[list(row[i]) for i, (f, _) in enumerate(TEMPLATES) if f == family] for family in FAMILIES]
+
+
+def _share(own: Column, pairs: list[int]) -> Column:
+    """Which share of a template's pairs is among a paragraph's."""
+    return F.size(F.array_intersect(_constant(pairs, "bigint"), own)) / F.lit(float(len(pairs)))
+
+
 @dataclass(frozen=True)
 class Model:
     features: tuple[int, ...]  # hashes, in the order of the weights
     weights: tuple[tuple[float, ...], ...]  # for each feature one weight per class: none, then FAMILIES
     constants: tuple[float, ...]
     least: float  # probability below which a family isn't trusted
+    pairs: tuple[tuple[tuple[int, ...], ...], ...]  # of each family's templates
 
 
 def _templates(spark: SparkSession) -> DataFrame:
@@ -124,15 +138,22 @@ def fit(docs: DataFrame, text_col: str = "text", variants: int = VARIANTS, negat
     probability that all but FALSE_SHARE of the held-out negatives stay below is the least one to trust.
     """
     spark = docs.sparkSession
-    some = docs.select(F.col(text_col).alias("t")).filter(F.col("t").isNotNull()).orderBy(F.xxhash64("t"), "t").limit(negative_docs)
-    negatives = some.select(F.explode(paragraphs(F.col("t"))).alias("p")).filter(~F.col("p").rlike(TELLING))
-    negatives = negatives.select(F.lit(0).alias("y"), _tokens(F.col("p")).alias("w"))
+    known = template_pairs(spark)
+    texts = docs.select(F.col(text_col).alias("t")).filter(F.col("t").isNotNull()).withColumn("h", F.xxhash64("t"))
+    # Distinct texts; a number each, and at most `negative_docs` of them.
+    chosen = texts.select("h").distinct().orderBy("h").limit(negative_docs)
+    some = texts.join(F.broadcast(chosen), "h").dropDuplicates(["h"]).repartition(PARTS, "h")
+    plain = some.select(F.explode(paragraphs(F.col("t"))).alias("p")).filter(~F.col("p").rlike(TELLING))
+    # Written down, so that what reads the words reads a column and not the pattern that makes them.
+    told = stage(plain.select(_tokens(F.col("p")).alias("w")), "license-words")
+    negatives = told.repartition(PARTS, F.xxhash64("w")).select(F.lit(0).alias("y"), "w")
     cut = F.filter(F.col("w"), lambda w, i: (F.col("v") == 0) | (F.pmod(F.xxhash64(F.col("v"), i, w), F.lit(8)) != 0))
     positives = _templates(spark).select("y", _tokens(F.col("p")).alias("w"), F.explode(F.sequence(F.lit(0), F.lit(variants))).alias("v"))
     positives = positives.select("y", "v", cut.alias("own"))
     # Notices without a telling word are no negatives either.
-    likest = F.greatest(*[_confirmation(F.col("w"), F.lit(i)) for i in range(len(FAMILIES))])
-    negatives = stage(negatives.filter(likest < CONFIRMED), "license-negatives")
+    likest = let(_pairs(F.col("w")), lambda own: F.greatest(*[_share(own, pairs) for family in known for pairs in family]))
+    negatives = stage(negatives.withColumn("_likest", likest).filter(F.col("_likest") < CONFIRMED).drop("_likest"), "license-negatives")
+    discard(told)
     # One paragraph for each odd version, the same for all templates.
     amid = negatives.filter(F.size("w") >= 8).distinct().orderBy(F.xxhash64("w"), "w").limit(variants)
     amid = amid.select(F.explode(F.array(F.slice("w", 1, STRETCH // 4))).alias("before"), F.slice(F.reverse("w"), 1, STRETCH // 4).alias("after"))
@@ -168,6 +189,7 @@ def fit(docs: DataFrame, text_col: str = "text", variants: int = VARIANTS, negat
     model = Model(
         tuple(int(s) for s in vocabulary.vocabulary), tuple(tuple(map(float, row)) for row in matrix),
         tuple(map(float, fitted.interceptVector.toArray())), max(LEAST, min(float(top or 0.0), 0.95)),
+        tuple(tuple(map(tuple, family)) for family in known),
     )
     discard(rows, negatives)
     return model
@@ -203,21 +225,33 @@ def classified(text: Column, model: Model) -> Column:
         )
 
     def chances(logits: Column) -> Column:
-        return let(
-            F.transform(logits, lambda x: F.exp(x - F.array_max(logits))),
-            lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y)),
-        )
+        def shares(e: Column) -> Column:
+            return let(F.aggregate(e, F.lit(0.0), lambda s, y: s + y), lambda total: F.transform(e, lambda x: x / total))
+
+        return let(logits, lambda z: let(F.array_max(z), lambda top: let(F.transform(z, lambda x: F.exp(x - top)), shares)))
 
     def known(grams: Column) -> Column:
         """Numbers of the grams that are features; others in the slot of a feature are none."""
         return F.array_distinct(F.transform(F.filter(grams, lambda g: (places[_slot(g)] > 0) & (hashes[places[_slot(g)]] == g)), lambda g: places[_slot(g)]))
 
+    def confirmation(tokens: Column, family: Column) -> Column:
+        """The largest share of the word pairs of one template that the paragraph has, over the family's templates."""
+
+        def shares(own: Column) -> Column:
+            chosen = F.lit(None).cast("double")
+            for i, templates in enumerate(model.pairs):
+                of_family = [_share(own, list(t)) for t in templates]
+                chosen = F.when(family == i, F.greatest(*of_family) if len(of_family) > 1 else of_family[0]).otherwise(chosen)
+            return chosen
+
+        return let(_pairs(tokens), shares)
+
     def judged(tokens: Column, probability: Column) -> Column:
         families = F.slice(probability, 2, classes - 1)
 
         def named(best: Column) -> Column:
             which = F.array_position(families, best).cast("int") - 1
-            sure = (best >= model.least) & (_confirmation(tokens, which) >= CONFIRMED)
+            sure = (best >= model.least) & (confirmation(tokens, which) >= CONFIRMED)
             family = F.when(sure, names[which]).when(probability[0] < 0.5, F.lit(UNKNOWN))
             return F.struct(family.alias("family"), best.alias("probability"))
 
@@ -249,18 +283,6 @@ def classified(text: Column, model: Model) -> Column:
     return F.flatten(F.transform(paragraphs(text), one))
 
 
-def _confirmation(tokens: Column, family: Column) -> Column:
-    """The largest share of the word pairs of one template that the paragraph has, over the family's templates."""
-    texts = {f: [t for g, t in TEMPLATES if g == f] for f in FAMILIES}
-    most = max(map(len, texts.values()))
-    table = F.array(*[F.array(*[_pairs(_tokens(F.lit(t))) for t in (ts + [ts[0]] * (most - len(ts)))]) for ts in texts.values()])
-
-    def share(own: Column) -> Column:
-        return F.array_max(F.transform(table[family], lambda t: F.size(F.array_intersect(t, own)) / F.size(F.array_distinct(t))))
-
-    return let(_pairs(tokens), share)
-
-
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_paragraphs, licenses`` per row; ``licenses`` as ``classified`` gives it.
 
