@@ -91,8 +91,8 @@ def _grams(tokens: Column) -> Column:
 
 
 def _pairs(tokens: Column) -> Column:
-    starts = F.sequence(F.lit(1), F.size(tokens) - 1)
-    pair = lambda i: F.xxhash64(F.slice(tokens, i, 2), F.lit(2))
+    starts = F.sequence(F.lit(0), F.size(tokens) - 2)
+    pair = lambda i: F.xxhash64(F.get(tokens, i), F.get(tokens, i + 1))
     return F.when(F.size(tokens) > 1, F.transform(starts, pair)).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -232,7 +232,9 @@ def classified(text: Column, model: Model) -> Column:
 
     def known(grams: Column) -> Column:
         """Numbers of the grams that are features; others in the slot of a feature are none."""
-        return F.array_distinct(F.transform(F.filter(grams, lambda g: (places[_slot(g)] > 0) & (hashes[places[_slot(g)]] == g)), lambda g: places[_slot(g)]))
+        # Place 0 holds the hash 0, so most grams need one look; the place is read again for those that are features.
+        numbers = F.transform(grams, lambda g: F.when(F.get(hashes, F.get(places, _slot(g))) == g, F.get(places, _slot(g))))
+        return F.filter(F.array_distinct(numbers), lambda i: i > 0)
 
     def confirmation(tokens: Column, family: Column) -> Column:
         """The largest share of the word pairs of one template that the paragraph has, over the family's templates."""
