@@ -27,6 +27,9 @@ TERM = "term"
 # rare pairs, and the share of the entity's information that a term may reveal.
 PRIOR = 1.0
 DISCLOSED = 0.9
+# Standard errors that are taken off the number of common documents, unless term and mention begin alike.
+BOUND = 1.2816
+ALIKE = 4
 _SPAN = "array<struct<start:int,stop:int,value:string>>"
 _WORD = r"[\p{L}\p{N}]"
 
@@ -130,10 +133,19 @@ def _without(text: Column, base: Column) -> Column:
 
 
 def mentions(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``k1, k2, entity`` for each text and what it mentions, and ``k1, k2, term`` for each of its words outside mentions."""
+    """``k1, k2, entity`` for each text and what it mentions, and ``k1, k2, term, alike`` for each of its words outside mentions.
+
+    ``alike`` says whether some word of a mention begins with the same ALIKE letters.
+    """
     base = F.concat(*[F.col(f"_{k}") for k in KINDS])
     entities = found.select("k1", "k2", F.explode(F.array_distinct(F.transform(base, lambda s: F.lower(s["value"])))).alias("entity"))
-    return entities, found.select("k1", "k2", F.explode(_terms(_without(F.col("t"), base))).alias("term"))
+    inside = F.array_join(F.transform(base, lambda s: F.lower(s["value"])), " ")
+    begins = F.array_distinct(F.regexp_extract_all(inside, F.lit(rf"(?<!\p{{L}})\p{{L}}{{{ALIKE}}}"), F.lit(0)))
+
+    def marked(begins: Column) -> Column:
+        return F.transform(_terms(_without(F.col("t"), base)), lambda w: F.struct(w.alias("term"), F.array_contains(begins, F.left(w, F.lit(ALIKE))).alias("alike")))
+
+    return entities, found.select("k1", "k2", F.inline(let(begins, marked)))
 
 
 def disclosing(docs: DataFrame, entities: DataFrame, terms: DataFrame, text_col: str, disclosed: float = DISCLOSED) -> DataFrame:
@@ -142,8 +154,9 @@ def disclosing(docs: DataFrame, entities: DataFrame, terms: DataFrame, text_col:
     With N documents, an entity in n of them carries ``log(N / n)``; a term in m of them, c with the
     entity, reveals ``log(c N / (n m))``, the pointwise mutual information, after Sanchez and
     Batet.  c and m are counts of whole documents, and c / m is mixed with PRIOR documents at the
-    rate n / N, so that little evidence counts less: a pair that occurs once needs about a thousand
-    documents around it.  Equal texts count as often as they occur.  Entities of the same texts have
+    rate n / N, so that little evidence counts less.  Of c, BOUND standard errors are taken off first, so a word
+    does not disclose by being unique: only one that begins like the mention (a name and its address) may occur
+    with it once, and then needs about a thousand documents around it.  Equal texts count as often as they occur.  Entities of the same texts have
     the same terms and are judged as one, so a long list of addresses does not multiply its words.
     """
     # Copies are counted before they meet anything, so a text that very many documents share is few rows.
@@ -158,6 +171,7 @@ def disclosing(docs: DataFrame, entities: DataFrame, terms: DataFrame, text_col:
 
     def reveals(c: Column, m: Column) -> Column:
         rate = F.col("n") / size
+        c = F.when(F.col("alike"), c.cast("double")).otherwise(F.greatest(c - BOUND * F.sqrt(c), F.lit(0.0)))
         return F.log((c + PRIOR * rate) / (m + PRIOR) / rate) >= F.log(1 / rate) * disclosed
 
     seen = docs.select(F.explode(_terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("m"))
@@ -165,7 +179,7 @@ def disclosing(docs: DataFrame, entities: DataFrame, terms: DataFrame, text_col:
     # c is at most n and m, so what fails with that has no need to be counted.
     pairs = terms.join(seen, "term").join(groups, ["k1", "k2"]).filter(reveals(F.least("n", "m"), F.col("m")))
     pairs = stage(pairs, "entity-terms")
-    counted = pairs.groupBy("group", "term").agg(F.sum("copies").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
+    counted = pairs.groupBy("group", "term").agg(F.sum("copies").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"), F.max("alike").alias("alike"))
     counted = counted.filter(reveals(F.col("c"), F.col("m"))).select("group", "term")
     result = pairs.join(counted, ["group", "term"]).groupBy("k1", "k2").agg(F.collect_set("term").alias("terms"))
     result = stage(result, "disclosing")
@@ -222,21 +236,38 @@ def with_spans(docs: DataFrame, text_col: str = "text", keep: list[str] | None =
 
 
 def _replaced(text: Column, all_spans: Column, put: Callable[[Column], Column]) -> Column:
-    """The text with ``put(kind)`` for each span; of overlapping spans the first counts."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with ``put(kind)`` for each span; overlapping spans are one, from the first start to the last stop, with the kind of the longest."""
+    empty = F.lit(None).cast("int")
+    zero = F.struct(
+        F.lit(0).alias("at"), empty.alias("start"), empty.alias("stop"), F.lit(None).cast("string").alias("kind"), F.lit(0).alias("size"),
+        F.array().cast("array<string>").alias("parts"),
+    )
+
+    def done(acc: Column) -> Column:
+        """What stands before the span in hand, and what is put in its place."""
+        made = F.concat(acc["parts"], F.array(F.substr(text, acc["at"] + 1, acc["start"] - acc["at"]), put(acc["kind"])))
+        return F.when(acc["start"].isNull(), acc["parts"]).otherwise(made)
 
     def step(acc: Column, s: Column) -> Column:
-        out = F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), put(s["kind"]))
-        return F.when(s["start"] >= acc["at"], F.struct(s["stop"].alias("at"), out.alias("out"))).otherwise(acc)
+        size = s["stop"] - s["start"]
+        joined = F.struct(
+            acc["at"].alias("at"), acc["start"].alias("start"), F.greatest(acc["stop"], s["stop"]).alias("stop"),
+            F.when(size > acc["size"], s["kind"]).otherwise(acc["kind"]).alias("kind"), F.greatest(acc["size"], size).alias("size"), acc["parts"].alias("parts"),
+        )
+        fresh = F.struct(
+            F.coalesce(acc["stop"], F.lit(0)).alias("at"), s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"), size.alias("size"),
+            done(acc).alias("parts"),
+        )
+        return F.when(F.coalesce(s["start"] < acc["stop"], F.lit(False)), joined).otherwise(fresh)
 
     def end(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text)))
+        return F.array_join(F.concat(done(acc), F.array(F.substr(text, acc["stop"] + 1, F.length(text)))), "")
 
     return F.when(F.size(all_spans) > 0, F.aggregate(F.array_sort(all_spans), zero, step, end)).otherwise(text)
 
 
 def masked(text: Column, all_spans: Column) -> Column:
-    """The text with each span replaced by its kind; of overlapping spans the first (and longest) counts.
+    """The text with each span replaced by its kind; overlapping spans are replaced as one, by the kind of the longest.
 
     ``all_spans`` are ``array<struct<start, stop, kind>>``.  Numbers among the terms are generalised to
     ``[NUMBER]``, other terms removed as ``[TERM]``.
