@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lingualoom.operators.spread import dense_index
 from lingualoom.session import stage
 
 # ---- fixed values: the test that decides ---------------------------------------------------------
@@ -55,48 +60,83 @@ def shared_directions(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
+def draw_limits() -> tuple[int, ...]:
+    """Where 16 bits that are read as a number begin to mean 1, 2, ... draws: the Poisson distribution of mean 1."""
+    below, term, out = 0.0, math.exp(-1), []
+    for k in range(1, 9):
+        below += term
+        term /= k
+        out.append(math.floor(below * (1 << 16)))
+    return tuple(out)
+
+
+def draws(ids: list[str], resamples: int, seed: int) -> np.ndarray:
+    """ids x resamples: how often each resample draws each segment.
+
+    SHA-256 of ``seed|id|block`` holds the numbers of 16 resamples, so that SQL can repeat them.
+    """
+    blocks = -(-resamples // 16)
+    hashed = b"".join(hashlib.sha256(f"{seed}|{i}|{k}".encode()).digest() for i in ids for k in range(blocks))
+    numbers = np.frombuffer(hashed, ">u2").reshape(len(ids), blocks * 16)[:, :resamples]
+    return np.searchsorted(np.array(draw_limits()), numbers, "right")
+
+
+_DRAWN = "direction string, draws array<bigint>, sums array<double>, n bigint, total double"
+# Segments whose draws are in memory at once, and directions that a task adds up before it hands them on.
+_ROWS, _DIRECTIONS = 512, 256
+
+
+def _add_draws(batches: Iterator[pa.RecordBatch], resamples: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """Adds up, for each direction that a task meets, draws and drawn deltas of every resample."""
+    held: dict[str, list] = {}
+
+    def out() -> pa.RecordBatch:
+        columns = [list(held), *([x[i].tolist() for x in held.values()] for i in (0, 1)), *([x[i] for x in held.values()] for i in (2, 3))]
+        types = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.int64(), pa.float64()]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [c.split()[0] for c in _DRAWN.split(", ")])
+
+    for batch in batches:
+        directions = batch.column(0).to_pylist()
+        ids, deltas = batch.column(1).to_pylist(), np.asarray(batch.column(2))
+        for at in range(0, len(ids), _ROWS):
+            part = slice(at, at + _ROWS)
+            counts, delta = draws(ids[part], resamples, seed), deltas[part]
+            names = np.array(directions[part], object)
+            for name in dict.fromkeys(directions[part]):
+                own = names == name
+                sums = held.setdefault(name, [np.zeros(resamples, np.int64), np.zeros(resamples), 0, 0.0])
+                sums[0] += counts[own].sum(0)
+                sums[1] += delta[own] @ counts[own]
+                sums[2] += int(own.sum())
+                sums[3] += float(delta[own].sum())
+            if len(held) > _DIRECTIONS:
+                yield out()
+    if held:
+        yield out()
+
+
 def bootstrap_means(
     pairs: DataFrame, resamples: int = RESAMPLES, seed: int = SEED
 ) -> DataFrame:
-    """direction, resample, mean: each resample draws n deltas with replacement.
+    """direction, resample, mean: means of resampled deltas (Poisson bootstrap).
 
-    Draw (resample, slot) takes delta number ``md5(seed|resample|slot) mod n``, so a lost task
-    redraws the same numbers.  Every row doubles as a slot and makes its own draws; a draw meets
-    its delta in a join whose keys are uniform by construction, so Spark may broadcast the deltas
-    or shuffle both sides, as their sizes tell it.  Sums combine on the map side to one row per
-    direction and resample.
+    A resample draws each segment a number of times that follows from a hash of the segment's id and
+    the resample alone, so segments need no numbers, no joins and no knowledge of each other, and a lost
+    task repeats its draws.  Each task adds its rows up in one array per direction; what is shuffled is one
+    number pair for each task, direction and resample.  A resample that draws nothing, which happens with a
+    few segments only, has the mean of all.
     """
-    bucket = F.substring(F.md5(F.col("id").cast("string")), 1, 3)
     shared = pairs.filter(F.col("a").isNotNull() & F.col("b").isNotNull()).select(
-        "direction", "id", (F.col("b") - F.col("a")).alias("delta")
-    )
-    indexed = stage(
-        dense_index(shared, ["direction"], bucket, ["id"]).select("direction", "idx", "delta"),
-        "deltas",
-    )
-    # One row per direction, and directions are pairs of languages.
-    sizes = indexed.groupBy("direction").agg(F.count("*").alias("n"))
-    slots = indexed.select("direction", F.col("idx").alias("slot")).join(
-        F.broadcast(sizes), "direction"
+        "direction", F.col("id").cast("string").alias("id"), (F.col("b") - F.col("a")).cast("double").alias("delta")
     )
-    # A few bytes per slot, but a thousand draws each: dealt out evenly before they multiply.
-    draws = slots.repartition("direction", "slot").select(
-        "direction", "n", "slot", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample")
-    ).select(
-        "direction",
-        "resample",
-        (
-            F.conv(
-                F.substring(F.md5(F.concat_ws("|", F.lit(seed), "resample", "slot")), 1, 8), 16, 10
-            ).cast("long")
-            % F.col("n")
-        ).alias("idx"),
-    )
-    return (
-        draws.join(indexed, ["direction", "idx"])
-        .groupBy("direction", "resample")
-        .agg(F.avg("delta").alias("mean"))
+    added = shared.mapInArrow(lambda b: _add_draws(b, resamples, seed), _DRAWN)
+    each = added.select("direction", "n", "total", F.posexplode(F.arrays_zip("draws", "sums")).alias("resample", "x"))
+    sums = each.groupBy("direction", "resample").agg(
+        F.sum("x.draws").alias("draws"), F.sum("x.sums").alias("drawn"), F.sum("n").alias("n"), F.sum("total").alias("total")
     )
+    mean = F.when(F.col("draws") > 0, F.col("drawn") / F.col("draws")).otherwise(F.col("total") / F.col("n"))
+    return sums.select("direction", "resample", mean.alias("mean"))
 
 
 def bootstrap_ci(means: DataFrame, resamples: int = RESAMPLES) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lingualoom.functions import chars as C
+from lingualoom.functions import nodes as N
 from lingualoom.functions import protect as P
 from lingualoom.functions import text as X
 from lingualoom.operators.spread import running_start
@@ -22,9 +21,10 @@ KANA_SHARE = 0.10
 MIN_CONFIDENCE = 0.70
 # ---- end of fixed values -------------------------------------------------------------------------
 
-# Trigrams that a profile keeps for each language, unless the caller asks for another number.
-PROFILE_GRAMS = 300
-# Labelled texts that a profile is learned from at most: those with the smallest hashes.
+# A profile counts trigrams in hashed slots; a slot that a language has less often than this says nothing about it.
+SLOTS = 1 << 16
+LEAST_COUNT = 5
+# Labelled texts that a profile is learned from at most: those with the smallest MD5.
 PROFILE_ROWS = 20_000
 # Log weights are whole thousandths, so that sums do not depend on the order of addition.
 WEIGHT_SCALE = 1000
@@ -90,65 +90,46 @@ def detect_rule(histogram: DataFrame) -> DataFrame:
     return histogram.select("*", *rule_columns())
 
 
-def _grams(text: Column) -> Column:
-    """Overlapping trigrams of lower-cased text in one linear scan."""
-    return F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(...))"), F.lit(1))
+def _slots(text: Column) -> Column:
+    """The slot of each overlapping trigram of lower-cased text, in one linear scan."""
+    codes = F.transform(F.filter(F.split(F.lower(text), ""), lambda c: c != ""), lambda c: F.ascii(c))
+
+    def slid(c: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(c) - 3)
+        made = F.transform(starts, lambda i: (F.get(c, i) * 961 + F.get(c, i + 1) * 31 + F.get(c, i + 2)) % SLOTS)
+        return F.when(F.size(c) > 2, made).otherwise(F.array().cast("array<int>"))
+
+    return N.let(codes, slid)
 
 
 def latin_profile(
-    labelled: DataFrame, lang: str, text: str, languages: Sequence[str], grams: int = PROFILE_GRAMS,
-    rows: int = PROFILE_ROWS,
+    labelled: DataFrame, lang: str, text: str, languages: Sequence[str], least: int = LEAST_COUNT, rows: int = PROFILE_ROWS
 ) -> DataFrame:
-    """gram, weights: the most frequent trigrams of each language with log weights in all of them.
+    """slot, weights: the log share of each slot's trigrams in every language.
 
-    A profile is a model of a stated size: ``grams`` trigrams for each language, learned from
-    ``rows`` texts at most.
+    A profile is a model of a stated size, SLOTS rows at most, learned from ``rows`` texts at most; every
+    trigram of theirs is counted, and a slot counts for a language from ``least`` on.
     """
     wanted = labelled.filter(F.col(lang).isin(*languages))
-    mark = F.xxhash64(text)
+    mark = F.md5(text)
     last = wanted.select(mark.alias("_h")).orderBy("_h").limit(rows).agg(F.max("_h")).first()[0]
     counts = (
         wanted.filter(mark <= F.lit(last))
-        .select(F.col(lang).alias("lang"), F.explode(_grams(F.col(text))).alias("gram"))
-        .groupBy("lang", "gram")
+        .select(F.col(lang).alias("lang"), F.explode(_slots(F.col(text))).alias("slot"))
+        .groupBy("lang", "slot")
         .agg(F.count("*").alias("n"))
+        .filter(F.col("n") >= least)
     )
-    top = counts.withColumn(
-        "_rank",
-        F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), F.col("gram"))),
-    ).filter(F.col("_rank") <= grams)
-    totals = top.groupBy("lang").agg(F.sum("n").alias("total"))
-    weighted = top.join(totals, "lang").select(
-        "gram", "lang", "total",
-        F.round(F.log(F.col("n") / F.col("total")) * WEIGHT_SCALE).cast("int").alias("w"),
-    )
-    floors = totals.groupBy().agg(
-        *[
-            F.max(
-                F.when(
-                    F.col("lang") == code,
-                    F.round(F.log(F.lit(0.5) / F.col("total")) * WEIGHT_SCALE).cast("int"),
-                )
-            ).alias(f"f_{i}")
-            for i, code in enumerate(languages)
-        ]
-    )
-    per_gram = weighted.groupBy("gram").agg(
-        *[F.max(F.when(F.col("lang") == code, F.col("w"))).alias(f"w_{i}")
-          for i, code in enumerate(languages)]
+    per_slot = counts.groupBy("slot").agg(
+        *[F.max(F.when(F.col("lang") == code, F.col("n"))).alias(f"n_{i}") for i, code in enumerate(languages)]
     )
-    one = F.lit(1)
-    return (
-        per_gram.withColumn("_one", one)
-        .join(F.broadcast(floors.withColumn("_one", one)), "_one")
-        .select(
-            "gram",
-            *[
-                F.coalesce(F.col(f"w_{i}"), F.col(f"f_{i}")).alias(f"w_{i}")
-                for i in range(len(languages))
-            ],
-        )
+    totals = counts.groupBy().agg(
+        *[F.sum(F.when(F.col("lang") == code, F.col("n"))).alias(f"t_{i}") for i, code in enumerate(languages)]
     )
+    # One row of totals.
+    both = per_slot.crossJoin(F.broadcast(totals))
+    log_share = lambda i: F.log(F.coalesce(F.col(f"n_{i}").cast("double"), F.lit(0.5)) / F.col(f"t_{i}"))
+    return both.select("slot", *[F.round(log_share(i) * WEIGHT_SCALE).cast("int").alias(f"w_{i}") for i in range(len(languages))])
 
 
 def latin_confidence(
@@ -156,22 +137,24 @@ def latin_confidence(
 ) -> DataFrame:
     """keys, best, confidence: softmax over the summed log weights of a sample's trigrams.
 
-    Each sample is scored in its own row: the profile, whose size is stated where it is made, goes to
-    every task, and no trigram becomes a row.  A row without text keeps its keys and gets NULLs.
+    Each sample is scored in its own row by expressions: the profile, whose size is stated where it is made, is one
+    literal array, and no trigram becomes a row.  A row without a known trigram keeps its keys and gets NULLs.
     """
     n = len(languages)
-    weights = {r["gram"]: tuple(r[f"w_{i}"] for i in range(n)) for r in profile.collect()}
+    # At most SLOTS rows.
+    table = [["0"] * n for _ in range(SLOTS)]
+    for r in profile.collect():
+        table[r["slot"]] = [str(r[f"w_{i}"] or 0) for i in range(n)]
+    weights = [F.split(F.lit(",".join(row[i] for row in table)), ",").cast("array<int>") for i in range(n)]
 
-    @F.pandas_udf("array<bigint>")
-    def sums(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> list[int] | None:
-            met = Counter(t[i : i + 3] for i in range(len(t) - 2)) if t else {}
-            known = [(weights[g], times) for g, times in met.items() if g in weights]
-            return [sum(w[i] * times for w, times in known) for i in range(n)] if known else None
+    def sums(slots: Column) -> Column:
+        def added(w: Column) -> Column:
+            return F.aggregate(slots, F.lit(0).cast("bigint"), lambda acc, x: acc + F.get(w, x))
 
-        return texts.map(one)
+        return F.array(*map(added, weights))
 
-    scored = samples.select(*keys, sums(F.lower(F.col(text))).alias("_s"))
+    totals = N.let(_slots(F.col(text)), sums)
+    scored = samples.select(*keys, totals.alias("_s")).withColumn("_s", F.when(F.exists("_s", lambda x: x != 0), F.col("_s")))
     best = F.array_max("_s")
     total = F.aggregate("_s", F.lit(0.0), lambda acc, s: acc + F.exp((s - best) / F.lit(float(WEIGHT_SCALE))))
     name = F.get(F.array(*map(F.lit, languages)), F.array_position("_s", best).cast("int") - 1)

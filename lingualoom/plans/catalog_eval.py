@@ -83,25 +83,29 @@ def detect_rule(spark, sf):
     )
 
 
-_PROFILE_SQL = """
-    tg AS (SELECT lang, string_split(lower(text), '') AS c FROM documents),
-    g AS (SELECT lang, gram, count(*) AS n FROM (SELECT lang, unnest(list_transform(range(1, len(c) - 1),
-          lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram FROM tg) GROUP BY ALL),
-    top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS rn FROM g)
-            WHERE rn <= 300),
+def _slots_sql(chars: str) -> str:
+    """The slots of the trigrams of a list of characters."""
+    return f"""list_transform(range(1, len({chars}) - 1),
+          lambda i: (unicode({chars}[i]) * 961 + unicode({chars}[i + 1]) * 31 + unicode({chars}[i + 2])) % {detect.SLOTS})"""
+
+
+_PROFILE_SQL = f"""
+    tg AS (SELECT lang, string_split(lower(text), '') AS c FROM documents
+           WHERE md5(text) <= (SELECT max(h) FROM (SELECT md5(text) AS h FROM documents ORDER BY h LIMIT {detect.PROFILE_ROWS}))),
+    top AS (SELECT lang, slot, count(*) AS n FROM (SELECT lang, unnest({_slots_sql('c')}) AS slot FROM tg) GROUP BY ALL HAVING count(*) >= {detect.LEAST_COUNT}),
     tot AS (SELECT lang, sum(n)::BIGINT AS total FROM top GROUP BY lang),
-    grams AS (SELECT DISTINCT gram FROM top),
-    prof AS (SELECT gram, tot.lang, CAST(CASE WHEN top.n IS NULL THEN round(ln(0.5::DOUBLE / total) * 1000)
+    grams AS (SELECT DISTINCT slot FROM top),
+    prof AS (SELECT slot, tot.lang, CAST(CASE WHEN top.n IS NULL THEN round(ln(0.5::DOUBLE / total) * 1000)
              ELSE round(ln(top.n::DOUBLE / total) * 1000) END AS INTEGER) AS w
-             FROM grams CROSS JOIN tot LEFT JOIN top USING (gram, lang))"""
+             FROM grams CROSS JOIN tot LEFT JOIN top USING (slot, lang))"""
 
 
 def _score_sql(samples: str, keys: str) -> str:
     """CTEs ``scored``/``conf`` over a relation with keys and column ``sample``."""
     return f"""
-    sg AS (SELECT {keys}, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram
+    sg AS (SELECT {keys}, unnest({_slots_sql('c')}) AS slot
         FROM (SELECT {keys}, string_split(lower(sample), '') AS c FROM {samples})),
-    scored AS (SELECT {keys}, lang AS cand, sum(w)::BIGINT AS s FROM sg JOIN prof USING (gram) GROUP BY ALL),
+    scored AS (SELECT {keys}, lang AS cand, sum(w)::BIGINT AS s FROM sg JOIN prof USING (slot) GROUP BY ALL),
     ranked AS (SELECT *, max(s) OVER (PARTITION BY {keys}) AS b FROM scored),
     conf AS (SELECT {keys}, min(cand) FILTER (s = b) AS best,
         round(1 / sum(exp((s - b) / 1000.0::DOUBLE) ORDER BY cand), 6) AS confidence FROM ranked GROUP BY ALL)"""
@@ -488,8 +492,8 @@ def chrf_sentence(spark, sf):
     return evaluate.chrf_sentence(_pairs(spark, sf), "hyp", "ref").select("doc_id", "seg_no", "chrf")
 
 
-def _scores(spark, sf):
-    """Two runs: each scored only documents within its own length limits."""
+def _scored(spark, sf):
+    """direction, id, n_chars and the scores of two runs for every document."""
     docs = D.table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
     a = (F.col("n_chars") % 100) / F.lit(100.0)
     step = (
@@ -500,10 +504,15 @@ def _scores(spark, sf):
     direction = F.when(F.col("lang") == "en", F.lit("zh-en")).otherwise(
         F.concat("lang", F.lit("-en"))
     )
-    rows = docs.select(
+    return docs.select(
         direction.alias("direction"), F.col("doc_id").alias("id"), "n_chars", a.alias("a"),
         (a + step / F.lit(100.0)).alias("b"),
     )
+
+
+def _scores(spark, sf):
+    """Two runs: each scored only documents within its own length limits, so that either lacks some ids."""
+    rows = _scored(spark, sf)
     run_a = rows.filter("n_chars > 120").select("direction", "id", F.col("a").alias("score"))
     run_b = rows.filter("n_chars < 20000").select("direction", "id", F.col("b").alias("score"))
     return run_a, run_b
@@ -519,12 +528,12 @@ _DELTA_SQL = """pd AS (SELECT direction, count(*) FILTER (a IS NOT NULL AND b IS
       count(*) FILTER (b IS NULL) AS only_in_a, count(*) FILTER (a IS NULL) AS only_in_b,
       round(avg(a) FILTER (b IS NOT NULL), 9) AS comet_a, round(avg(b) FILTER (a IS NOT NULL), 9) AS comet_b,
       round(avg(b - a), 9) AS delta_comet FROM pr GROUP BY direction)"""
-_BOOT_SQL = """ix AS (SELECT direction, b - a AS delta, count(*) OVER (PARTITION BY direction) AS n,
-      row_number() OVER (PARTITION BY direction ORDER BY substr(md5(CAST(id AS VARCHAR)), 1, 3), id) - 1 AS idx
-      FROM pr WHERE a IS NOT NULL AND b IS NOT NULL),
-    dr AS (SELECT direction, r, ('0x' || substr(md5('0|' || r || '|' || idx), 1, 8))::BIGINT % n AS idx
-      FROM ix, (SELECT unnest(range(1000)) AS r)),
-    ms AS (SELECT direction, r, avg(delta) AS mean FROM dr JOIN ix USING (direction, idx) GROUP BY ALL),
+_BOOT_SQL = f"""sh AS (SELECT direction, id, b - a AS delta FROM pr WHERE a IS NOT NULL AND b IS NOT NULL),
+    hx AS (SELECT direction, delta, k, sha256('0|' || id || '|' || k) AS h FROM sh, (SELECT unnest(range(63)) AS k)),
+    nm AS (SELECT direction, delta, 16 * k + i AS r, ('0x' || substr(h, (4 * i + 1)::INT, 4))::BIGINT AS u
+      FROM hx, (SELECT unnest(range(16)) AS i) WHERE 16 * k + i < 1000),
+    dr AS (SELECT direction, delta, r, {" + ".join(f"(u >= {limit})::INT" for limit in cmp.draw_limits())} AS c FROM nm),
+    ms AS (SELECT direction, r, CASE WHEN sum(c) > 0 THEN sum(c * delta) / sum(c) ELSE avg(delta) END AS mean FROM dr GROUP BY ALL),
     ci AS (SELECT direction, round(list_sort(list(mean))[26], 9) AS ci_low, round(list_sort(list(mean))[976], 9) AS ci_high
       FROM ms GROUP BY direction),
     vd AS (SELECT *, CASE WHEN ci_low > 0 THEN 'better' WHEN ci_high < 0 THEN 'worse'
@@ -533,10 +542,10 @@ _BOOT_SQL = """ix AS (SELECT direction, b - a AS delta, count(*) OVER (PARTITION
 
 @query(
     "direction_scores",
-    f"""WITH {_SCORES_SQL} SELECT direction, count(a) AS n, round(COALESCE(avg(a), 0), 6) AS comet FROM ra GROUP BY direction""",
+    f"""WITH {_SCORES_SQL} SELECT direction, count(a) AS n, round(COALESCE(avg(a), 0), 6) AS comet FROM sc GROUP BY direction""",
 )
 def direction_scores(spark, sf):
-    return evaluate.direction_scores(_scores(spark, sf)[0], ["direction"], "score")
+    return evaluate.direction_scores(_scored(spark, sf).withColumnRenamed("a", "score"), ["direction"], "score")
 
 
 @query(
@@ -571,8 +580,8 @@ def direction_timing(spark, sf):
     "run_summary",
     """WITH s AS (SELECT lang AS direction, count(*) AS n, avg((n_chars % 100) / 100.0::DOUBLE) AS comet,
         avg(n_chars % 97) AS chrf FROM documents GROUP BY lang),
-    t AS (SELECT CASE event_type WHEN 'click' THEN 'en' WHEN 'view' THEN 'fr' ELSE 'xx' END AS direction,
-      avg(user_id) AS sp, max(user_id) * 1.5::DOUBLE AS mem FROM events WHERE event_type IN ('click', 'view') GROUP BY 1)
+    t AS (SELECT CASE event_type WHEN 'click' THEN 'en' WHEN 'view' THEN 'fr' ELSE 'es' END AS direction,
+      avg(user_id) AS sp, max(user_id) * 1.5::DOUBLE AS mem FROM events GROUP BY 1)
     SELECT direction, n, printf('%.4f', comet) AS comet, printf('%.2f', chrf) AS chrf,
       COALESCE(printf('%.2f', sp), '-') AS speed, COALESCE(printf('%.0f', mem + 0.2::DOUBLE), '-') AS memory FROM s LEFT JOIN t USING (direction)""",
 )
@@ -583,9 +592,9 @@ def run_summary(spark, sf):
     )
     direction = F.when(F.col("event_type") == "click", F.lit("en")).when(
         F.col("event_type") == "view", F.lit("fr")
-    )
+    ).otherwise(F.lit("es"))
     timings = (
-        D.table(spark, sf, "events").withColumn("direction", direction).filter("direction is not null")
+        D.table(spark, sf, "events").withColumn("direction", direction)
         .groupBy("direction")
         .agg(F.avg("user_id").alias("segments_per_second"), (F.max("user_id") * 1.5 + 0.2).alias("peak_rss_mb"))
     )
@@ -652,8 +661,8 @@ def regression_gate(spark, sf):
 @query(
     "compare_runs",
     f"""WITH {_SCORES_SQL}, {_DELTA_SQL}, {_BOOT_SQL},
-    ca AS (SELECT direction, avg(n_chars % 50) AS c FROM sc WHERE n_chars > 120 GROUP BY 1),
-    cb AS (SELECT direction, avg(n_chars % 60) AS c FROM sc WHERE n_chars < 20000 GROUP BY 1)
+    ca AS (SELECT direction, avg(n_chars % 50) AS c FROM sc GROUP BY 1),
+    cb AS (SELECT direction, avg(n_chars % 60) AS c FROM sc GROUP BY 1)
     SELECT pd.*, CASE WHEN n = 0 THEN CASE WHEN only_in_a = 0 OR only_in_b = 0 THEN 'missing_direction' ELSE 'no_shared_ids' END END AS error_code, ci_low, ci_high, verdict, round(cb.c - ca.c, 4) AS delta_chrf
     FROM pd LEFT JOIN vd USING (direction) LEFT JOIN ca USING (direction) LEFT JOIN cb USING (direction)""",
 )
@@ -661,6 +670,6 @@ def compare_runs(spark, sf):
     docs = D.table(spark, sf, "documents").withColumn(
         "direction", F.when(F.col("lang") == "en", F.lit("zh-en")).otherwise(F.concat("lang", F.lit("-en")))
     )
-    chrf_a = docs.filter("n_chars > 120").groupBy("direction").agg(F.avg(F.col("n_chars") % 50).alias("chrf"))
-    chrf_b = docs.filter("n_chars < 20000").groupBy("direction").agg(F.avg(F.col("n_chars") % 60).alias("chrf"))
+    chrf_a = docs.groupBy("direction").agg(F.avg(F.col("n_chars") % 50).alias("chrf"))
+    chrf_b = docs.groupBy("direction").agg(F.avg(F.col("n_chars") % 60).alias("chrf"))
     return cmp.compare_runs(*_scores(spark, sf), chrf_a, chrf_b)
