@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lingualoom.functions import text as X
-from lingualoom.operators.spread import dense_index
+from lingualoom.operators.ranks import at_ranks
 
 MAX_LOCATED = 100
 
@@ -82,14 +82,14 @@ def report_json(reports: DataFrame, columns: list[str]) -> DataFrame:
     return reports.select("doc_id", F.to_json(F.struct(*columns)).alias("report"))
 
 
+def _middle(n: Column) -> tuple[Column, Column]:
+    return F.floor((n - 1) / 2), F.floor(n / 2)
+
+
 def _median(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """The exact median of each group by rank; rows are ranked within unit steps of the value only."""
-    ranked = dense_index(rows.filter(F.col(value).isNotNull()), by, F.floor(F.col(value)), [value])
-    sizes = rows.groupBy(*by).agg(F.count(value).alias("_n"))
-    middle = ranked.join(sizes, by).filter(
-        (F.col("idx") == F.floor((F.col("_n") - 1) / 2)) | (F.col("idx") == F.floor(F.col("_n") / 2))
-    )
-    return middle.groupBy(*by).agg(F.avg(value).alias(f"median_{value}"))
+    """The exact median of each group by rank."""
+    found = at_ranks(rows, by, value, _middle)
+    return found.select(*by, ((F.col("low") + F.col("high")) / 2).alias(f"median_{value}"))
 
 
 def repeat_summary(runs: DataFrame, by: list[str]) -> DataFrame:
@@ -133,43 +133,27 @@ def estimate_errors(cases: DataFrame) -> DataFrame:
     ).withColumn("rel_error", F.round(relative, 4))
 
 
-def _listed_p95(errors: DataFrame) -> DataFrame:
-    """Element ``int(n*0.95)-1`` (from the end when negative) of the sorted absolute errors.
-
-    Errors are rounded to 4 places, so the sorted list is a histogram: distinct values with
-    counts, accumulated.  Python's index -1 for n = 1 is the only element, which max() covers.
-    """
-    histogram = errors.groupBy(F.abs("rel_error").alias("e")).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(
-        Window.orderBy("e").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    total = F.sum("c").over(Window.partitionBy())
-    index = F.floor(total * F.lit(0.95)) - 1
-    return (
-        histogram.withColumn("_upto", upto)
-        .withColumn("_index", index)
-        .filter((F.col("_upto") > F.col("_index")) | (F.col("_index") < 0))
-        .agg(F.min("e").alias("p95"))
-    )
+def _listed(n: Column) -> tuple[Column, Column]:
+    """Element ``int(n*0.95)-1`` of a sorted list, counted from the end when negative."""
+    at = F.floor(n * F.lit(0.95)) - 1
+    at = F.when(at < 0, at + n).otherwise(at)
+    return at, at
 
 
 def estimate_error_summary(cases: DataFrame) -> DataFrame:
     """One row: exact and off-by-one line counts; median, p95 and maximum relative error."""
-    errors = estimate_errors(cases)
-    size = F.abs("rel_error")
+    errors = estimate_errors(cases).withColumn("_size", F.abs("rel_error"))
     main = errors.agg(
         F.count("*").alias("cases"),
         F.count_if(F.col("line_diff") == 0).alias("lines_exact"),
         F.count_if(F.col("line_diff") == 1).alias("lines_off_by_one"),
-        F.round(F.median(size), 4).alias("median_error"),
-        F.max(size).alias("max_error"),
-    )
-    one = F.lit(1)
-    return (
-        main.withColumn("_one", one)
-        .join(_listed_p95(errors).withColumn("_one", one), "_one")
-        .drop("_one")
+        F.max("_size").alias("max_error"),
     )
+    middle = at_ranks(errors.select("_size"), [], "_size", _middle)
+    median = middle.select(F.lit(1).alias("_one"), F.round((F.col("low") + F.col("high")) / 2, 4).alias("median_error"))
+    tail = at_ranks(errors.select("_size"), [], "_size", _listed).select(F.lit(1).alias("_one"), F.col("low").alias("p95"))
+    joined = main.withColumn("_one", F.lit(1)).join(median, "_one", "left").join(tail, "_one", "left")
+    return joined.select("cases", "lines_exact", "lines_off_by_one", "median_error", "max_error", "p95")
 
 
 def estimate_error_by_font(cases: DataFrame, by: list[str]) -> DataFrame:

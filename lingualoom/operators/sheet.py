@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lingualoom.functions.search import last_at_most
 from lingualoom.operators.spread import salted_join
 
 # ---- fixed values: spreadsheet limits and units --------------------------------------------------
@@ -12,6 +18,7 @@ CELL_LIMIT = 32_767
 PX_TO_PT = 0.75
 CELL_PADDING_PT = 1.5
 DEFAULT_COLUMN_CHARS = 8.43
+MOST_COLUMNS = 16_384
 # ---- end of fixed values -------------------------------------------------------------------------
 
 
@@ -62,64 +69,77 @@ def formula_literal_match(formulas: DataFrame, translated: DataFrame) -> DataFra
     return hits.select("doc_id", "location").distinct()
 
 
-def _level(length: Column) -> Column:
-    """Smallest power of two that covers ``length`` cells."""
-    return F.when(length <= 1, 0).otherwise(F.length(F.bin(length - 1)))
+# A tile of the sheet: cells that are looked up together.
+TILE_ROWS, TILE_COLS = 4096, 64
+
+_RANGE = ("ord", "c1", "r1", "c2", "r2")
 
 
 def merge_range_lookup(cells: DataFrame, merges: DataFrame) -> DataFrame:
     """cells(sheet, col, row, ...) with c1, r1, c2, r2 of the first merged range that holds them.
 
-    A range is filed under the tiles of its own size class, at most four; a cell looks into one
-    tile per size class that its sheet uses.  That makes the inequality an equality join with a
-    short check behind it, whatever the shape of the ranges.  Cells outside any range are their own.
+    Sheets are cut into tiles.  A range goes to the tiles it touches, a cell to its own, once; within a tile the
+    ranges come first, the one with the smallest ``ord`` last, and each is painted over those before it, so
+    that every cell finds its range at its own place.  A task holds one tile's places at a time, whatever
+    the number of cells.  Cells outside any range are their own, and repeated cells come back as often as they were there.
     """
-    sized = merges.select(
-        "sheet", "ord", "c1", "r1", "c2", "r2",
-        _level(F.col("c2") - F.col("c1") + 1).alias("lc"),
-        _level(F.col("r2") - F.col("r1") + 1).alias("lr"),
-    )
-    tiles = sized.select(
-        "*",
-        F.explode(F.expr("sequence(shiftright(c1, lc), shiftright(c2, lc))")).alias("tc"),
-    ).select("*", F.explode(F.expr("sequence(shiftright(r1, lr), shiftright(r2, lr))")).alias("tr"))
-    # At most 15 x 21 size classes exist, since a sheet has 2^14 columns and 2^20 rows.
-    classes = sized.groupBy("sheet").agg(F.collect_set(F.struct("lc", "lr")).alias("classes"))
     names = cells.columns
-    # Cells that repeat are looked up once and come back as often as they were there.
-    cells = cells.groupBy(*names).agg(F.count("*").alias("_times"))
-    carried = [*names, "_times"]
-    looking = (
-        salted_join(cells, classes, ["sheet"], "left", ["col", "row"])
-        .select(*carried, F.explode_outer("classes").alias("_c"))
-        .select(
-            *carried,
-            F.col("_c.lc").alias("lc"),
-            F.col("_c.lr").alias("lr"),
-            F.expr("shiftright(col, _c.lc)").alias("tc"),
-            F.expr("shiftright(row, _c.lr)").alias("tr"),
-        )
-    )
-    met = salted_join(
-        looking, tiles, ["sheet", "lc", "lr", "tc", "tr"], "left", ["col", "row"]
-    )
-    inside = (
-        (F.col("c1") <= F.col("col")) & (F.col("col") <= F.col("c2"))
-        & (F.col("r1") <= F.col("row")) & (F.col("row") <= F.col("r2"))
+    empty = F.lit(None).cast("int")
+    looked = cells.select(
+        F.struct(*names).alias("cell"), "sheet", F.floor(F.col("row") / TILE_ROWS).cast("int").alias("tr"), F.floor(F.col("col") / TILE_COLS).cast("int").alias("tc"),
+        F.lit(1).alias("kind"), empty.alias("ord"), F.col("col").cast("int").alias("c1"), F.col("row").cast("int").alias("r1"), empty.alias("c2"), empty.alias("r2"),
     )
-    first = F.min(F.when(inside, F.struct("ord", "c1", "r1", "c2", "r2"))).alias("_m")
-    found = met.groupBy(*carried).agg(first)
-    found = found.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+    tiles = lambda a, b, size: F.explode(F.sequence(F.floor(F.col(a) / size).cast("int"), F.floor(F.col(b) / size).cast("int")))
+    touched = merges.select("sheet", *[F.col(c).cast("int").alias(c) for c in _RANGE])
+    touched = touched.withColumn("tc", tiles("c1", "c2", TILE_COLS)).withColumn("tr", tiles("r1", "r2", TILE_ROWS))
+    none = F.lit(None).cast(looked.schema["cell"].dataType)
+    painted = touched.select(none.alias("cell"), "sheet", "tr", "tc", F.lit(0).alias("kind"), *_RANGE)
+    tile = F.xxhash64("sheet", "tr", "tc")
+    met = looked.unionByName(painted).withColumn("tile", tile).repartition("tile").sortWithinPartitions("tile", "kind", F.desc("ord"))
+    fields = T.StructType([looked.schema["cell"], *[T.StructField(c, T.IntegerType()) for c in _RANGE]])
+    found = met.select("cell", "tile", "kind", "tr", "tc", *_RANGE).mapInArrow(_look_up, fields)
     return found.select(
-        *names,
-        F.col("_m").isNotNull().alias("merged"),
-        F.coalesce("_m.c1", "col").alias("c1"),
-        F.coalesce("_m.r1", "row").alias("r1"),
-        F.coalesce("_m.c2", "col").alias("c2"),
-        F.coalesce("_m.r2", "row").alias("r2"),
+        "cell.*",
+        F.col("ord").isNotNull().alias("merged"),
+        F.coalesce("c1", "cell.col").alias("c1"),
+        F.coalesce("r1", "cell.row").alias("r1"),
+        F.coalesce("c2", "cell.col").alias("c2"),
+        F.coalesce("r2", "cell.row").alias("r2"),
     )
 
 
+def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The painted range of each cell; rows come tile by tile, ranges before cells."""
+    places = np.full((TILE_ROWS, TILE_COLS), -1, np.int32)
+    at, ranges = None, []
+    for batch in batches:
+        tile, kind, tr, tc, *numbers = (np.asarray(batch.column(i).fill_null(0)) for i in range(1, 10))
+        ends = np.flatnonzero(np.r_[(np.diff(tile) != 0) | (np.diff(kind) != 0), True]) + 1
+        hits = np.full(batch.num_rows, -1, np.int64)
+        known: list[tuple] = []
+        for lo, hi in zip(np.r_[0, ends[:-1]], ends, strict=True):
+            if tile[lo] != at:
+                at = tile[lo]
+                if ranges:
+                    places.fill(-1)
+                ranges = []
+            if kind[lo] == 0:
+                row, col = int(tr[lo]) * TILE_ROWS, int(tc[lo]) * TILE_COLS
+                for x in zip(*(n[lo:hi].tolist() for n in numbers), strict=True):
+                    _, c1, r1, c2, r2 = x
+                    places[max(r1 - row, 0) : r2 - row + 1, max(c1 - col, 0) : c2 - col + 1] = len(ranges)
+                    ranges.append(x)
+            elif ranges:
+                own = places[numbers[2][lo:hi] % TILE_ROWS, numbers[1][lo:hi] % TILE_COLS]
+                hits[lo:hi] = np.where(own >= 0, own + len(known), -1)
+                known += ranges
+        cells = np.flatnonzero(kind == 1)
+        hit = hits[cells]
+        table = np.array(known or [(0,) * 5], np.int64)
+        columns = [pa.array(table[np.maximum(hit, 0), i].astype(np.int32), mask=hit < 0) for i in range(5)]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cells)), *columns], ["cell", *_RANGE])
+
+
 def chars_to_pt(chars: Column, digit_px: int) -> Column:
     pixels = ((256 * chars + int(128 / digit_px)) / 256 * digit_px).cast("int")
     return pixels * F.lit(PX_TO_PT)
@@ -130,22 +150,22 @@ def range_width_sum(
 ) -> DataFrame:
     """Adds ``width_pt``: column widths over c1..c2, the default where a column has none.
 
-    widths: sheet, col, chars.  A sheet has at most 2^14 columns, so its own widths fit in a row;
-    ranges are not expanded into columns, only corrected for the columns that differ.
+    widths: sheet, col, chars.  A sheet has at most MOST_COLUMNS columns, so its own widths fit in a row, with what
+    they add up to so far; a range takes the difference of two sums, each found by binary search.
     """
-    differing = F.struct("col", (chars_to_pt(F.col("chars"), digit_px) - chars_to_pt(F.lit(default), digit_px)).alias("extra"))
-    per_sheet = widths.groupBy("sheet").agg(F.collect_list(differing).alias("_extra"))
+    extra = chars_to_pt(F.col("chars"), digit_px) - chars_to_pt(F.lit(default), digit_px)
+    upto = Window.partitionBy("sheet").orderBy("col").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = widths.select("sheet", "col", F.sum(extra).over(upto).alias("sum"))
+    per_sheet = sums.groupBy("sheet").agg(F.array_sort(F.collect_list(F.struct("col", "sum"))).alias("_sums"))
     joined = salted_join(ranges, per_sheet, ["sheet"], "left", ["c1", "r1"])
-    correction = F.aggregate(
-        F.filter(
-            F.coalesce("_extra", F.array().cast("array<struct<col:int,extra:double>>")),
-            lambda e: (e["col"] >= F.col("c1")) & (e["col"] <= F.col("c2")),
-        ),
-        F.lit(0.0),
-        lambda acc, e: acc + e["extra"],
-    )
+
+    def below(col: Column) -> Column:
+        place = last_at_most(F.col("_sums"), col, MOST_COLUMNS, lambda s: s["col"])
+        return F.coalesce(F.when(place >= 0, F.get("_sums", place)["sum"]), F.lit(0.0))
+
     base = (F.col("c2") - F.col("c1") + 1) * chars_to_pt(F.lit(default), digit_px)
-    return joined.withColumn("width_pt", base + correction - 2 * CELL_PADDING_PT).drop("_extra")
+    width = base + below(F.col("c2")) - below(F.col("c1") - 1) - 2 * CELL_PADDING_PT
+    return joined.withColumn("width_pt", width).drop("_sums")
 
 
 def neighbour_occupied(cells: DataFrame) -> DataFrame:

@@ -63,8 +63,8 @@ def sheet_string_fanout(spark, sf):
 @query(
     "formula_literal_match",
     """WITH f AS (SELECT o_custkey % 20 AS doc_id, 'o' || o_orderkey AS location, o_orderpriority AS p, o_orderstatus AS s FROM orders),
-    t AS (SELECT DISTINCT c_nationkey % 20 AS doc_id, CASE WHEN c_custkey % 2 = 0 THEN 'say "F"' ELSE '1-URGENT' END AS text
-      FROM customer WHERE c_nationkey % 3 = 0)
+    t AS (SELECT DISTINCT c_nationkey % 20 AS doc_id, CASE c_custkey % 4 WHEN 0 THEN 'say "F"' WHEN 1 THEN '1-URGENT' ELSE c_name END AS text
+      FROM customer)
     SELECT DISTINCT f.doc_id, location FROM f JOIN t ON t.doc_id = f.doc_id AND (t.text = p OR t.text = 'say "' || s || '"')""",
 )
 def formula_literal_match(spark, sf):
@@ -76,9 +76,10 @@ def formula_literal_match(spark, sf):
             F.lit('IF(A1="'), "o_orderpriority", F.lit('","say ""'), "o_orderstatus", F.lit('"""," ")')
         ).alias("formula"),
     )
-    translated = D.table(spark, sf, "customer").filter("c_nationkey % 3 = 0").select(
+    translated = D.table(spark, sf, "customer").select(
         (F.col("c_nationkey") % 20).cast("long").alias("doc_id"),
-        F.when(F.col("c_custkey") % 2 == 0, F.lit('say "F"')).otherwise(F.lit("1-URGENT")).alias("text"),
+        F.when(F.col("c_custkey") % 4 == 0, F.lit('say "F"')).when(F.col("c_custkey") % 4 == 1, F.lit("1-URGENT"))
+        .otherwise(F.col("c_name")).alias("text"),
     )
     return sheet.formula_literal_match(formulas, translated)
 

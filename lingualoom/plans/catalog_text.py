@@ -371,8 +371,15 @@ def marker_translate(spark, sf):
 
 _MEMORY = """mem AS (
   SELECT DISTINCT trim(text) AS unit_text FROM (
-    SELECT unnest(string_split(text, chr(10))) AS text FROM documents WHERE n_chars < 2000)
-  WHERE trim(text) <> '')"""
+    SELECT unnest(string_split(text, chr(10))) AS text FROM documents)
+  WHERE trim(text) <> '' AND length(trim(text)) % 3 <> 0)"""
+
+
+def _remembered(spark, sf):
+    """Lines of all documents, but for those whose length divides by 3: something has to be missing."""
+    lines = D.table(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
+    texts = lines.select(F.trim("line").alias("unit_text"))
+    return texts.filter((F.col("unit_text") != "") & (F.length("unit_text") % 3 != 0)).distinct()
 
 
 @query(
@@ -384,10 +391,8 @@ _MEMORY = """mem AS (
     FROM u LEFT JOIN mem USING (unit_text) GROUP BY 1""",
 )
 def cache_lookup(spark, sf):
-    short = D.table(spark, sf, "documents").filter("n_chars < 2000")
-    lines = short.select(F.explode(F.split("text", "\n")).alias("line"))
     memory = (
-        lines.select(F.trim("line").alias("unit_text")).filter("unit_text <> ''").distinct()
+        _remembered(spark, sf)
         .select(units.unit_key(F.col("unit_text")).alias("unit_key"), F.col("unit_text").alias("output"))
     )
     found = units.cache_lookup(units.unique_units(_inputs(spark, sf)), memory, ["unit_key"])
@@ -403,10 +408,7 @@ def cache_lookup(spark, sf):
     SELECT unit_text, unit_text IN (SELECT unit_text FROM mem) AS hit FROM u""",
 )
 def cache_hits_and_misses(spark, sf):
-    short = D.table(spark, sf, "documents").filter("n_chars < 2000")
-    memory = short.select(F.explode(F.split("text", "\n")).alias("line")).select(
-        F.trim("line").alias("unit_text")
-    ).filter("unit_text <> ''").distinct()
+    memory = _remembered(spark, sf)
     distinct = units.unique_units(_inputs(spark, sf)).select("unit_text")
     hits = units.memory_hits(distinct, memory, ["unit_text"]).withColumn("hit", F.lit(True))
     return hits.unionByName(
