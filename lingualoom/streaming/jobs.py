@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from datetime import timedelta
 
-from pyspark.errors import AnalysisException
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lingualoom.operators import units
+from lingualoom.operators.memory import Memory
+from lingualoom.session import discard, stage
 from lingualoom.sources import text as S
 
-MEMORY_SCHEMA = "unit_key string, unit_text string, lang string, output string"
-
-
 def document_stream(
     spark: SparkSession, path: str, schema: StructType, glob: str = "*.parquet", per_batch: int = 1000
 ) -> DataFrame:
@@ -28,39 +29,25 @@ def document_stream(
     )
 
 
-def read_memory(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
-    """Translation memory, optionally as it was before a micro-batch."""
-    try:
-        memory = spark.read.schema(MEMORY_SCHEMA + ", epoch bigint").parquet(root)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], MEMORY_SCHEMA)
-    if before is not None:
-        memory = memory.filter(F.col("epoch") < before)
-    return memory.drop("epoch")
-
-
 def ingest_units(
     docs: DataFrame, translate: Callable[[DataFrame], DataFrame], root: str, target: str, fingerprint: str, lang: str = "lang"
 ) -> StreamingQuery:
     """Documents -> segments -> inputs the memory lacks -> translations -> memory.
 
     The memory's key holds both languages and the engine's fingerprint besides the text.
-    A micro-batch looks only at memory from earlier batches and writes its own partition by
-    overwriting it, so that a replayed batch leaves the same state.  Stops when all input is read.
+    A micro-batch looks only at memory from earlier batches, and there only at the parts where its own keys
+    would be, and writes its own parts by overwriting them, so that a replayed batch leaves the same
+    state.  Stops when all input is read.
     """
-    spark = docs.sparkSession
-    memory = f"{root}/memory"
+    memory = Memory(docs.sparkSession, f"{root}/memory")
 
     def step(batch: DataFrame, epoch: int) -> None:
         inputs = units.engine_inputs(S.scan_segments(batch, keep=(lang,)), lang, keep=(lang,))
         inputs = inputs.withColumn("unit_key", units.input_key(F.col("unit_text"), F.col(lang), target, fingerprint))
-        asked = units.memory_misses(
-            units.unique_units(inputs, group=(lang,)).withColumnRenamed(lang, "lang"), read_memory(spark, memory, epoch), ["unit_key"]
-        )
-        answers = translate(asked).select("unit_key", "unit_text", "lang", "output")
-        answers.write.mode("overwrite").parquet(f"{memory}/epoch={epoch}")
+        distinct = stage(units.unique_units(inputs, group=(lang,)).withColumnRenamed(lang, "lang"), "inputs")
+        asked = units.memory_misses(distinct, memory.near(distinct, epoch), ["unit_key"])
+        memory.add(translate(asked).select("unit_key", "unit_text", "lang", "output"), epoch)
+        discard(distinct)
 
     return (
         docs.writeStream.foreachBatch(step)
@@ -70,62 +57,63 @@ def ingest_units(
     )
 
 
-def dedup_submissions(
-    submissions: DataFrame, key: list[str], at: str, horizon: str, root: str
-) -> StreamingQuery:
-    """First arrival per identity; identities are remembered for ``horizon`` and then dropped."""
-    first = submissions.withWatermark(at, horizon).dropDuplicatesWithinWatermark(key)
-    return (
-        first.writeStream.format("parquet")
-        .option("path", f"{root}/accepted")
-        .option("checkpointLocation", f"{root}/progress")
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
+_STATE = "content string, at long"
 
 
-def submission_outcomes(
-    submissions: DataFrame, key: list[str], content: str, order: list[str], at: str, horizon: str, root: str
-) -> StreamingQuery:
-    """Every submission with its outcome: accepted, repeat (same content) or conflict (other content).
+def outcomes(submissions: DataFrame, key: list[str], content: str, order: list[str], at: str, horizon: timedelta) -> DataFrame:
+    """Every submission of a stream with its outcome: accepted, repeat (same content) or conflict (other content).
 
-    The first arrival of an identity is accepted.  Identities are kept with their content in a table
-    with one folder per micro-batch, written by overwriting it, so a replayed batch gives the
-    same outcomes.  Identities first seen longer than ``horizon`` before a submission's ``at`` are
-    forgotten, which bounds the state that a batch looks at.
+    The first submission of an identity is accepted, and so is one that comes more than ``horizon`` after the accepted one;
+    others are compared with it, also if they come late.  State is one row per identity, content and time of what was
+    accepted; it travels with the rows of its key and is dropped when nothing has come for ``horizon``.
+    A replayed batch finds the state that was there before it.
     """
-    spark = submissions.sparkSession
-    seen = f"{root}/identities"
+    micros = int(horizon.total_seconds() * 1_000_000)
 
-    def step(batch: DataFrame, epoch: int) -> None:
-        schema = batch.select(*key, F.col(content).alias("_content"), F.col(at).alias("_first_at")).schema
-        try:
-            before = spark.read.schema(schema.add("epoch", "long")).parquet(seen).filter(F.col("epoch") < epoch)
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
-            before = spark.createDataFrame([], schema.add("epoch", "long"))
-        oldest = batch.agg(F.min(at)).first()[0]
-        if oldest is None:
+    def settle(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
             return
-        recent = before.filter(F.col("_first_at") >= F.lit(oldest) - F.expr(f"INTERVAL {horizon}"))
-        known = recent.groupBy(*key).agg(F.min_by(F.struct("_content", "_first_at"), "_first_at").alias("_known"))
-        first = batch.groupBy(*key).agg(F.min_by(F.struct(F.col(content).alias("_content"), F.col(at).alias("_first_at"), *order), F.struct(*order)).alias("_first"))
-        settled = first.join(known, key, "left")
-        was_new = F.col("_known").isNull() | (F.col("_known._first_at") < F.col("_first._first_at") - F.expr(f"INTERVAL {horizon}"))
-        settled = settled.withColumn("_new", was_new)
-        fresh = settled.filter("_new").select(*key, "_first._content", "_first._first_at")
-        fresh.write.mode("overwrite").parquet(f"{seen}/epoch={epoch}")
-        is_first = F.col("_new") & F.expr(" AND ".join(f"`{c}` <=> _first.`{c}`" for c in order))
-        held = F.when(F.col("_new"), F.col("_first._content")).otherwise(F.col("_known._content"))
-        outcome = F.when(is_first, "accepted").when(F.col(content).eqNullSafe(held), "repeat").otherwise("conflict")
-        done = batch.join(settled, key).withColumn("outcome", outcome)
-        done.select(*batch.columns, "outcome").write.mode("overwrite").parquet(f"{root}/outcomes/epoch={epoch}")
-
+        # An identity's rows of one micro-batch, which the trigger bounds.
+        frame = pd.concat(list(frames)).sort_values(order, kind="stable")
+        known = state.get if state.exists else None
+        told = []
+        for said, moment in zip(frame[content], frame[at], strict=True):
+            said, moment = None if pd.isna(said) else str(said), moment.value // 1000
+            if known is None or moment - known[1] > micros:
+                known = (said, moment)
+                told.append("accepted")
+            else:
+                told.append("repeat" if said == known[0] else "conflict")
+        state.update(known)
+        state.setTimeoutDuration(micros // 1000)
+        yield frame.assign(outcome=told)
+
+    schema = StructType([*submissions.schema.fields, StructField("outcome", StringType())])
+    return submissions.groupBy(*key).applyInPandasWithState(settle, schema, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def _written(rows: DataFrame, path: str, root: str) -> StreamingQuery:
+    # Time-outs alone are no reason for a batch, or a job that stops when its input is read would never stop.
+    rows.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     return (
-        submissions.writeStream.foreachBatch(step)
+        rows.writeStream.format("parquet")
+        .option("path", path)
         .option("checkpointLocation", f"{root}/progress")
+        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )
+
+
+def dedup_submissions(submissions: DataFrame, key: list[str], order: list[str], at: str, horizon: timedelta, root: str) -> StreamingQuery:
+    """First arrival per identity, written to ``accepted``."""
+    told = outcomes(submissions, key, key[0], order, at, horizon)
+    return _written(told.filter("outcome = 'accepted'").drop("outcome"), f"{root}/accepted", root)
+
+
+def submission_outcomes(
+    submissions: DataFrame, key: list[str], content: str, order: list[str], at: str, horizon: timedelta, root: str
+) -> StreamingQuery:
+    """Every submission with its outcome, written to ``outcomes``."""
+    return _written(outcomes(submissions, key, content, order, at, horizon), f"{root}/outcomes", root)
