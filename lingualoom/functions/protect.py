@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import cached_property
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -106,47 +108,130 @@ def passes_through(text: Column, lang: Column) -> Column:
     return ~(X.has_script_letter(rest, lang) & is_letter)
 
 
-def _literal(term: str) -> str:
-    return "".join(c if c.isalnum() else f"\\x{{{ord(c):x}}}" for c in term)
-
+def tag_like_spans(text: Column) -> Column:
+    """``array<struct<start,end>>`` of what looks like a tag, in one pass."""
+    return F.when(F.contains(text, F.lit("<")), _places(text, TAG_LIKE, lambda match: F.length(match))).otherwise(
+        F.array().cast("array<struct<start:int,end:int>>")
+    )
 
-def spans_with_terms(terms: Sequence[str]):
-    """Expression ``text -> array<struct<start,end>>`` that also protects exact terms.
 
-    One alternation finds everything from left to right; what begins inside a match is part of it.
-    At the same place a longer term comes before a shorter one.  No pattern runs over a blank, so
-    a term with one is longer than a pattern's match there and comes first; others come after.
-    """
-    wanted = sorted({t for t in terms if t}, key=lambda t: (-len(t), t))
-    blank = re.compile(r"\s")
-    first = [_literal(t) for t in wanted if blank.search(t)]
-    last = [_literal(t) for t in wanted if not blank.search(t)]
-    pattern = "|".join([f"(?:{TAG_LIKE})", *first, f"(?:{SPANS})", *last])
+def _places(text: Column, pattern: str, kept) -> Column:
+    """Start of each match, and its end after ``kept`` of its characters."""
+    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(0))
+    pairs = F.zip_with(
+        F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, lambda gap, match: F.struct(gap.alias("gap"), match.alias("match"))
+    )
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
     def step(acc: Column, pair: Column) -> Column:
         start = acc["at"] + F.length(pair["gap"])
-        stop = start + F.length(pair["match"])
-        kept = F.struct(start.alias("start"), (start + pair["kept"]).alias("end"))
-        return F.struct(stop.alias("at"), F.concat(acc["spans"], F.array(kept)).alias("spans"))
-
-    def spans(text: Column | str) -> Column:
-        text = F.col(text) if isinstance(text, str) else text
-        found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(0))
-        exact = F.array(*map(F.lit, wanted)) if wanted else F.array().cast("array<string>")
-        # Punctuation at the end belongs to a term, but not to what a pattern found.
-        pairs = F.zip_with(
-            F.slice(F.split(text, pattern, -1), 1, F.size(found)),
-            found,
-            lambda gap, match: F.struct(
-                gap.alias("gap"),
-                match.alias("match"),
-                F.when(F.array_contains(exact, match), F.length(match)).otherwise(F.length(_trim_tail(match))).alias("kept"),
-            ),
-        )
-        return F.aggregate(pairs, zero, step, lambda acc: acc["spans"])
+        span = F.struct(start.alias("start"), (start + kept(pair["match"])).alias("end"))
+        return F.struct((start + F.length(pair["match"])).alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+
+    return F.aggregate(pairs, zero, step, lambda acc: acc["spans"])
+
+
+SPANS_TYPE = "array<struct<start:int,end:int>>"
+
 
-    return spans
+def no_spans() -> Column:
+    return F.array().cast(SPANS_TYPE)
+
+
+def plain_spans(text: Column) -> Column:
+    """``array<struct<start,end>>`` of what the patterns protect, found by one expression."""
+    found = _places(text, f"(?:{TAG_LIKE})|(?:{SPANS})", lambda match: F.length(_trim_tail(match)))
+    return F.when(may_hold_span(text), found).otherwise(no_spans())
+
+
+class Terms:
+    """Patterns and exact terms, found together from left to right.
+
+    The terms are one automaton (a trie with failure links), so a text is read once, however many terms there are.
+    What begins inside a match is part of it.  At the same place a longer term comes before a
+    shorter one.  No pattern runs over a blank, so a term with one is longer than a pattern's match there and
+    comes first; others come after.  Punctuation at the end belongs to a term, but not to what a pattern found.
+    """
+
+    def __init__(self, terms: Sequence[str]):
+        self.terms = tuple(sorted({t for t in terms if t}))
+
+    @cached_property
+    def _tools(self) -> tuple:
+        import ahocorasick
+        import regex
+
+        automaton = ahocorasick.Automaton()
+        for term in self.terms:
+            automaton.add_word(term, (len(term), bool(re.search(r"\s", term))))
+        automaton.make_automaton()
+
+        def ours(pattern: str):
+            return regex.compile(re.sub(r"\\x\{([0-9A-Fa-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", pattern))
+
+        return automaton, ours(f"(?P<tag>{TAG_LIKE})|(?:{SPANS})"), regex.compile(_TAIL)
+
+    def __getstate__(self) -> dict:
+        return {"terms": self.terms}
+
+    def find(self, text: str) -> list[tuple[int, int]]:
+        """Start and end of each kept stretch."""
+        automaton, pattern, tail = self._tools
+        longest: dict[int, dict[bool, int]] = {}
+        for last, (size, blank) in automaton.iter(text):
+            own = longest.setdefault(last + 1 - size, {})
+            own[blank] = max(own.get(blank, 0), last + 1)
+        starts, out, at, turn = sorted(longest), [], 0, 0
+        match = pattern.search(text) if any(hint in text for hint in _HINTS) else None
+        while True:
+            while turn < len(starts) and starts[turn] < at:
+                turn += 1
+            if match is not None and match.start() < at:
+                match = pattern.search(text, at)
+                continue
+            if match is None and turn == len(starts):
+                return out
+            first = starts[turn] if turn < len(starts) else len(text) + 1
+            here = longest.get(first, {})
+            tied = match is not None and match.start() == first
+            if match is not None and (match.start() < first or tied and (match["tag"] is not None or True not in here)):
+                whole = match[0]
+                end = match.end()
+                out.append((match.start(), end if whole in self.terms_set else match.start() + len(tail.sub("", whole))))
+            else:
+                end = here.get(True) or here[False]
+                out.append((first, end))
+            at = end
+
+    @cached_property
+    def terms_set(self) -> frozenset[str]:
+        return frozenset(self.terms)
+
+    def spans(self, text: Column | str) -> Column:
+        """``array<struct<start,end>>`` for a text column."""
+        find = self.find
+
+        @F.pandas_udf(SPANS_TYPE)
+        def found(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: None if t is None else [{"start": a, "end": b} for a, b in find(t)])
+
+        return found(text)
+
+    def spans_of_each(self, texts: Column) -> Column:
+        """The same for each text of an array column."""
+        find = self.find
+
+        @F.pandas_udf(f"array<{SPANS_TYPE}>")
+        def found(lists: pd.Series) -> pd.Series:
+            return lists.map(lambda ts: None if ts is None else [[] if t is None else [{"start": a, "end": b} for a, b in find(t)] for t in ts])
+
+        return found(texts)
+
+
+def spans_with_terms(terms: Sequence[str]):
+    """Expression ``text -> array<struct<start,end>>`` that also protects exact terms; without terms it is built in."""
+    some = Terms(terms)
+    return some.spans if some.terms else lambda text: plain_spans(F.col(text) if isinstance(text, str) else text)
 
 
 def encode_line_with_terms(text: Column, spans: Column) -> Column:

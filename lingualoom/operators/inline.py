@@ -1,124 +1,68 @@
-"""Paragraphs as node rows: normalise, weigh styles, encode for an engine, and join pieces.
+"""Paragraphs as rows: normalise, weigh styles, encode for an engine, and join pieces.
 
-A paragraph's tree is kept as rows in document order with kind ``text``, ``keep``, ``obj``,
-``open`` or ``close``; a wrapper is an open and a close row, so no recursion is needed.  Every
-window is partitioned by the paragraph, which is small, and all of them share one shuffle.
-
-Node table: doc_id, seg_no, pos, kind, text, style, key.
+Paragraph table: doc_id, seg_no and ``nodes``, the paragraph's tree as ``functions.nodes`` describes it.
+A paragraph stays one row from the scan to the distinct engine inputs; only ``paragraphs`` gathers
+node rows (doc_id, seg_no, pos, kind, text, style, key) and only ``rows`` gives them back.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lingualoom.functions import chars as C
+from lingualoom.functions import nodes as N
 from lingualoom.functions import protect as P
 from lingualoom.functions import tags as G
-from lingualoom.functions import text as X
 
 SEG = ["doc_id", "seg_no"]
 
 
-def _is(kind: str) -> Column:
-    return F.col("kind") == kind
-
-
-def _by_segment(*more: str):
-    return Window.partitionBy(*SEG, *more).orderBy("pos")
+def paragraphs(node_rows: DataFrame) -> DataFrame:
+    """One row per paragraph, from node rows."""
+    node = F.struct(*[F.col(f).cast("string" if f in ("kind", "text") else "int").alias(f) for f in N.FIELDS])
+    return node_rows.groupBy(*SEG).agg(F.array_sort(F.collect_list(node)).alias("nodes"))
 
 
-def _so_far(*more: str):
-    return _by_segment(*more).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def rows(paragraphs: DataFrame) -> DataFrame:
+    """Node rows of paragraphs."""
+    return paragraphs.select(*SEG, F.inline("nodes"))
 
 
-def visible_text(nodes: DataFrame, kinds: tuple[str, ...] = ("text", "keep")) -> DataFrame:
+def visible_text(paragraphs: DataFrame, kinds: tuple[str, ...] = ("text", "keep")) -> DataFrame:
     """Text of each paragraph: what is visible, or with ``("text",)`` what may be translated."""
-    pieces = F.array_sort(
-        F.collect_list(F.when(F.col("kind").isin(*kinds), F.struct("pos", "text")))
-    )
-    return nodes.groupBy(*SEG).agg(
-        F.array_join(F.transform(pieces, lambda p: p["text"]), "").alias("text")
-    )
+    return paragraphs.select(*SEG, N.visible_text(F.col("nodes"), kinds).alias("text"))
 
 
-def normalize_nodes(nodes: DataFrame) -> DataFrame:
+def normalize_nodes(paragraphs: DataFrame) -> DataFrame:
     """Empty text goes, whitespace-only text takes a neighbour's style, equal neighbours merge."""
-    w = _by_segment()
-    after_text = F.coalesce(F.lag("kind").over(w) == "text", F.lit(False))
-    before_text = F.coalesce(F.lead("kind").over(w) == "text", F.lit(False))
-    blank = X.is_blank(F.col("text"))
-    # Within a stretch of text the style carries over whitespace; at its start it looks ahead.
-    anchor = F.when(
-        _is("text"),
-        F.when(~blank, F.col("style")).when(
-            ~after_text, F.when(before_text, F.lead("style").over(w)).otherwise(F.col("style"))
-        ),
-    )
-    full = nodes.filter(~(_is("text") & (F.col("text") == "")))
-    marked = full.withColumn("_anchor", anchor).withColumn("_after_text", after_text)
-    styled = marked.withColumn(
-        "style",
-        F.when(_is("text"), F.last("_anchor", ignorenulls=True).over(_so_far())).otherwise(
-            F.col("style")
-        ),
-    )
-    joins = _is("text") & F.col("_after_text") & (F.lag("style").over(w) == F.col("style"))
-    islands = styled.withColumn("_new", F.when(joins, 0).otherwise(1)).withColumn(
-        "_island", F.sum("_new").over(_so_far())
-    )
-    pieces = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("pos", "text"))))
-    merged = islands.groupBy(*SEG, "_island").agg(
-        F.min("pos").alias("pos"),
-        F.min("kind").alias("kind"),
-        pieces.alias("_p"),
-        F.min("style").alias("style"),
-        F.min("key").alias("key"),
-    )
-    text = F.when(F.size("_p") > 0, F.array_join(F.transform("_p", lambda p: p["text"]), ""))
-    return merged.select(*SEG, "pos", "kind", text.alias("text"), "style", "key")
+    return paragraphs.withColumn("nodes", N.normalized(F.col("nodes")))
+
+
+def _keep(paragraphs: DataFrame, found: Column) -> DataFrame:
+    # The places are a column of their own, so that nothing evaluates them for each node.
+    told = paragraphs.withColumn("_found", found)
+    return told.withColumn("nodes", N.split_spans(F.col("nodes"), F.col("_found"))).drop("_found")
 
 
-def keep_tag_like(nodes: DataFrame) -> DataFrame:
-    """Text that looks like one of our own tags becomes a keep node, so that encoding can't confuse the two.
+def keep_spans(paragraphs: DataFrame, terms: Sequence[str] = ()) -> DataFrame:
+    """Addresses, paths, tag-like text and ``terms`` in text nodes become keep nodes, which no engine sees.
 
     Places are numbered anew within each paragraph.
     """
-    pattern = P.TAG_LIKE
-    found = F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(0))
-    around = F.split("text", pattern, -1)
-    parts = F.flatten(
-        F.transform(
-            F.arrays_zip(around.alias("t"), F.concat(found, F.array(F.lit(""))).alias("k")),
-            lambda x: F.array(
-                F.struct(F.lit("text").alias("kind"), x["t"].alias("text")), F.struct(F.lit("keep").alias("kind"), x["k"].alias("text"))
-            ),
-        )
-    )
-    split = F.filter(parts, lambda p: p["text"] != "")
-    as_is = F.array(F.struct(F.col("kind").alias("kind"), F.col("text").alias("text")))
-    pieces = F.when(_is("text") & F.col("text").rlike(pattern), split).otherwise(as_is)
-    opened = nodes.select(*SEG, "pos", F.posexplode(pieces).alias("_i", "_p"), "style", "key")
-    order = Window.partitionBy(*SEG).orderBy("pos", "_i")
-    return opened.select(*SEG, (F.row_number().over(order) - 1).alias("pos"), "_p.kind", "_p.text", "style", "key")
-
-
-def with_base_style(normalized: DataFrame) -> DataFrame:
-    """Adds ``base``: the style with most stripped characters, the earlier one on a tie."""
-    weighed = normalized.withColumn(
-        "_w",
-        F.sum(F.when(_is("text"), F.length(X.strip(F.col("text"))))).over(
-            Window.partitionBy(*SEG, "style")
-        ),
-    )
-    best = F.max(F.when(_is("text"), F.struct("_w", (-F.col("pos")).alias("p"), "style"))).over(
-        Window.partitionBy(*SEG)
-    )
-    return weighed.withColumn("base", F.coalesce(best["style"], F.lit(0))).drop("_w")
+    some = P.Terms(terms)
+    found = some.spans_of_each(N.texts(F.col("nodes"))) if some.terms else N.spans_of_each(F.col("nodes"), P.plain_spans)
+    return _keep(paragraphs, found)
+
+
+def keep_tag_like(paragraphs: DataFrame) -> DataFrame:
+    """Text that looks like one of our own tags becomes a keep node, so that encoding can't confuse the two."""
+    return _keep(paragraphs, N.spans_of_each(F.col("nodes"), P.tag_like_spans))
 
 
 def dominant_style(normalized: DataFrame) -> DataFrame:
-    return with_base_style(normalized).groupBy(*SEG).agg(F.min("base").alias("base_style"))
+    return normalized.select(*SEG, N.base_style(F.col("nodes")).alias("base_style"))
 
 
 def style_ids(runs: DataFrame, properties: str) -> DataFrame:
@@ -132,68 +76,12 @@ def style_ids(runs: DataFrame, properties: str) -> DataFrame:
 
 
 def encode_tags(normalized: DataFrame) -> DataFrame:
-    """doc_id, seg_no, unit_text, base_style, groups, objects.
-
-    The base style is plain; other styles and wrappers become ``<gN>``, kept things ``<xN/>``,
-    numbered in order, so equal paragraphs give equal engine inputs.
-    """
-    based = with_base_style(normalized)
-    styled = _is("text") & (F.col("style") != F.col("base"))
-    is_group = _is("open") | styled
-    is_thing = _is("keep") | _is("obj")
-    nesting = F.when(_is("open"), 1).when(_is("close"), -1).otherwise(0)
-    numbered = (
-        based.withColumn("_gid", F.sum(is_group.cast("int")).over(_so_far()))
-        .withColumn("_xid", F.sum(is_thing.cast("int")).over(_so_far()))
-        .withColumn("_depth", F.sum(nesting).over(_so_far()))
-        .withColumn(
-            "_level",
-            F.when(_is("open"), F.col("_depth")).when(_is("close"), F.col("_depth") + 1),
-        )
-        # A close row belongs to the last open row at its own level.
-        .withColumn(
-            "_opened",
-            F.last(F.when(_is("open"), F.col("_gid")), ignorenulls=True).over(_so_far("_level")),
-        )
-    )
-    gid, xid = F.col("_gid").cast("string"), F.col("_xid").cast("string")
-    piece = (
-        F.when(styled, F.concat(F.lit("<g"), gid, F.lit(">"), "text", F.lit("</g"), gid, F.lit(">")))
-        .when(_is("text"), F.col("text"))
-        .when(_is("open"), F.concat(F.lit("<g"), gid, F.lit(">")))
-        .when(_is("close"), F.concat(F.lit("</g"), F.col("_opened").cast("string"), F.lit(">")))
-        .otherwise(F.concat(F.lit("<x"), xid, F.lit("/>")))
-    )
-    group = F.when(
-        is_group,
-        F.struct(
-            F.col("_gid").cast("int").alias("gid"),
-            F.when(styled, F.col("style")).alias("style"),
-            F.when(_is("open"), F.col("key")).alias("wrap"),
-        ),
-    )
-    thing = F.when(
-        is_thing,
-        F.struct(F.col("_xid").cast("int").alias("xid"), "kind", "text", "style", "key"),
-    )
-    items = F.array_sort(
-        F.collect_list(F.struct("pos", piece.alias("piece"))),
-    )
+    """doc_id, seg_no, unit_text, base_style, groups, objects; a paragraph without nodes has no row."""
+    told = N.let(F.col("nodes"), lambda n: N.let(N.base_style(n), lambda b: F.struct(b.alias("base_style"), N.encoded(n, b).alias("e"))))
     return (
-        numbered.groupBy(*SEG)
-        .agg(
-            items.alias("_items"),
-            F.min("base").alias("base_style"),
-            F.array_sort(F.collect_list(group)).cast(G.GROUPS).alias("groups"),
-            F.array_sort(F.collect_list(thing)).cast(G.OBJECTS).alias("objects"),
-        )
-        .select(
-            *SEG,
-            F.array_join(F.transform("_items", lambda p: p["piece"]), "").alias("unit_text"),
-            "base_style",
-            "groups",
-            "objects",
-        )
+        normalized.filter(F.size("nodes") > 0)
+        .select(*SEG, told.alias("_told"))
+        .select(*SEG, "_told.e.unit_text", "_told.base_style", "_told.e.groups", "_told.e.objects")
     )
 
 
@@ -227,75 +115,28 @@ def project_spans(failed: DataFrame) -> DataFrame:
 
 
 def decode_tags(answered: DataFrame, output: str = "output") -> DataFrame:
-    """Validated outputs back to normalised node rows with the source's styles and wrappers."""
+    """Validated outputs back to normalised paragraphs with the source's styles and wrappers."""
     shaped = answered.withColumn("_out", G.structure(F.col(output)))
     nodes = G.decode(
         F.col(output), F.col("base_style"), F.col("groups"), F.col("objects"), F.col("_out")
     )
-    return normalize_nodes(
-        shaped.select(*SEG, F.posexplode(nodes).alias("pos", "n")).select(*SEG, "pos", "n.*")
-    )
+    placed = F.transform(nodes, lambda n, i: F.struct(i.cast("int").alias("pos"), *[n[f].alias(f) for f in N.FIELDS[1:]]))
+    return normalize_nodes(shaped.select(*SEG, placed.alias("nodes")))
 
 
 def segmented_pieces(normalized: DataFrame) -> DataFrame:
-    """The text leaves, in order, for translation one by one."""
-    return normalized.filter(_is("text")).select(*SEG, "pos", "text")
+    """The text leaves, in order, for translation one by one; ``leaf`` is a leaf's number among them."""
+    leaves = F.filter("nodes", lambda n: n["kind"] == "text")
+    return normalized.select(*SEG, F.posexplode(leaves).alias("leaf", "n")).select(*SEG, "leaf", "n.pos", "n.text")
 
 
 def join_segmented(translated: DataFrame, latin_target: bool) -> DataFrame:
-    """Node rows rebuilt from separately translated leaves.
+    """Normalised paragraphs rebuilt from separately translated leaves.
 
-    translated: normalised node rows with ``translation`` (NULL keeps the text).  Towards a Latin
-    language two leaves that would run together get one space, on the plain side; towards Chinese
-    or Japanese, whitespace between CJK characters goes.  Kept leaves never change.
+    translated: normalised paragraphs with ``translations``, one entry per text leaf (NULL keeps the text).
     """
-    based = with_base_style(translated)
-    nesting = F.when(_is("open"), 1).when(_is("close"), -1).otherwise(0)
-    leaf_text = F.when(_is("text"), F.coalesce("translation", "text")).when(_is("keep"), F.col("text"))
-    leaf = F.when(
-        F.col("kind").isin("text", "keep", "obj"),
-        F.struct(
-            leaf_text.alias("text"),
-            (~_is("text")).alias("kept"),
-            (_is("text") & (F.col("style") == F.col("base")) & (F.col("_depth") == 0)).alias("plain"),
-        ),
-    )
-    rows = based.withColumn("_depth", F.sum(nesting).over(_so_far())).withColumn("_leaf", leaf)
-    before = F.last("_leaf", ignorenulls=True).over(
-        _by_segment().rowsBetween(Window.unboundedPreceding, -1)
-    )
-    after = F.first("_leaf", ignorenulls=True).over(
-        _by_segment().rowsBetween(1, Window.unboundedFollowing)
+    rebuilt = N.let(
+        F.struct("nodes", "translations"),
+        lambda x: N.let(N.base_style(x["nodes"]), lambda b: N.joined(x["nodes"], x["translations"], b, latin_target)),
     )
-    rows = rows.withColumn("_before", before).withColumn("_after", after)
-    here = F.col("_leaf")
-
-    def meets(a: Column, b: Column) -> Column:
-        """Does the boundary between leaves a and b need attention?"""
-        if latin_target:
-            ends = a["text"].rlike(rf"[\p{{L}}\p{{N}}{_escaped(G.SENTENCE_PUNCTUATION)}]\z")
-            return F.coalesce(ends & b["text"].rlike(r"\A[\p{L}\p{N}]"), F.lit(False))
-        left = X.rstrip(a["text"]).rlike(f"[{C.JOIN_CJK}]\\z")
-        return F.coalesce(left & X.lstrip(b["text"]).rlike(f"\\A[{C.JOIN_CJK}]"), F.lit(False))
-
-    def on_right(a: Column, b: Column) -> Column:
-        return b["plain"] | (a["kept"] & ~b["kept"])
-
-    at_front, at_back = meets(F.col("_before"), here), meets(here, F.col("_after"))
-    text = here["text"]
-    if latin_target:
-        front = F.when(at_front & on_right(F.col("_before"), here), F.lit(" ")).otherwise("")
-        back = F.when(at_back & ~on_right(here, F.col("_after")), F.lit(" ")).otherwise("")
-        new = F.concat(front, text, back)
-    else:
-        trimmed = F.when(at_front, X.lstrip(text)).otherwise(text)
-        new = F.when(at_back, X.rstrip(trimmed)).otherwise(trimmed)
-    rebuilt = rows.select(
-        *SEG, "pos", "kind", F.when(_is("text"), new).otherwise(F.col("text")).alias("text"),
-        "style", "key",
-    )
-    return normalize_nodes(rebuilt)
-
-
-def _escaped(chars: str) -> str:
-    return "".join("\\" + ch for ch in chars)
+    return normalize_nodes(translated.select(*SEG, rebuilt.alias("nodes")))

@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _normalized(spark, sf):
-    return I.normalize_nodes(D.nodes(spark, sf))
+    return I.normalize_nodes(D.paragraphs(spark, sf))
 
 
 def _encoded(spark, sf):
@@ -39,7 +39,7 @@ def _encoded(spark, sf):
     f"WITH {D.NODES_SQL}, {D.sql_normalized('nodes', 'nrm')} SELECT * FROM nrm",
 )
 def normalize_nodes(spark, sf):
-    return _normalized(spark, sf)
+    return I.rows(_normalized(spark, sf))
 
 
 @query(
@@ -48,7 +48,7 @@ def normalize_nodes(spark, sf):
     FROM nodes GROUP BY ALL""",
 )
 def plain_text(spark, sf):
-    return I.visible_text(D.nodes(spark, sf))
+    return I.visible_text(D.paragraphs(spark, sf))
 
 
 @query(
@@ -57,7 +57,7 @@ def plain_text(spark, sf):
     FROM nodes GROUP BY ALL""",
 )
 def translatable_text(spark, sf):
-    return I.visible_text(D.nodes(spark, sf), ("text",))
+    return I.visible_text(D.paragraphs(spark, sf), ("text",))
 
 
 @query(
@@ -76,7 +76,7 @@ def dominant_style(spark, sf):
     SELECT doc_id, props, (row_number() OVER (PARTITION BY doc_id ORDER BY f) - 1)::INTEGER AS style FROM r""",
 )
 def style_ids(spark, sf):
-    runs = D.nodes(spark, sf).filter("kind = 'text'").select(
+    runs = I.rows(D.paragraphs(spark, sf)).filter("kind = 'text'").select(
         "doc_id", "seg_no", "pos",
         F.concat(F.lit("b"), F.col("style").cast("string"), F.left("text", F.lit(1))).alias("props"),
     )
@@ -190,11 +190,9 @@ def normalize_tag_ws(spark, sf):
     SELECT doc_id, seg_no, (row_number() OVER (PARTITION BY doc_id, seg_no ORDER BY pos))::INTEGER AS n, kind, text, style, key FROM nrm""",
 )
 def decode_tags(spark, sf):
-    from pyspark.sql import Window
-
-    order = F.row_number().over(Window.partitionBy("doc_id", "seg_no").orderBy("pos"))
     decoded = I.decode_tags(_encoded(spark, sf), "unit_text")
-    return decoded.withColumn("n", order).drop("pos")
+    fields = [F.col(f"x.{f}").alias(f) for f in ("kind", "text", "style", "key")]
+    return decoded.select("doc_id", "seg_no", F.posexplode("nodes").alias("n", "x")).select("doc_id", "seg_no", (F.col("n") + 1).alias("n"), *fields)
 
 
 @query(
@@ -202,7 +200,7 @@ def decode_tags(spark, sf):
     f"WITH {D.NODES_SQL}, {D.sql_normalized('nodes', 'nrm')} SELECT doc_id, seg_no, pos, text FROM nrm WHERE kind = 'text'",
 )
 def segmented_pieces(spark, sf):
-    return I.segmented_pieces(_normalized(spark, sf))
+    return I.segmented_pieces(_normalized(spark, sf)).drop("leaf")
 
 
 _NEEDLE_SQL = f"""lower(rtrim({D.sql_strip("regexp_replace(split_part(split_part(unit_text, '<g' || g || '>', 2), '</g' || g || '>', 1), '</?g[0-9]+>|<x[0-9]+/>', '', 'g')")}, '.。．'))"""
@@ -254,8 +252,8 @@ def _joined_sql() -> str:
 def join_segmented(spark, sf):
     from lingualoom.functions import text as X
 
-    stripped = _normalized(spark, sf).withColumn("translation", X.strip(F.col("text")))
-    return I.join_segmented(stripped, latin_target=True)
+    said = F.transform(F.filter("nodes", lambda n: n["kind"] == "text"), lambda n: X.strip(n["text"]))
+    return I.rows(I.join_segmented(_normalized(spark, sf).withColumn("translations", said), latin_target=True))
 
 
 # ---- engines and recovery ------------------------------------------------------------------------
@@ -268,21 +266,41 @@ def _forgetful(texts):
     return texts.withColumn("output", F.when(lost, G.strip_paired(marked)).otherwise(marked))
 
 
+TERM = "Loom Term"
+
+
+def _addressed(paragraphs):
+    """Some bold texts end in an address and a term."""
+    some = lambda n: (n["kind"] == "text") & (n["style"] == 1) & (n["pos"] % 5 == 2)
+    more = lambda n: F.concat(n["text"], F.lit("https://e.org/"), n["pos"].cast("string"), F.lit(f", {TERM}"))
+    return paragraphs.withColumn("nodes", F.transform("nodes", lambda n: n.withField("text", F.when(some(n), more(n)).otherwise(n["text"]))))
+
+
+_ADDRESSED_SQL = f"""{D.NODES_SQL},
+nda AS (SELECT * REPLACE (CASE WHEN kind = 'text' AND style = 1 AND pos % 5 = 2 THEN text || 'https://e.org/' || pos || ', {TERM}' ELSE text END AS text) FROM nodes),
+ndm AS (SELECT *, CASE WHEN kind = 'text' THEN regexp_extract_all(replace({D.sql_marked('text')}, '{TERM}', '\x01{TERM}\x02'), '\x01[^\x02]*\x02|[^\x01\x02]+') ELSE [text] END AS ps FROM nda),
+ndp AS (SELECT doc_id, seg_no, pos, kind, style, key, unnest(ps) AS p, unnest(range(len(ps))) AS i FROM ndm),
+ndk AS (SELECT doc_id, seg_no, (row_number() OVER (PARTITION BY doc_id, seg_no ORDER BY pos, i))::INTEGER AS pos,
+  CASE WHEN kind = 'text' AND p LIKE '\x01%' THEN 'keep' ELSE kind END AS kind, replace(replace(p, '\x01', ''), '\x02', '') AS text, style, key FROM ndp),
+{D.sql_encoding('ndk')}"""
+
+
 # The forgetful engine puts EN: in front of every answer, so a span's own answer is found in the
-# whole answer only where the paragraph begins with that span.
+# whole answer only where the paragraph begins with that span.  A styled blank between kept things can't be told from
+# a span that lost its text, so its paragraph goes piece by piece.
 @query(
     "recovery_cascade",
-    f"""WITH {D.ENCODED_SQL}, u AS (SELECT doc_id, unit_text, n_groups, {D.sql_strip("regexp_replace(unit_text, '</?g[0-9]+>', '', 'g')")} AS bare,
+    f"""WITH {_ADDRESSED_SQL}, u AS (SELECT doc_id, unit_text, n_groups, COALESCE(hollow, false) AS hollow, {D.sql_strip("regexp_replace(unit_text, '</?g[0-9]+>', '', 'g')")} AS bare,
       length({D.sql_strip('unit_text')}) AS size, {D.sql_strip("regexp_replace(split_part(split_part(unit_text, '<g1>', 2), '</g1>', 1), '<x[0-9]+/>', '', 'g')")} AS span FROM enc),
-    m AS (SELECT doc_id, unit_text, CASE WHEN n_groups = 0 OR size % 3 <> 0 THEN 'direct'
-      WHEN n_groups = 1 AND span <> '' AND starts_with(lower(bare), lower(rtrim(span, '.。．'))) THEN 'projected' ELSE 'segmented' END AS method FROM u)
+    m AS (SELECT doc_id, unit_text, CASE WHEN n_groups = 0 OR (size % 3 <> 0 AND NOT hollow) THEN 'direct'
+      WHEN n_groups = 1 AND NOT hollow AND span <> '' AND starts_with(lower(bare), lower(rtrim(span, '.。．'))) THEN 'projected' ELSE 'segmented' END AS method FROM u)
     SELECT doc_id, method, count(*) AS segments, count(DISTINCT unit_text) AS inputs, 0::BIGINT AS errors, 0::BIGINT AS empty
     FROM m GROUP BY ALL""",
 )
 def recovery_cascade(spark, sf):
     from lingualoom.functions import text as X
 
-    segments, nodes = recover.translate_formatted(D.nodes(spark, sf), _forgetful, "en")
+    segments, nodes = recover.translate_formatted(_addressed(D.paragraphs(spark, sf)), _forgetful, "en", [TERM])
     visible = I.visible_text(nodes)
     blank = F.coalesce(X.is_blank(F.col("text")), F.lit(True))
     return segments.join(visible, ["doc_id", "seg_no"], "left").groupBy("doc_id", "method").agg(

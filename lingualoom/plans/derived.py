@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lingualoom.functions import chars as C
+from lingualoom.functions import nodes as N
 from lingualoom.functions import protect as P
 from lingualoom.session import read_table
 from lingualoom.sources.text import scan_segments
@@ -50,23 +51,12 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "source", lang.alias("lang"), F.concat(body, added).alias("text"))
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Node rows: every line of every document cut into words, with styles, kept words, objects,
+def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs: every line of every document cut into words, with styles, kept words, objects,
     wrappers (some nested) and styled blanks placed by word number."""
     lines = scan_segments(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    words = lines.select(
-        "doc_id", "seg_no", F.size(F.split("line", " ")).alias("n"),
-        F.posexplode(F.split("line", " ")).alias("i", "w"),
-    )
-    i, n = F.col("i"), F.col("n")
-    gap = F.when((i < n - 1) & (i % 13 != 6), F.lit(" ")).otherwise(F.lit(""))
-    kind = (
-        F.when(i % 19 == 7, F.lit("keep")).when(i % 23 == 11, F.lit("obj")).otherwise(F.lit("text"))
-    )
-    style = F.when((i % 9).isin(4, 5), 1).when(i % 31 == 20, 2).otherwise(0)
-    wide = (n > i - i % 29 + 18) & (i % 29 >= 15)
 
-    def event(when, offset, kind, text=None, style=None, key=None) -> Column:
+    def event(when, i, offset, kind, text=None, style=None, key=None) -> Column:
         return F.when(
             when,
             F.struct(
@@ -77,20 +67,28 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
             ),
         )
 
-    key = F.floor(i / 29) * 2
-    is_obj = kind == "obj"
-    events = F.array(
-        event(wide & (i % 29 == 15), 0, F.lit("open"), key=key),
-        event(wide & (i % 29 == 16), 1, F.lit("open"), key=key + 1),
-        event(
-            F.lit(True), 2, kind, F.when(~is_obj, F.concat("w", F.when(kind == "text", gap).otherwise(""))),
-            F.when(~is_obj, style), F.when(is_obj, i),
-        ),
-        event((i % 13 == 6) & (i < n - 1), 3, F.lit("text"), F.lit(" "), F.lit(2)),
-        event(wide & (i % 29 == 17), 4, F.lit("close"), key=key + 1),
-        event(wide & (i % 29 == 18), 5, F.lit("close"), key=key),
-    )
-    return words.select("doc_id", "seg_no", F.inline(F.filter(events, lambda e: e.isNotNull())))
+    def events(w: Column, i: Column, n: Column) -> Column:
+        gap = F.when((i < n - 1) & (i % 13 != 6), F.lit(" ")).otherwise(F.lit(""))
+        kind = F.when(i % 19 == 7, F.lit("keep")).when(i % 23 == 11, F.lit("obj")).otherwise(F.lit("text"))
+        style = F.when((i % 9).isin(4, 5), 1).when(i % 31 == 20, 2).otherwise(0)
+        wide = (n > i - i % 29 + 18) & (i % 29 >= 15)
+        key = F.floor(i / 29) * 2
+        is_obj = kind == "obj"
+        made = F.array(
+            event(wide & (i % 29 == 15), i, 0, F.lit("open"), key=key),
+            event(wide & (i % 29 == 16), i, 1, F.lit("open"), key=key + 1),
+            event(
+                F.lit(True), i, 2, kind, F.when(~is_obj, F.concat(w, F.when(kind == "text", gap).otherwise(""))),
+                F.when(~is_obj, style), F.when(is_obj, i),
+            ),
+            event((i % 13 == 6) & (i < n - 1), i, 3, F.lit("text"), F.lit(" "), F.lit(2)),
+            event(wide & (i % 29 == 17), i, 4, F.lit("close"), key=key + 1),
+            event(wide & (i % 29 == 18), i, 5, F.lit("close"), key=key),
+        )
+        return F.filter(made, lambda e: e.isNotNull())
+
+    built = N.let(F.split("line", " "), lambda ws: N.let(F.size(ws), lambda n: F.flatten(F.transform(ws, lambda w, i: events(w, i, n)))))
+    return lines.select("doc_id", "seg_no", built.alias("nodes"))
 
 
 def quote(text: str) -> str:
@@ -246,7 +244,9 @@ def sql_based(source: str, out: str) -> str:
   ORDER BY kind = 'text' DESC, wt DESC, pos), 0)::INTEGER AS base FROM {out}_w)"""
 
 
-ENCODED_SQL = f"""{NODES_SQL}, {sql_normalized('nodes', 'nrm')}, {sql_based('nrm', 'bsd')},
+def sql_encoding(source: str) -> str:
+    """CTEs that end in ``enc``: the engine input of each paragraph of node rows."""
+    return f"""{sql_normalized(source, 'nrm')}, {sql_based('nrm', 'bsd')},
 num AS (SELECT *, kind = 'text' AND style <> base AS sty,
   sum(CASE WHEN kind = 'open' OR (kind = 'text' AND style <> base) THEN 1 ELSE 0 END) OVER w AS gid,
   sum(CASE WHEN kind IN ('keep', 'obj') THEN 1 ELSE 0 END) OVER w AS xid,
@@ -260,4 +260,7 @@ pcs AS (SELECT *, CASE WHEN sty THEN '<g' || gid || '>' || text || '</g' || gid
 enc AS (SELECT doc_id, seg_no, string_agg(piece, '' ORDER BY pos) AS unit_text, min(base) AS base_style,
   count(*) FILTER (sty OR kind = 'open') AS n_groups, count(*) FILTER (kind IN ('keep', 'obj')) AS n_objects,
   bool_or(kind IN ('keep', 'obj') AND xid = 1 AND depth = 0) AS x1_top, bool_or(sty AND gid = 1) AS g1_style,
-  bool_or(sty AND gid = 1 AND depth = 0) AS g1_top FROM pcs GROUP BY doc_id, seg_no)"""
+  bool_or(sty AND gid = 1 AND depth = 0) AS g1_top, bool_or(sty AND {sql_blank('text')}) AS hollow FROM pcs GROUP BY doc_id, seg_no)"""
+
+
+ENCODED_SQL = f"{NODES_SQL}, {sql_encoding('nodes')}"

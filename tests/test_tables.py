@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from lingualoom.operators import identity, infer, sheet, spread, units
+from lingualoom.operators.memory import Memory
 from lingualoom.plans import catalog_office as made
 from lingualoom.sources import office as O
 from lingualoom.sources import parallel as par
@@ -173,7 +174,7 @@ def test_stream_equals_batch_over_many_files(spark, tmp_path):
 
     stream = jobs.document_stream(spark, str(tmp_path / "in"), docs.schema, per_batch=2)
     jobs.ingest_units(stream, translate, str(tmp_path / "work"), "en", "marker-1").awaitTermination()
-    memory = jobs.read_memory(spark, str(tmp_path / "work/memory"))
+    memory = Memory(spark, str(tmp_path / "work/memory")).rows()
     batch = units.unique_units(units.occurrences(S.scan_segments(docs, keep=("lang",))))
     assert len(calls) == 3 and sum(calls) == batch.count() == memory.count()
     assert {r["unit_text"] for r in memory.collect()} == {r["unit_text"] for r in batch.collect()}
