@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lingualoom.functions.search import last_at_most
-from lingualoom.operators.spread import salted_join
+from lingualoom.operators.spread import dealt_join, staged_with_hot
 
 # ---- fixed values: spreadsheet limits and units --------------------------------------------------
 CELL_LIMIT = 32_767
@@ -65,7 +65,8 @@ def formula_literal_match(formulas: DataFrame, translated: DataFrame) -> DataFra
         "doc_id", "location", F.explode(F.array_distinct(formula_literals(F.col("formula")))).alias("text")
     )
     sources = translated.select("doc_id", "text").distinct()
-    hits = salted_join(literals, sources, ["doc_id", "text"], "left_semi", ["location"])
+    literals, hot = staged_with_hot(literals, ["doc_id", "text"], "literals")
+    hits = dealt_join(literals, hot, sources, ["doc_id", "text"], "left_semi", ["location"])
     return hits.select("doc_id", "location").distinct()
 
 
@@ -157,7 +158,8 @@ def range_width_sum(
     upto = Window.partitionBy("sheet").orderBy("col").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = widths.select("sheet", "col", F.sum(extra).over(upto).alias("sum"))
     per_sheet = sums.groupBy("sheet").agg(F.array_sort(F.collect_list(F.struct("col", "sum"))).alias("_sums"))
-    joined = salted_join(ranges, per_sheet, ["sheet"], "left", ["c1", "r1"])
+    ranges, hot = staged_with_hot(ranges, ["sheet"], "ranges")
+    joined = dealt_join(ranges, hot, per_sheet, ["sheet"], "left", ["c1", "r1"])
 
     def below(col: Column) -> Column:
         place = last_at_most(F.col("_sums"), col, MOST_COLUMNS, lambda s: s["col"])

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from lingualoom.session import stage
+
 # A key with more than 1/HOT_KEYS of all rows is certain to be among the HOT_KEYS most frequent
 # ones.  Values up to BROADCAST_CHARS of those are broadcast, so their bytes are bounded too;
 # for longer ones the rows are dealt out over copies of the value, one for each SHARE rows.
@@ -12,6 +14,8 @@ HOT_KEYS = 1024
 BROADCAST_CHARS = 16_384
 SHARE = 100_000
 SPAN = 1024
+# Entries of the sketch of frequent keys: it misses none with more than one row in 0.75 * TRACKED.
+TRACKED = 16 * HOT_KEYS
 
 
 def hot_keys(units: DataFrame, key: str, n: str) -> DataFrame:
@@ -129,3 +133,27 @@ def salted_join(
     left = many.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), salts).cast("int"))
     right = few.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     return left.drop("_salts").join(right.drop("_salts"), [*keys, "_salt"], how).drop("_salt")
+
+
+def staged_with_hot(rows: DataFrame, keys: list[str], label: str, share: int = SHARE) -> tuple[DataFrame, DataFrame]:
+    """``rows`` written once, and how many salts the keys need that are frequent in them: ``_hash, _salts``.
+
+    A mergeable sketch of the most frequent keys is filled while the rows are written, so they are evaluated and read
+    once.  It has at most ``HOT_KEYS`` keys; any with more than 1/HOT_KEYS of all rows is among them.
+    """
+    seen = Observation()
+    top = F.expr(f"approx_top_k(_hash, {HOT_KEYS}, {TRACKED})").alias("top")
+    watched = rows.withColumn("_hash", F.xxhash64(*keys)).observe(seen, F.count(F.lit(1)).alias("n"), top)
+    staged = stage(watched, label)
+    hot = [(r["item"], -(-r["count"] // share)) for r in seen.get["top"] or [] if r["count"] > share]
+    return staged, rows.sparkSession.createDataFrame(hot, "_hash long, _salts long")
+
+
+def dealt_join(staged: DataFrame, hot: DataFrame, few: DataFrame, keys: list[str], how: str, by: list[str]) -> DataFrame:
+    """``salted_join`` for rows of ``staged_with_hot`` (or some of them), whose left side is read once and never counted."""
+    hot = F.broadcast(hot)
+    salts = F.coalesce("_salts", F.lit(1).cast("long"))
+    left = staged.join(hot, "_hash", "left").withColumn("_salt", F.pmod(F.xxhash64(*by), salts)).drop("_salts", "_hash")
+    right = few.withColumn("_hash", F.xxhash64(*keys)).join(hot, "_hash", "left")
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("_salts", "_hash")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lingualoom.functions import text as X
-from lingualoom.operators.spread import salted_join
+from lingualoom.operators.spread import dealt_join, staged_with_hot
 
 # ---- fixed values: the pinned corpus revision ----------------------------------------------------
 PINNED_NAME = "flores_plus"
@@ -50,8 +50,10 @@ def scan_parallel(rows: DataFrame, source: str, target: str, dataset: str = "dat
     """Rows of one direction of every sound dataset.
 
     A dataset is refused as a whole for a broken row or a duplicate id anywhere in it, whatever
-    the direction.  Ids are counted with map-side combine; what is joined is one row per dataset.
+    the direction.  Ids are counted with map-side combine; what is joined is one row per dataset.  The parsed
+    rows are written once, and a dataset that holds a large share of them is dealt out over salts.
     """
+    rows, hot = staged_with_hot(rows, [dataset], "parallel")
     wanted = (F.col("source_lang") == source) & (F.col("target_lang") == target)
     lacking = wanted & (F.col("source").isNull() | F.col("reference").isNull())
     per_id = rows.groupBy(dataset, "id").agg(
@@ -63,7 +65,7 @@ def scan_parallel(rows: DataFrame, source: str, target: str, dataset: str = "dat
         .select(dataset)
         .distinct()
     )
-    kept = salted_join(rows.filter(wanted), refused, [dataset], "left_anti", ["id"])
+    kept = dealt_join(rows.filter(wanted), hot, refused, [dataset], "left_anti", ["id"])
     return kept.select(dataset, "id", "source", "reference")
 
 
@@ -76,14 +78,14 @@ def read_parallel(spark: SparkSession, path: str) -> DataFrame:
 def aligned_pairs(a: DataFrame, b: DataFrame, dataset: str = "dataset") -> DataFrame:
     """dataset, id, source, reference, sound: two language files joined on id.
 
-    A dataset whose id sets differ is marked unsound on each of its rows.
+    A dataset whose id sets differ is marked unsound on each of its rows.  The pairs are joined and written once.
     """
     left = a.select(dataset, "id", F.col("text").alias("source"))
     right = b.select(dataset, "id", F.col("text").alias("reference"))
-    pairs = left.join(right, [dataset, "id"], "full_outer")
+    pairs, hot = staged_with_hot(left.join(right, [dataset, "id"], "full_outer"), [dataset], "pairs")
     odd = pairs.filter(F.col("source").isNull() | F.col("reference").isNull())
     unsound = odd.select(dataset).distinct().withColumn("_odd", F.lit(True))
-    return salted_join(pairs, unsound, [dataset], "left", ["id"]).select(
+    return dealt_join(pairs, hot, unsound, [dataset], "left", ["id"]).select(
         dataset, "id", "source", "reference", F.col("_odd").isNull().alias("sound")
     )
 

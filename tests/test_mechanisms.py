@@ -11,7 +11,7 @@ from lingualoom.functions import protect as P
 from lingualoom.functions.search import last_at_most
 from lingualoom.operators import compare as cmp
 from lingualoom.operators import inline as I
-from lingualoom.operators import ranks, report, sheet
+from lingualoom.operators import ranks, report, sheet, spread
 from lingualoom.operators.memory import SCHEMA, Memory
 from lingualoom.plans import recover
 from lingualoom.streaming import jobs
@@ -193,3 +193,17 @@ def test_time_does_not_grow_with_the_number_of_terms():
         some.find(text)
         times.append(time.perf_counter() - start)
     assert times[1] < 5 * times[0] + 0.1
+
+
+@pytest.mark.parametrize("how", ["left", "left_semi", "left_anti", "inner"])
+def test_dealt_join_equals_a_plain_join(spark, how):
+    rows = [(i, "hot" if i % 2 == 0 else f"k{i % 50}") for i in range(2000)] + [(5000, None)]
+    many = spark.createDataFrame(rows, "i int, key string")
+    few = spark.createDataFrame([("hot", 1), ("k3", 2), ("k5", 3), ("other", 4)], "key string, v int")
+    staged, hot = spread.staged_with_hot(many, ["key"], "many", share=100)
+    assert [r["_salts"] for r in hot.collect()] == [10]
+    got = spread.dealt_join(staged, hot, few, ["key"], how, ["i"])
+    want = many.join(few, "key", how)
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("many-") <= 1
