@@ -125,6 +125,8 @@ def test_variants_equal_brute_force(spark):
                 words[k] = words[k][:at] + rng.choice(["", "a", "ë", "Z"]) + words[k][at + int(rng.integers(0, 2)) :]
         rows.append((i, " ".join(words)))
     rows += [(None, "Wärme wärme WÄRME warme warme Warme"), (500, None), (501, ""), (502, "×÷×÷×÷×÷"), (503, " 12 "), (1, "aaaaa aaaa"), (1, "aaaaa aaaa")]
+    # A form that has a form itself.
+    rows += [(None, "stonexx " * 3 + "stonex " * 6 + "stone " * 12)]
     long = "abcdefghij" * 700
     rows += [(600 + k, f"{long} {long[:-1]} {long}") for k in range(4)]
     got = {r[0]: tuple(r)[1:] for r in spelling.variants(documents(spark, rows)).collect()}
