@@ -75,7 +75,10 @@ def outcomes(submissions: DataFrame, key: list[str], content: str, order: list[s
             state.remove()
             return
         # An identity's rows of one micro-batch, which the trigger bounds.
-        frame = pd.concat(list(frames)).sort_values(order, kind="stable")
+        held = list(frames)
+        frame = held[0] if len(held) == 1 else pd.concat(held)
+        if len(frame) > 1:
+            frame = frame.sort_values(order, kind="stable")
         known = state.get if state.exists else None
         told = []
         for said, moment in zip(frame[content], frame[at], strict=True):
