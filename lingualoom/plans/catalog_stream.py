@@ -36,7 +36,8 @@ def query(name: str, sql: str | None = None):
 def stream_ingest_units(spark, sf):
     schema = spark.read.parquet(f"{sf}/documents.parquet").schema
     root = fresh_path(spark, "stream")
-    docs = jobs.document_stream(spark, sf, schema, "documents.parquet")
+    # A table is one file or a folder of files; a pattern stands for either.
+    docs = jobs.document_stream(spark, f"{sf}/[d]ocuments.parquet", schema)
 
     def translate(asked):
         return asked.withColumn(

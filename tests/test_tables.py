@@ -178,3 +178,13 @@ def test_stream_equals_batch_over_many_files(spark, tmp_path):
     batch = units.unique_units(units.occurrences(S.scan_segments(docs, keep=("lang",))))
     assert len(calls) == 3 and sum(calls) == batch.count() == memory.count()
     assert {r["unit_text"] for r in memory.collect()} == {r["unit_text"] for r in batch.collect()}
+
+
+def test_ingestion_reads_a_table_that_is_a_folder_of_files(spark, tmp_path):
+    from lingualoom.plans import catalog_stream
+
+    docs = [(k, f"Line {k} of the text\nand another {k}", "en", "web", 30) for k in range(6)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    frame.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["unit_text"] for r in catalog_stream.stream_ingest_units(spark, str(tmp_path)).collect()}
+    assert got == {line for _, text, *_ in docs for line in text.split("\n")}
