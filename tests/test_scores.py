@@ -208,3 +208,12 @@ def test_outputs_are_never_overwritten_and_are_verified(spark, tmp_path):
     assert sinks.verify_written(other, path, ["id"]).first().asDict() == {
         "written": 2, "missing": 1, "unexpected": 1, "changed": 1
     }
+
+
+def test_verdict_hears_documents_of_every_length(spark, tmp_path):
+    from lingualoom.plans import catalog_eval
+
+    docs = [(k, "x", lang, "web", n) for k, (lang, n) in enumerate([("en", 5), ("en", 120), ("fr", 20000), ("fr", 90000)] * 4)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r["direction"] for r in catalog_eval.verdict(spark, str(tmp_path)).collect()} == {"zh-en", "fr-en"}
