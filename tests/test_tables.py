@@ -188,3 +188,25 @@ def test_ingestion_reads_a_table_that_is_a_folder_of_files(spark, tmp_path):
     frame.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["unit_text"] for r in catalog_stream.stream_ingest_units(spark, str(tmp_path)).collect()}
     assert got == {line for _, text, *_ in docs for line in text.split("\n")}
+
+
+def test_rows_of_many_files_leave_together(spark):
+    """No frame for each file, and packages are not opened once for each reader of their entries."""
+    some = files(spark, a=made.make_docx("x\ny"), b=b"no", c=made.make_xlsx("z"))
+    for rows in (O.elements(some), O.package_entries(some), O.scan_xlsx(some)):
+        assert "MapInArrow" in rows._jdf.queryExecution().optimizedPlan().toString()
+    limits = O.package_limits(O.package_entries(some))
+    assert "MapIn" not in limits._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["doc_id"]: (r["entries"], r["error_code"]) for r in limits.collect()} == {"a": (3, None), "b": (0, "invalid_document"), "c": (6, None)}
+
+
+def test_texts_in_a_field_stay_as_they_are(spark):
+    run = "<w:r><w:rPr><w:b/></w:rPr><w:t>{}</w:t></w:r>".format
+    mark = '<w:r><w:fldChar w:fldCharType="{}"/></w:r>'.format
+    body = f"<w:p>{run('a')}{mark('begin')}<w:ins>{run('b')}</w:ins></w:p><w:p>{run('c')}{mark('end')}{run('d')}</w:p>"
+    got = O.paragraphs(O.scan_docx(files(spark, d=docx(body)))).orderBy("seg_no").collect()
+    seen = [[(n["kind"], n["text"], n["style"]) for n in r["nodes"]] for r in got]
+    assert seen == [
+        [("text", "a", 0), ("obj", None, None), ("open", None, None), ("obj", None, None), ("close", None, None)],
+        [("obj", None, None), ("obj", None, None), ("text", "d", 0)],
+    ]
