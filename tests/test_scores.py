@@ -1,5 +1,6 @@
 """chrF, comparison, detection, fit and engines on small known cases."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -217,3 +218,16 @@ def test_verdict_hears_documents_of_every_length(spark, tmp_path):
     frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
     frame.write.parquet(str(tmp_path / "documents.parquet"))
     assert {r["direction"] for r in catalog_eval.verdict(spark, str(tmp_path)).collect()} == {"zh-en", "fr-en"}
+
+
+def test_chrf_counts_of_many_kinds_of_characters():
+    """Few characters and thousands, texts with whitespace, a NUL or nothing: the same as counting each order by itself."""
+    rng = random.Random(4)
+    for letters in ("ab 　", "abc\0 ", "".join(map(chr, range(0x4E00, 0x5600))) + " ", "a😀\U0010ffffé"):
+        hyps, refs = (["".join(rng.choices(letters, k=rng.randrange(60))) for _ in range(40)] for _ in range(2))
+        got = K._chunk_stats(hyps, refs).reshape(40, 6, 3)
+        for k, (hyp, ref) in enumerate(zip(hyps, refs, strict=True)):
+            hyp, ref = "".join(hyp.split()), "".join(ref.split())
+            for n in range(1, 7):
+                h, r = (Counter(t[i : i + n] for i in range(len(t) - n + 1)) for t in (hyp, ref))
+                assert tuple(got[k, n - 1]) == (h.total() if r else 0, r.total(), (h & r).total())
