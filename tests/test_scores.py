@@ -1,8 +1,10 @@
 """chrF, comparison, detection, fit and engines on small known cases."""
 
+import pickle
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,3 +233,22 @@ def test_chrf_counts_of_many_kinds_of_characters():
             for n in range(1, 7):
                 h, r = (Counter(t[i : i + n] for i in range(len(t) - n + 1)) for t in (hyp, ref))
                 assert tuple(got[k, n - 1]) == (h.total() if r else 0, r.total(), (h & r).total())
+
+
+def test_slots_of_many_texts_at_once():
+    texts = ["abcd", "", "ab", "é😀x\0y"]
+    slots, counts = detect._slots_of(pa.array(texts))
+    want = [[(ord(a) * 961 + ord(b) * 31 + ord(c)) % detect.SLOTS for a, b, c in zip(t, t[1:], t[2:])] for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and slots.tolist() == [x for w in want for x in w]
+
+
+def test_the_failing_engine_does_not_grow():
+    from lingualoom.plans import catalog_inline as made
+
+    engine, sizes = made._PickyEngine(), set()
+    for k in range(100, 200):
+        with pytest.raises(infer.EngineFailure):
+            engine.translate_batch([f"text {k}"], "", "en")
+        assert engine.translate_batch([f"text {k}"], "", "en") == [f"EN:text {k}"]
+        sizes.add(len(pickle.dumps(vars(engine))))
+    assert len(sizes) == 1
