@@ -17,12 +17,13 @@ def translate_lines(
     """documents -> segments -> unique inputs -> marker engine -> every occurrence.
 
     One shuffle for the distinct inputs and one for the join back; the marker engine is a native
-    expression, so nothing leaves the JVM.  The answers are written down, as after any engine:
-    the join reads them twice, and the documents are scanned once for inputs and once for lines.
+    expression, so nothing leaves the JVM.  The occurrences are written down, since inputs and the
+    way back both read them and the patterns are what costs; the answers too, as after any engine.
     ``every_line`` keeps blank lines and line endings, for rebuilding files.
     """
-    segments = S.scan_segments(docs, keep=(lang,))
-    distinct = units.unique_units(units.engine_inputs(segments, lang))
+    lines = S.scan_txt_lines(docs, keep=(lang,)) if every_line else S.scan_segments(docs, keep=(lang,))
+    occ = stage(units.placed_occurrences(lines, lang), "occurrences")
+    distinct = units.unique_units(occ)
     answered = stage(
         distinct.select(
             "unit_key",
@@ -31,8 +32,7 @@ def translate_lines(
         ),
         "answers",
     )
-    lines = S.scan_txt_lines(docs, keep=(lang,)) if every_line else segments
-    return units.join_back(units.occurrences(lines, lang), answered)
+    return units.join_back(occ, answered)
 
 
 def translation_report(docs: DataFrame, target: str, lang: str = "lang") -> DataFrame:
