@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lingualoom.functions import text as X
@@ -51,21 +51,24 @@ def translation_report(docs: DataFrame, target: str, lang: str = "lang") -> Data
     )
 
 
-def rebuild_documents(translated: DataFrame) -> DataFrame:
+def rebuild_documents(translated: DataFrame, *also: Column) -> DataFrame:
     """doc_id, text, error_code, lost: original line structure with translated lines in it.
 
     translated: every line with its ending (``translate_lines(..., every_line=True)``), so nothing
-    is joined again.  A document with a line that has no translation has no text, an error code
+    is joined again; ``translated`` of a line that passes is the line itself.  ``also`` are further
+    aggregates of a document's lines.  A document with a line that has no translation has no text, an error code
     and the number of such lines; apply ``units.fallback_to_source`` first to keep the original
     there instead.  A file is one row by nature, and ``doc_limits`` keeps any file bounded.
     """
-    line = F.when(F.col("passed"), F.col("line")).otherwise(X.one_line(F.col("translated")))
+    line = X.one_line(F.col("translated"))
     piece = F.struct("seg_no", F.concat(line, F.col("ending")).alias("text"))
     whole = translated.groupBy("doc_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["text"]), "").alias("_text"),
-        F.count_if(line.isNull()).alias("lost"),
+        F.count_if(F.col("translated").isNull()).alias("lost"),
+        *also,
     )
     failed = F.col("lost") > 0
     return whole.select(
-        "doc_id", F.when(~failed, F.col("_text")).alias("text"), F.when(failed, F.lit("engine_response")).alias("error_code"), "lost"
+        "doc_id", F.when(~failed, F.col("_text")).alias("text"), F.when(failed, F.lit("engine_response")).alias("error_code"), "lost",
+        *whole.columns[3:],
     )

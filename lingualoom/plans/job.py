@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,21 +24,35 @@ Translate = Callable[[DataFrame], DataFrame]
 @dataclass(frozen=True)
 class Result:
     """documents: doc_id, text, error_code, note, lost; counts: one report row per translated document;
-    memory: unit_key, unit_text, lang, output of what was asked and answered this time."""
+    memory: unit_key, unit_text, lang, output of what was asked and answered this time.
+    Documents are put together when they are first named; a job that only fills a memory never does."""
 
-    documents: DataFrame
+    rebuild: Callable[[], DataFrame]
     counts: DataFrame
     memory: DataFrame
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        return self.rebuild()
+
 
 def _inputs(lines: DataFrame, target: str, fingerprint: str, lang: str, terms: Sequence[str]) -> DataFrame:
-    """Lines with the texts they keep, whether they pass, and their engine input and its key."""
-    core = X.strip(F.col("line"))
-    rows = lines.withColumn("_spans", P.spans_with_terms(terms)(core))
-    rows = rows.withColumn("_kept", P.span_texts(core, F.col("_spans"))).withColumn("_input", P.encode_line_with_terms(core, F.col("_spans")))
-    passed = P.passes_through(F.regexp_replace("_input", "<x[0-9]+/>", ""), F.col(lang))
-    rows = rows.withColumn("passed", passed).withColumn("unit_text", F.when(~F.col("passed"), F.col("_input")))
-    return rows.withColumn("unit_key", units.input_key(F.col("unit_text"), F.col(lang), target, fingerprint)).drop("_spans", "_input")
+    """Lines with the texts they keep and the whitespace around them, whether they pass, and their engine input and its key."""
+    rows, core = lines.withColumn("_core", X.strip_column(F.col("line"))), F.col("_core")
+    if terms:
+        rows = rows.withColumn("_spans", P.spans_with_terms(terms)(core))
+        rows = rows.withColumn("_kept", P.span_texts(core, F.col("_spans"))).withColumn("_input", P.encode_line_with_terms(core, F.col("_spans")))
+        rows = rows.withColumn("_rest", F.regexp_replace("_input", "<x[0-9]+/>", "")).drop("_spans")
+        passed = P.passes_through(F.col("_rest"), F.col(lang))
+    else:
+        rows = P.with_protection(rows, "_core")
+        # What stood on both sides of a span may be one where they meet.
+        meets = (F.size("_kept") > 0) & P.may_hold_span(F.col("_rest"))
+        rest, code = F.col("_rest"), F.col(lang)
+        passed = F.when(meets, P.passes_through(rest, code)).otherwise(P.nothing_to_translate(rest, code))
+    rows = rows.withColumn("passed", passed).withColumn("unit_text", F.when(~F.col("passed"), F.col("_input"))).drop("_input", "_rest")
+    rows = rows.withColumn("unit_key", units.input_key(F.col("unit_text"), F.col(lang), target, fingerprint))
+    return units.around_core(rows).drop("_core")
 
 
 def translate_documents(
@@ -73,22 +88,26 @@ def translate_documents(
     looked = stage(looked, "lookup")
     asked = looked.filter(~F.col("hit")).select("unit_key", "unit_text", F.col(lang).alias("lang"))
     answers = stage(translate(asked).select("unit_key", F.col("output").alias("_new")), "answers")
-    answered = looked.join(answers, "unit_key", "left").withColumn("output", F.coalesce("output", "_new"))
-    answered = stage(answered.select("unit_key", "n_occ", "output"), "answered")
-
-    joined = spread_join(occ, answered, "unit_key", "n_occ", "output", ["doc_id", "seg_no"])
-    line = F.col("line")
-    filled = F.concat(X.leading_ws(line), P.fill_spans(F.col("output"), F.col("_kept")), X.trailing_ws(line))
-    done = joined.withColumn("translated", F.when(F.col("passed"), line).otherwise(filled))
-    lost = done.groupBy("doc_id").agg(F.count_if(F.col("translated").isNull()).alias("lost"))
-    if keep_source:
-        done = units.fallback_to_source(done, "translated", "line")
-    rebuilt = rebuild_documents(done).drop("lost").join(lost, "doc_id")
-    rebuilt = rebuilt.select("doc_id", "text", "error_code", F.lit(None).cast("string").alias("note"), "lost")
+
+    def rebuild() -> DataFrame:
+        answered = looked.join(answers, "unit_key", "left").withColumn("output", F.coalesce("output", "_new"))
+        answered = stage(answered.select("unit_key", "n_occ", "output"), "answered")
+        # Lines that are translated need not travel.
+        own = occ.withColumn("_own", F.when(F.col("passed"), F.col("line")))
+        joined = spread_join(own, answered, "unit_key", "n_occ", "output", ["doc_id", "seg_no"])
+        filled = F.concat("leading", P.fill_spans(F.col("output"), F.col("_kept")), "trailing")
+        done = joined.withColumn("translated", F.when(F.col("passed"), F.col("_own")).otherwise(filled))
+        done = done.withColumn("_lost", F.col("translated").isNull())
+        if keep_source:
+            done = units.fallback_to_source(done, "translated", "line")
+        rebuilt = rebuild_documents(done, F.count_if("_lost").alias("_lost"))
+        rebuilt = rebuilt.select("doc_id", "text", "error_code", F.lit(None).cast("string").alias("note"), F.col("_lost").alias("lost"))
+        return copies.unionByName(rebuilt)
+
     nonblank = occ.filter(~X.is_blank(F.col("line")))
     fresh = asked.join(answers, "unit_key").filter(F.col("_new").isNotNull())
     return Result(
-        documents=copies.unionByName(rebuilt),
+        rebuild=rebuild,
         counts=report.segment_counts(nonblank),
         memory=fresh.select("unit_key", "unit_text", "lang", F.col("_new").alias("output")),
     )

@@ -1,5 +1,6 @@
 """Lines are read and matched in one pass, and the way back has no crowded partition."""
 
+import os
 import re
 
 from pyspark.sql import functions as F
@@ -9,6 +10,8 @@ from lingualoom.functions import protect as P
 from lingualoom.functions import text as X
 from lingualoom.operators import infer, units
 from lingualoom.operators.spread import spread_join
+from lingualoom.plans import job
+from lingualoom.session import shared_dir
 from lingualoom.sources import text as S
 
 ODD = [
@@ -68,3 +71,29 @@ def test_rows_without_a_key_are_spread(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_job_inputs_are_the_same_with_and_without_terms(spark):
+    rows = spark.createDataFrame([(i, t, g) for i, t in enumerate(ODD) for g in ("de", "zh", None)], "i int, line string, lang string")
+    columns = ["i", "lang", "_kept", "passed", "unit_text", "unit_key", "leading", "trailing"]
+    plain, termed = (
+        sorted(map(str, job._inputs(rows, "en", "e", "lang", terms).select(*columns).collect())) for terms in ((), ["no such term"])
+    )
+    assert plain == termed and len(plain) == 3 * len(ODD)
+
+
+def test_documents_are_joined_once_and_only_if_wanted(spark):
+    docs = spark.createDataFrame([(1, "de", " Hallo \n\nhttps://a.b x\n12"), (2, "en", "stays")], "doc_id long, lang string, text string")
+
+    def written():
+        return sum(name.startswith("answered-") for name in os.listdir(shared_dir(spark)))
+
+    before = written()
+    done = job.translate_documents(docs, lambda asked: asked.select("unit_key", F.concat(F.lit("T:"), F.col("unit_text")).alias("output")), "en", "e")
+    assert done.memory.count() == 2 and written() == before
+    documents = done.documents
+    assert written() == before + 1 and done.documents is documents
+    plan = documents._jdf.queryExecution().optimizedPlan().toString()
+    # The marks of hot keys, and the values: one join of each.
+    assert plan.count("Join LeftOuter") == 2
+    assert {r["doc_id"]: (r["text"], r["lost"]) for r in documents.collect()} == {1: (" T:Hallo \n\nT:https://a.b x\n12", 0), 2: ("stays", 0)}
