@@ -472,15 +472,15 @@ def reassemble_txt(spark, sf):
     FROM corpus JOIN rebuilt USING (doc_id)""",
 )
 def translate_documents(spark, sf):
-    docs = D.corpus(spark, sf)
+    docs = job.prepare(D.corpus(spark, sf), "en")
 
     def marker(asked):
         return asked.select("unit_key", infer.marker_translate(F.col("unit_text"), F.lit("en")).alias("output"))
 
-    before = docs.filter("doc_id % 2 = 0")
-    other = job.translate_documents(before, lambda a: a.select("unit_key", F.lit("other").alias("output")), "en", "other-1").memory
-    same = job.translate_documents(before, marker, "en", "marker-1").memory
-    done = job.translate_documents(docs, marker, "en", "marker-1", memory=other.unionByName(same)).documents
+    before = docs.where(F.col("doc_id") % 2 == 0)
+    other = job.translate_prepared(before, lambda a: a.select("unit_key", F.lit("other").alias("output")), "en", "other-1").memory
+    same = job.translate_prepared(before, marker, "en", "marker-1").memory
+    done = job.translate_prepared(docs, marker, "en", "marker-1", memory=other.unionByName(same)).documents
     return done.select("doc_id", F.md5("text").alias("text_md5"), "note", "error_code", "lost")
 
 

@@ -21,7 +21,7 @@ def translate_lines(
     way back both read them and the patterns are what costs; the answers too, as after any engine.
     ``every_line`` keeps blank lines and line endings, for rebuilding files.
     """
-    lines = S.scan_txt_lines(docs, keep=(lang,)) if every_line else S.scan_segments(docs, keep=(lang,))
+    lines = S.scan_txt_lines(docs, keep=(lang,)).drop("location", "is_segment") if every_line else S.scan_segments(docs, keep=(lang,))
     occ = stage(units.placed_occurrences(lines, lang), "occurrences")
     distinct = units.unique_units(occ)
     answered = stage(

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lingualoom.functions import protect as P
@@ -36,8 +36,34 @@ class Result:
         return self.rebuild()
 
 
-def _inputs(lines: DataFrame, target: str, fingerprint: str, lang: str, terms: Sequence[str]) -> DataFrame:
-    """Lines with the texts they keep and the whitespace around them, whether they pass, and their engine input and its key."""
+@dataclass(frozen=True)
+class Prepared:
+    """What a job needs of its documents and no engine changes: see ``prepare``."""
+
+    copies: DataFrame
+    lines: DataFrame
+
+    def where(self, condition: Column) -> Prepared:
+        """Only some documents; the condition names ``doc_id``."""
+        return Prepared(self.copies.filter(condition), self.lines.filter(condition))
+
+
+def prepare(docs: DataFrame, target: str, lang: str = "lang", terms: Sequence[str] = ()) -> Prepared:
+    """Documents routed, and those to translate cut into lines with their engine inputs, written once.
+
+    Jobs on the same documents with other engines or memories can share it (``translate_prepared``).
+    """
+    routed = report.route_unchanged(docs.select("doc_id", "text", lang), lang, target)
+    copies = routed.filter("route = 'copy'").select("doc_id", "text", F.lit(None).cast("string").alias("error_code"), "note", F.lit(0).cast("long").alias("lost"))
+    lines = S.scan_txt_lines(routed.filter("route = 'translate'"), keep=(lang,)).drop("location", "is_segment")
+    # Inputs and occurrences both read it, and the patterns are what costs.  Most inputs are the line itself.
+    rows = _inputs(lines, lang, terms).withColumnRenamed(lang, "lang")
+    told = stage(rows.withColumn("unit_text", F.nullif("unit_text", "line")), "occurrences")
+    return Prepared(copies, told.withColumn("unit_text", F.when(~F.col("passed"), F.coalesce("unit_text", "line"))))
+
+
+def _inputs(lines: DataFrame, lang: str, terms: Sequence[str]) -> DataFrame:
+    """Lines with the texts they keep and the whitespace around them, whether they pass, and their engine input."""
     rows, core = lines.withColumn("_core", X.strip_column(F.col("line"))), F.col("_core")
     if terms:
         rows = rows.withColumn("_spans", P.spans_with_terms(terms)(core))
@@ -51,7 +77,6 @@ def _inputs(lines: DataFrame, target: str, fingerprint: str, lang: str, terms: S
         rest, code = F.col("_rest"), F.col(lang)
         passed = F.when(meets, P.passes_through(rest, code)).otherwise(P.nothing_to_translate(rest, code))
     rows = rows.withColumn("passed", passed).withColumn("unit_text", F.when(~F.col("passed"), F.col("_input"))).drop("_input", "_rest")
-    rows = rows.withColumn("unit_key", units.input_key(F.col("unit_text"), F.col(lang), target, fingerprint))
     return units.around_core(rows).drop("_core")
 
 
@@ -74,19 +99,32 @@ def translate_documents(
     A line without an answer makes its document an error without text, or keeps its source line if
     ``keep_source``; either way it is counted in ``lost``.
     """
-    routed = report.route_unchanged(docs.select("doc_id", "text", lang), lang, target)
-    copies = routed.filter("route = 'copy'").select("doc_id", "text", F.lit(None).cast("string").alias("error_code"), "note", F.lit(0).cast("long").alias("lost"))
-    lines = S.scan_txt_lines(routed.filter("route = 'translate'"), keep=(lang,))
-    # Written once: inputs and occurrences both read it, and the patterns are what costs.
-    occ = stage(_inputs(lines, target, fingerprint, lang, terms), "occurrences")
-    distinct = units.unique_units(occ, group=(lang,))
+    return translate_prepared(prepare(docs, target, lang, terms), translate, target, fingerprint, memory, force, keep_source)
+
+
+def translate_prepared(
+    prepared: Prepared,
+    translate: Translate,
+    target: str,
+    fingerprint: str,
+    memory: DataFrame | None = None,
+    force: bool = False,
+    keep_source: bool = False,
+) -> Result:
+    """``translate_documents`` for documents that are already cut into lines."""
+    lang, copies = "lang", prepared.copies
+    key = units.input_key(F.col("unit_text"), F.col(lang), target, fingerprint)
+    occ = prepared.lines.withColumn("unit_key", key)
+    # A text and its language decide its key, which is then made for distinct ones only.
+    distinct = prepared.lines.filter(F.col("unit_text").isNotNull()).groupBy(lang, "unit_text").agg(F.count("*").alias("n_occ"))
+    distinct = distinct.withColumn("unit_key", key)
     known = memory.select("unit_key", "output") if memory is not None else None
     if known is None:
         looked = distinct.withColumn("output", F.lit(None).cast("string")).withColumn("hit", F.lit(False))
     else:
         looked = units.cache_lookup(distinct, known, ["unit_key"], force)
     looked = stage(looked, "lookup")
-    asked = looked.filter(~F.col("hit")).select("unit_key", "unit_text", F.col(lang).alias("lang"))
+    asked = looked.filter(~F.col("hit")).select("unit_key", "unit_text", "lang")
     answers = stage(translate(asked).select("unit_key", F.col("output").alias("_new")), "answers")
 
     def rebuild() -> DataFrame:

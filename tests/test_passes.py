@@ -17,7 +17,7 @@ from lingualoom.sources import text as S
 ODD = [
     "", " ", "\u3000", " \u3000\t", "a", "7", "é", " é ", "水\u3000", "\x7f ", "x\x85", "\u2003x\u2003", "a b\xa0", "https://a.b/c.", "(https://a.b/c)",
     " see <x1/> and /usr/x/y, a@b.cd! ", "<x<g1>1/>", "www.a.b www.c.d", "/", "<", "C:\\x\\y。", "\\\\h\\s\\t", "水 <g 1 > 火", "½ ª", "\U0001f600 ", "ǅ", "١٢",
-    "http://a.b<g1>http://", "a/b", "@",
+    "http://a.b<g1>http://", "a/b", "@", "a\x00b www.x.y \x00", "〇", "豈 a",
 ]
 
 
@@ -49,12 +49,12 @@ def test_documents_are_split_and_matched_once(spark):
     lines = S.scan_txt_lines(docs, keep=("lang",))
     assert sorted((r["doc_id"], r["seg_no"], r["line"]) for r in lines.collect()) == [(1, 0, "a"), (1, 1, ""), (1, 2, "b"), (3, 0, ""), (3, 1, "")]
     assert [tuple(r) for r in S.scan_segments(docs).orderBy("seg_no").collect()] == [(1, 0, "a"), (1, 2, "b")]
-    split = f", {C.LINE_BREAK}, -1"
+    split = f", {S.LINE_CUT}, -1"
     for made in (lines, S.scan_segments(docs), units.occurrences(lines), units.engine_inputs(lines)):
         plan = made._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count(split) == 1
-        # Once to find and once to cut; the address pattern stands for all of them.
-        assert plan.count("(?:https?|ftp)") <= 2
+        # Once to find, once to cut, and once to cut what holds the mark of a cut; the address pattern stands for all.
+        assert plan.count("(?:https?|ftp)") <= 3
 
 
 def test_rows_without_a_key_are_spread(spark):
@@ -75,9 +75,9 @@ def test_rows_without_a_key_are_spread(spark):
 
 def test_job_inputs_are_the_same_with_and_without_terms(spark):
     rows = spark.createDataFrame([(i, t, g) for i, t in enumerate(ODD) for g in ("de", "zh", None)], "i int, line string, lang string")
-    columns = ["i", "lang", "_kept", "passed", "unit_text", "unit_key", "leading", "trailing"]
+    columns = ["i", "lang", "_kept", "passed", "unit_text", "leading", "trailing"]
     plain, termed = (
-        sorted(map(str, job._inputs(rows, "en", "e", "lang", terms).select(*columns).collect())) for terms in ((), ["no such term"])
+        sorted(map(str, job._inputs(rows, "lang", terms).select(*columns).collect())) for terms in ((), ["no such term"])
     )
     assert plain == termed and len(plain) == 3 * len(ODD)
 
