@@ -1,9 +1,11 @@
 """chrF, comparison, detection, fit and engines on small known cases."""
 
+import hashlib
 import pickle
 import random
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -242,6 +244,22 @@ def test_slots_of_many_texts_at_once():
     assert counts.tolist() == [len(w) for w in want] and slots.tolist() == [x for w in want for x in w]
 
 
+def test_the_profile_is_learned_from_every_labelled_text(spark):
+    # More texts than an earlier version learned from; the rare trigram is in those with the greatest MD5.
+    rare = sorted((f"qqq{i}" for i in range(1000)), key=lambda t: hashlib.md5(t.encode()).hexdigest())[-detect.LEAST_COUNT :]
+    some = spark.range(25_000).select(F.lit("en").alias("lang"), F.concat(F.lit("Text "), F.col("id").cast("string")).alias("text"))
+    odd = [*(("es", t) for t in rare), ("es", None), (None, "qqq"), ("xx", "qqq")]
+    labelled = some.unionByName(spark.createDataFrame(odd, "lang string, text string"))
+    slot = int(detect._slots_of(pa.array(["qqq"]))[0][0])
+    assert slot in {r["slot"] for r in detect.latin_profile(labelled, "lang", "text", ("en", "es")).collect()}
+    texts = [f"text {i}" for i in range(25_000)]
+    counts = np.bincount(detect._slots_of(pa.array(texts))[0], minlength=detect.SLOTS)
+    counts[counts < detect.LEAST_COUNT] = 0
+    want = {i: round(float(np.log(n / counts.sum())) * detect.WEIGHT_SCALE) for i, n in enumerate(counts.tolist()) if n}
+    got = {r["slot"]: r["w_0"] for r in detect.latin_profile(labelled, "lang", "text", ("en",)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) <= 1 for i in want)
+
+
 def test_the_failing_engine_does_not_grow():
     from lingualoom.plans import catalog_inline as made
 
