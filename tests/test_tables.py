@@ -145,6 +145,53 @@ def test_docx_structure(spark):
     assert codes == {("tracked_changes_present", 1), ("field_results_not_translated", 2)}
 
 
+def test_pptx_structure(spark):
+    """Slides in their order each with its notes, groups, tables by row and cell, then layouts and masters without placeholders."""
+    space = f'xmlns:p="{made._MAIN.format("presentationml")}" xmlns:a="{made._MAIN.format("drawingml")}" xmlns:r="{made._DOC_REL}"'
+    body = lambda *texts: "".join(made._paragraph("a", t) for t in texts)
+
+    def sp(name, *texts, ph=""):
+        named = f'<p:cNvPr id="7" name="{name}"/>' if name else ""
+        return f"<p:sp><p:nvSpPr>{named}<p:nvPr>{ph}</p:nvPr></p:nvSpPr><p:txBody>{body(*texts)}</p:txBody></p:sp>"
+
+    def page(tag, inner, name=""):
+        return f'<p:{tag} {space} type="x"><p:cSld{name}><p:spTree>{inner}</p:spTree></p:cSld></p:{tag}>'
+
+    cell = lambda t: f"<a:tc><a:txBody>{body('', t)}</a:txBody></a:tc>"
+    table = "".join(f"<a:tr>{cell(f'{r}1')}{cell(f'{r}2')}</a:tr>" for r in "ab")
+    frame = (
+        '<p:graphicFrame><p:nvGraphicFramePr><p:cNvPr id="4" name="T"/></p:nvGraphicFramePr><a:graphic><a:graphicData>{}</a:graphicData>'
+        "</a:graphic></p:graphicFrame>"
+    ).format
+    title, body_ph, foot = ('<p:ph type="title"/>', '<p:ph type="body"/>', '<p:ph type="ftr"/>')
+    group = f"<p:grpSp><p:grpSp>{sp('G', 'grouped')}</p:grpSp><mc:AlternateContent xmlns:mc='m'><mc:Choice>{sp('C', 'chosen')}</mc:Choice></mc:AlternateContent></p:grpSp>"
+    s = "ppt/slides/s{}.xml".format
+    parts = {
+        "ppt/presentation.xml": f'<p:presentation {space}><p:sldIdLst><p:sldId r:id="rId2"/><p:sldId r:id="rId1"/></p:sldIdLst></p:presentation>',
+        s(1): page("sld", sp("A", "second", "more")),
+        s(2): page("sld", sp("Title", "first", ph=title) + group + frame(f"<a:tbl>{table}</a:tbl>") + frame(f"<a:lockedCanvas>{sp('L', 'locked')}</a:lockedCanvas>") + sp("", "nameless")),
+        "ppt/n2.xml": page("notes", sp("N", "noted", ph=body_ph) + sp("F", "footer", ph=foot) + sp("O", "other")),
+        "ppt/l1.xml": page("sldLayout", sp("P", "Click to edit", ph=title) + sp("S", "of the layout"), ' name="Plain"'),
+        "ppt/l2.xml": page("sldLayout", sp("S", "unused")),
+        "ppt/m1.xml": page("sldMaster", sp("P", "Click", ph=body_ph) + sp("S", "of the master")),
+    }
+    rels = {
+        "ppt/presentation.xml": [("slide", s(1)), ("slide", s(2))], s(1): [("slideLayout", "ppt/l1.xml")],
+        s(2): [("slideLayout", "ppt/l1.xml"), ("notesSlide", "ppt/n2.xml")], "ppt/l1.xml": [("slideMaster", "ppt/m1.xml")],
+    }
+    found = files(spark, d=made.pack("ppt/presentation.xml", made._TYPES["pptx"], parts, rels))
+    got = O.paragraphs(O.scan_pptx(found)).orderBy("seg_no").collect()
+    assert [(r["location"], "".join(n["text"] for n in r["nodes"])) for r in got] == [
+        ('slide 1 / shape "Title" (id 7) / paragraph 1', "first"), ('slide 1 / shape "G" (id 7) / paragraph 1', "grouped"),
+        ('slide 1 / shape "C" (id 7) / paragraph 1', "chosen"),
+        *((f'slide 1 / table "T" (id 4) / row {i} / cell {j} / paragraph 2', f"{r}{j}") for i, r in ((1, "a"), (2, "b")) for j in (1, 2)),
+        ("slide 1 / shape (unnamed) / paragraph 1", "nameless"), ("slide 1 notes / paragraph 1", "noted"),
+        ('slide 2 / shape "A" (id 7) / paragraph 1', "second"), ('slide 2 / shape "A" (id 7) / paragraph 2', "more"),
+        ('layout "Plain" / shape "S" (id 7) / paragraph 1', "of the layout"), ('master m1.xml / shape "S" (id 7) / paragraph 1', "of the master"),
+    ]
+    assert [r["seg_no"] for r in got] == list(range(len(got)))
+
+
 def test_refused_packages(spark):
     """A bad file is an error row, and the good file beside it is read."""
     good = docx("<w:p><w:r><w:t>fine</w:t></w:r></w:p>")
