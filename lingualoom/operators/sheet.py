@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lingualoom.functions.search import last_at_most
-from lingualoom.operators.spread import dealt_join, staged_with_hot
+from lingualoom.operators.spread import dealt_join, once_join, staged_with_hot
 
 # ---- fixed values: spreadsheet limits and units --------------------------------------------------
 CELL_LIMIT = 32_767
@@ -30,14 +30,15 @@ def sheet_string_fanout(cells: DataFrame, shared: DataFrame) -> DataFrame:
     """One row per shared string in use: its text, its cells and where it is first shown.
 
     cells: doc_id, idx, pos (total order in the workbook), location.  An index outside the table
-    is an error code.  Cells collapse to one row per string before the join.
+    is an error code.  Cells collapse to one row per string before the join, and a text that stands in
+    many tables travels once.
     """
     used = cells.groupBy("doc_id", "idx").agg(
         F.min(F.struct("pos", "location")).alias("_first"), F.count("*").alias("cells")
     )
     place = F.col("_first.location")
     more = F.concat(place, F.lit(" (and "), (F.col("cells") - 1).cast("string"), F.lit(" more cells)"))
-    return used.join(shared, ["doc_id", "idx"], "left").select(
+    return once_join(used, shared.select("doc_id", "idx", "text"), ["doc_id", "idx"], "text").select(
         "doc_id",
         "idx",
         "text",

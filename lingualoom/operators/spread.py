@@ -158,3 +158,23 @@ def dealt_join(staged: DataFrame, hot: DataFrame, few: DataFrame, keys: list[str
     right = few.withColumn("_hash", F.xxhash64(*keys)).join(hot, "_hash", "left")
     right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("_salts", "_hash")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+def once_join(many: DataFrame, few: DataFrame, keys: list[str], payload: str, share: int = SHARE) -> DataFrame:
+    """``many LEFT JOIN few`` where ``payload`` may be long and the same for many keys: each distinct one is shuffled once.
+
+    Keys meet first, with 128 bits of the payload in its place, and the payloads follow by those bits.  One that more than ``share`` keys
+    have is copied over salts, and rows without one are spread.
+    """
+    value = F.col(payload)
+    bits = [F.when(value.isNotNull(), h).alias(f"_bits{i}") for i, h in enumerate((F.xxhash64(value), F.xxhash64(F.lit(1), value)))]
+    told = few.select(*keys, payload, *bits)
+    values = told.filter(value.isNotNull()).groupBy("_bits0", "_bits1", payload).agg(F.count("*").alias("_n"))
+    copies = F.ceil(F.col("_n") / share)
+    hot = values.filter(F.col("_n") > share).orderBy(F.desc("_n"), "_bits0", "_bits1").limit(HOT_KEYS)
+    found = many.join(told.drop(payload), keys, "left")
+    found = found.join(F.broadcast(hot.select("_bits0", "_bits1", copies.alias("_salts"))), ["_bits0", "_bits1"], "left")
+    place = F.xxhash64(*keys)
+    salt = F.when(F.col("_bits0").isNull(), place).otherwise(F.pmod(place, F.coalesce("_salts", F.lit(1).cast("long"))))
+    values = values.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("_n")
+    return found.withColumn("_salt", salt).join(values, ["_bits0", "_bits1", "_salt"], "left").select(*many.columns, payload)

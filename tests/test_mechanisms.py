@@ -221,3 +221,26 @@ def test_dealt_join_equals_a_plain_join(spark, how):
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("many-") <= 1
+
+
+def test_a_shared_string_of_many_tables_travels_once(spark, monkeypatch):
+    """Also if keys repeat, texts are missing or frequent, or lists; what is shuffled doesn't grow with the number of tables."""
+    cells = [(d, i, p, f"c{p}") for d in range(5) for i in range(40) for p in range(i % 3 + 1)] + [(None, 1, 0, "n"), (1, None, 0, "m")]
+    cells = spark.createDataFrame(cells, "doc_id long, idx long, pos long, location string")
+    shared = [(d, i, None if i == 7 else "same" if i % 2 else f"text {i}") for d in range(4) for i in range(30)] + [(1, 3, "twice")]
+    shared = spark.createDataFrame(shared, "doc_id long, idx long, text string")
+    used = cells.groupBy("doc_id", "idx").count()
+    want = sorted(map(repr, used.join(shared, ["doc_id", "idx"], "left").collect()))
+    for share in (100_000, 3):
+        assert sorted(map(repr, spread.once_join(used, shared, ["doc_id", "idx"], "text", share).collect())) == want
+    lists = shared.withColumn("text", F.when(F.col("text").isNotNull(), F.array(F.struct("text"))))
+    shown = sheet.sheet_string_fanout(cells, lists).collect()
+    plain = sheet.sheet_string_fanout(cells, shared).collect()
+    key = lambda r: (str(r["doc_id"]), str(r["idx"]), str(r["text"] and (r["text"] if isinstance(r["text"], str) else r["text"][0][0])), r["cells"], r["location"], r["error_code"])
+    assert sorted(map(key, shown)) == sorted(map(key, plain)) and len(plain) == 203
+    assert {r["error_code"] for r in plain if r["text"] is None} == {"invalid_document"}
+    monkeypatch.setattr(spread, "HOT_KEYS", 1)
+    assert sorted(map(repr, spread.once_join(used, shared, ["doc_id", "idx"], "text", 3).collect())) == want
+    # Before the payloads meet their keys, each is one row.
+    plan = sheet.sheet_string_fanout(cells, shared)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [_bits0" in plan
